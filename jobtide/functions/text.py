@@ -30,7 +30,7 @@ def is_journal_line(line: Column) -> Column:
     # The line as a whole is free of terminators nearly always; only else look at the payload.
     return F.coalesce(
         line.rlike(r"^[^|]+\|[^|]+\|")
-        & (~_has_terminator(line) | ~_has_terminator(F.element_at(line_parts(line), 3))),
+        & (~_has_terminator(line) | ~_has_terminator(F.get(line_parts(line), F.lit(2)))),
         F.lit(False))
 
 

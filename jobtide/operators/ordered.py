@@ -85,7 +85,8 @@ def _clamp_parts(df: DataFrame, group: list[str], order: list[str], delta: str):
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumn("_s", F.sum(delta).over(upto)).withColumn("_m", F.min("_s").over(upto))
     per_slice = local.groupBy("_slice", *group).agg(
-        F.sum(delta).alias("_total"), F.min("_s").alias("_low"))
+        F.sum(delta).alias("_total"), F.min("_s").alias("_low"),
+        F.sum(F.greatest(F.col(delta), F.lit(0))).alias("_gained"))
     carry = per_slice.withColumn("_off", F.coalesce(F.sum("_total").over(_earlier(group)), F.lit(0)))
     carry = carry.withColumn("_least", F.coalesce(
         F.min(F.col("_off") + F.col("_low")).over(_earlier(group)), F.lit(0)))
@@ -107,11 +108,12 @@ def clamped_counts(df: DataFrame, group: list[str], order: list[str], delta: str
 
 
 def clamp_summary(df: DataFrame, group: list[str], order: list[str], delta: str) -> DataFrame:
-    """Per group: ``total`` (sum of ``delta``) and ``low`` (its least running sum, at most 0).
+    """Per group: ``total`` (sum of ``delta``), ``low`` (its least running sum, at most 0) and
+    ``gained`` (sum of its positive values).
 
     A count x before the rows becomes ``x + total - least(0, x + low)`` after them.
     """
     _, _, carry = _clamp_parts(df, group, order, delta)
     return carry.groupBy(*group).agg(
-        F.sum("_total").alias("total"),
+        F.sum("_total").alias("total"), F.sum("_gained").alias("gained"),
         F.least(F.lit(0), F.min(F.col("_off") + F.col("_low"))).alias("low"))

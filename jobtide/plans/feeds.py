@@ -23,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    path = f"{sf_dir}/{name}.parquet"
-    return _instants(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path))
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # As a pattern, so that the table may be one file or a folder of files.
+    return _instants(spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet"))
 
 
 def _instants(df: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def journal_rows(spark, sf_dir):
     ok = text.is_journal_line(F.col("line"))
     parts = text.line_parts(F.col("line"))
     return journal(spark, sf_dir).select(
-        F.when(ok, text.strip_leading(parts[0])).alias("id"),
-        F.when(ok, parts[1]).alias("type"),
+        F.when(ok, text.strip_leading(F.get(parts, F.lit(0)))).alias("id"),
+        F.when(ok, F.get(parts, F.lit(1))).alias("type"),
         F.lit(None).cast("timestamp").alias("dt"), F.lit(LOCK_NONE).alias("lock"),
-        F.when(ok, parts[2]).otherwise(F.col("line")).alias("data"))
+        F.when(ok, F.get(parts, F.lit(2))).otherwise(F.col("line")).alias("data"))

@@ -105,8 +105,8 @@ VIEWS = {
   generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM bodies)
  WHERE line <> '' AND NOT starts_with(line, '#')""",
     "logs": """SELECT json_object('time', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z',
- 'type', {'error': 'ERROR', 'signup': 'WARN', 'click': 'INFO', 'view': 'DEBUG', 'purchase': 'TRACE'}[event_type],
- 'level', {'error': 3, 'signup': 4, 'click': 6, 'view': 7, 'purchase': 8}[event_type],
+ 'type', MAP {'error': 'ERROR', 'signup': 'WARN', 'click': 'INFO', 'view': 'DEBUG', 'purchase': 'TRACE'}[event_type],
+ 'level', MAP {'error': 3, 'signup': 4, 'click': 6, 'view': 7, 'purchase': 8}[event_type],
  'id', 'user' || user_id, 'message', 'job ' || id || ' of type ' || type, 'info', data::JSON) AS line
  FROM jobs""",
     "leases": f"""SELECT id, max(ts) + INTERVAL 30 MINUTE AS dt, id AS lock, 'queue.sysid' AS type FROM

@@ -61,8 +61,8 @@ _LEASES_EXPIRED_EARLIER = f"""(SELECT id, type, CASE WHEN dt < {NOW} - INTERVAL
 
 _SQL = {
     "journal_scan": "SELECT line FROM journal",
-    "body_to_lines": "SELECT doc_id, jobtype, pos, line FROM body_lines",
-    "jobs_to_lines": f"""SELECT doc_id, pos, {new_id('seq', SYSID, BASE_MS)} || '|' || jobtype || '|' || line AS line
+    "body_to_lines": "SELECT doc_id, jobtype, pos::INTEGER AS pos, line FROM body_lines",
+    "jobs_to_lines": f"""SELECT doc_id, pos::INTEGER AS pos, {new_id('seq', SYSID, BASE_MS)} || '|' || jobtype || '|' || line AS line
  FROM body_lines""",
     "journal_append": """SELECT line FROM (SELECT line FROM journal
  UNION ALL SELECT string_split(line, '|')[1] FROM journal) WHERE line <> ''""",
@@ -77,7 +77,7 @@ _SQL = {
     "journal_rejects": f"SELECT line FROM journal WHERE NOT regexp_matches(line, {LINE})",
     "line_id": "SELECT line, string_split(line, '|')[1] AS line_id FROM journal",
     "id_decode_created": f"SELECT id, {ms('ts')} AS created_ms FROM jobs",
-    "id_assign": f"SELECT doc_id, pos, {new_id('seq', SYSID, BASE_MS)} AS id FROM body_lines",
+    "id_assign": f"SELECT doc_id, pos::INTEGER AS pos, {new_id('seq', SYSID, BASE_MS)} AS id FROM body_lines",
     "tenant_split": """SELECT id, 'c' || (user_id % 10) AS tenant, event_type AS jobtype, type FROM jobs""",
     "job_state": f"SELECT id, {STATE} AS state FROM jobs",
     "done_at": f"SELECT id, {ms('ts')} AS done_at_ms FROM jobs WHERE lock = '__done'",
@@ -211,8 +211,8 @@ _SQL = {
  WHERE window_ms + 60000 <= (SELECT {ms('max(stopped)')} - 600000 FROM runs) GROUP BY ALL""",
     "stream_attach_handlers": """SELECT j.id, j.type, l.id AS handler_id, l.lang, l.body
  FROM jobs j LEFT JOIN latest l ON l.type = j.type WHERE starts_with(j.lock, 'd')""",
-    "stream_running_counts": """SELECT type, x::BIGINT AS x FROM (SELECT type, x FROM clamped
- QUALIFY row_number() OVER (PARTITION BY type ORDER BY ev_at DESC, kind DESC, id DESC, attempt DESC) = 1) WHERE x > 0""",
+    "stream_running_counts": """SELECT type, arg_max(x, k)::BIGINT AS x, sum(kind)::BIGINT AS started_total FROM
+ (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ev_at, kind, id, attempt) AS k FROM clamped) GROUP BY type""",
     "stream_retry_ready": f"""SELECT r.id, n.attempt::INTEGER AS attempt, {ms('r.stopped')} AS released_ms,
  {ms('r.stopped + INTERVAL 5 MINUTE')} AS ready_ms, {ms('n.started')} AS started_ms,
  n.started < r.stopped + INTERVAL 5 MINUTE AS early

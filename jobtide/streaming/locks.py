@@ -26,14 +26,14 @@ def stream_lock_expiry(events: DataFrame, delay: str = "10 minutes",
 
 
 class RunningCounts:
-    """``foreachBatch`` keeper of the clamped running count per type.
+    """``foreachBatch`` keeper of the running count (never below zero) and the starts per type.
 
     A micro-batch is summed up per type as (total, least running sum) by slices, so no task sees
-    all events of a type; the state is one row per type with running jobs. Every batch writes its
-    own version from the one before, so a replay gives the same state.
+    all events of a type; the state is one row per type. Every batch writes its own version from
+    the one before, so a replay gives the same state.
     """
 
-    _STATE = "type string, x bigint"
+    _STATE = "type string, x bigint, started_total bigint"
 
     def __init__(self, path: str):
         self.path = path.rstrip("/")
@@ -46,11 +46,16 @@ class RunningCounts:
         summary = clamp_summary(events.select(*_COLS), ["type"], ORDER, "d")
         before = (spark.read.schema(self._STATE).parquet(self._version(batch_id - 1))
                   if batch_id > 0 else spark.createDataFrame([], self._STATE))
-        x = F.coalesce("x", F.lit(0))
-        total, low = F.coalesce("total", F.lit(0)), F.coalesce("low", F.lit(0))
+
+        def known(c):
+            return F.coalesce(c, F.lit(0))
+
+        x, total, low = known("x"), known("total"), known("low")
         after = before.join(summary, "type", "full").select(
-            "type", (x + total - F.least(F.lit(0), x + low)).cast("long").alias("x"))
-        after.where("x > 0").write.mode("overwrite").parquet(self._version(batch_id))
+            "type", (x + total - F.least(F.lit(0), x + low)).cast("long").alias("x"),
+            (known("started_total") + known("gained")).cast("long").alias("started_total"))
+        after.write.mode("overwrite").parquet(self._version(batch_id))
 
     def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Counts after a batch; types at zero are idle."""
         return spark.read.schema(self._STATE).parquet(self._version(batch_id))
