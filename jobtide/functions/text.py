@@ -27,10 +27,11 @@ def line_parts(line: Column) -> Column:
 
 def is_journal_line(line: Column) -> Column:
     """Whether ``line`` is ``id|type|payload`` with id and type not empty, payload on one line."""
+    payload = F.get(line_parts(line), F.lit(2))
     # The line as a whole is free of terminators nearly always; only else look at the payload.
     return F.coalesce(
-        line.rlike(r"^[^|]+\|[^|]+\|")
-        & (~_has_terminator(line) | ~_has_terminator(F.get(line_parts(line), F.lit(2)))),
+        line.rlike(r"^[^|]++\|[^|]++\|")
+        & F.when(_has_terminator(line), ~_has_terminator(payload)).otherwise(F.lit(True)),
         F.lit(False))
 
 

@@ -65,24 +65,28 @@ def run_payloads(jobs: DataFrame, registry: dict[str, PayloadHandler]) -> DataFr
     """
     columns = ["type", "batch_no", "id", "jobtype", "data"]
 
+    def finish(frame: pd.DataFrame, starts) -> pd.DataFrame:
+        kinds, data = frame["jobtype"].tolist(), frame["data"].tolist()
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(data)]):
+            rows += _run_batch(registry.get(kinds[a]), data[a:b])
+        out = pd.DataFrame(rows, columns=["exitcode", "code", "duration", "output"])
+        out.insert(0, "id", frame["id"].to_numpy())
+        out.insert(1, "type", frame["type"].to_numpy())
+        return out
+
     def run(frames):
-        def finish(batch: pd.DataFrame) -> pd.DataFrame:
-            rows = _run_batch(registry.get(batch["jobtype"].iat[0]), batch["data"].tolist())
-            out = pd.DataFrame(rows, columns=["exitcode", "code", "duration", "output"])
-            out.insert(0, "id", batch["id"].to_numpy())
-            out.insert(1, "type", batch["type"].to_numpy())
-            return out
-
-        open_batch = None  # the batch that may go on in the next frame
+        rest = None  # the batch that may go on in the next frame
         for frame in frames:
-            if open_batch is not None:
-                frame = pd.concat([open_batch, frame], ignore_index=True)
-            parts = [g for _, g in frame.groupby(["type", "batch_no"], sort=False)]
-            open_batch = parts.pop() if parts else None
-            if parts:
-                yield pd.concat([finish(p) for p in parts], ignore_index=True)
-        if open_batch is not None:
-            yield finish(open_batch)
+            if rest is not None:
+                frame = pd.concat([rest, frame], ignore_index=True)
+            keys = frame[["type", "batch_no"]]
+            starts = (keys != keys.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            if len(starts) > 1:
+                yield finish(frame.iloc[:starts[-1]], starts[:-1])
+            rest = frame.iloc[starts[-1]:] if starts else None
+        if rest is not None:
+            yield finish(rest, [0])
 
     placed = (jobs.select(*columns).repartition("type", "batch_no")
               .sortWithinPartitions("type", "batch_no", "id"))

@@ -6,7 +6,7 @@ table. Builders that take ``events`` accept a batch or a streaming DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from jobtide.functions import ids, text
 from jobtide.schema import LOCK_DONE, LOCK_NONE, TYPE_LEASE
@@ -15,15 +15,23 @@ AS_OF = "2024-01-16 00:00:00"
 AS_OF_MS = 1705363200000
 
 
+_schemas: dict[str, T.StructType] = {}  # of paths read before, to read footers only once
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return _instants(df)
+    return _instants(_read(spark, f"{sf_dir}/{name}.parquet"))
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    schema = _read(spark, f"{sf_dir}/{name}.parquet").schema
     # As a pattern, so that the table may be one file or a folder of files.
     return _instants(spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet"))
 

@@ -42,7 +42,8 @@ class UpsertSink:
             span = days.first()
             known = known.where(F.col("created_day").between(span.lo, span.hi))
             fresh = fresh.join(known.select("id"), "id", "left_anti")
-        (fresh.write.mode("overwrite").partitionBy("created_day")
+        # One day's rows go to few files, a day with most of the rows to several.
+        (fresh.hint("rebalance", "created_day").write.mode("overwrite").partitionBy("created_day")
          .parquet(f"{self.path}/batch={batch_id}"))
         accepted.unpersist()
 
