@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from jobtide.schema import CODE_BAD_HANDLER, CODE_INVALID_RESPONSE, EXIT_ERROR
+from jobtide.session import ship_package
 
 RESULT = "id string, type string, exitcode int, code string, duration double, output string"
 
@@ -63,6 +64,7 @@ def run_payloads(jobs: DataFrame, registry: dict[str, PayloadHandler]) -> DataFr
     Batches are spread over tasks by (type, batch_no), so a type with most of the jobs is spread
     too. A task streams its batches in order; only one batch is held at a time.
     """
+    ship_package(jobs.sparkSession)
     columns = ["type", "batch_no", "id", "jobtype", "data"]
 
     def finish(frame: pd.DataFrame, starts) -> pd.DataFrame:
