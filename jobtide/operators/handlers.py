@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from jobtide.operators.lookup import lookup_join
 from jobtide.operators.ordered import number_rows
 from jobtide.schema import (CODE_BAD_HANDLER, DEFAULT_BATCH_SIZE, EXIT_ERROR, HANDLER_DROP_BEFORE,
                             HANDLER_DT, LOCK_HANDLER)
@@ -29,30 +30,24 @@ def put_handlers(versions: DataFrame) -> DataFrame:
 
 def drop_handlers(jobs: DataFrame, types: DataFrame) -> DataFrame:
     """The table without any handler version of the given types."""
-    gone = types.select("type", F.lit(LOCK_HANDLER).alias("lock")).distinct()
+    gone = types.select("type").distinct()
     fixed = F.col("dt") < F.to_timestamp(F.lit(HANDLER_DROP_BEFORE))
     droppable = (F.col("lock") == LOCK_HANDLER) & fixed
     kept = jobs.where(~F.coalesce(droppable, F.lit(False)))
-    return kept.unionByName(jobs.where(droppable).join(gone, ["type", "lock"], "left_anti")
-                            .select(*jobs.columns))
+    left = lookup_join(jobs.where(droppable), gone, "type", "id", "left_anti")
+    return kept.unionByName(left.select(*jobs.columns))
 
 
 def attach_handlers(jobs: DataFrame, handlers: DataFrame) -> DataFrame:
-    """Every job with the newest handler of its type, NULLs when there is none.
-
-    The handler side is one row per type. Nothing is hinted: it is broadcast when its size allows,
-    else joined by shuffle, where adaptive execution splits a type that holds much of the jobs.
-    """
-    newest = latest_handler(handlers)
-    return jobs.join(newest.select(
-        "type", *[F.col(c).alias("handler_id" if c == "id" else c)
-                  for c in newest.columns if c != "type"]), "type", "left")
+    """Every job with the newest handler of its type, NULLs when there is none."""
+    newest = latest_handler(handlers).withColumnRenamed("id", "handler_id")
+    return lookup_join(jobs, newest, "type", "id")
 
 
 def jobs_without_handler(jobs: DataFrame, handlers: DataFrame) -> DataFrame:
     """Jobs that cannot run: their type's newest handler is missing or lacks lang or body."""
     usable = latest_handler(handlers).where("lang <> '' AND body <> ''").select("type")
-    return jobs.join(usable, "type", "left_anti").select(
+    return lookup_join(jobs, usable, "type", "id", "left_anti").select(
         "id", "type", F.lit(EXIT_ERROR).alias("exitcode"), F.lit(CODE_BAD_HANDLER).alias("code"))
 
 
@@ -62,6 +57,6 @@ def assign_batches(jobs: DataFrame, handlers: DataFrame,
     numbered = number_rows(jobs.select("type", "id"), ["type"], ["id"], "_n")
     sizes = latest_handler(handlers.select("id", "type", "batch_size")).select("type", "batch_size")
     size = F.coalesce(F.col("batch_size"), F.lit(default_size)).cast("long")
-    return numbered.join(sizes, "type", "left").select(
+    return lookup_join(numbered, sizes, "type", "id").select(
         "type", "id", F.floor((F.col("_n") - 1) / size).alias("batch_no"),
         ((F.col("_n") - 1) % size).alias("pos"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from jobtide.functions import states
+from jobtide.operators.lookup import lookup_join
 from jobtide.operators.transitions import purge_jobs, release_jobs, renew_locks
 from jobtide.schema import LEASE_DEGRADED_MS, LEASE_MS, LOCK_NONE, TYPE_LEASE
 
@@ -37,6 +38,6 @@ def lease_expire(leases: DataFrame, now) -> DataFrame:
 def jobs_of_dead_owners(jobs: DataFrame, leases: DataFrame, now) -> DataFrame:
     """Jobs under the lock of a daemon that has no live lease."""
     alive = leases.where(~states.is_unlocked(F.col("lock"))
-                         & (F.col("dt") >= states.instant(now))).select("lock")
-    return (jobs.where(states.is_running_lock(F.col("lock")) & ~states.is_lease(F.col("type")))
-            .join(alive, "lock", "left_anti"))
+                         & (F.col("dt") >= states.instant(now))).select("lock").distinct()
+    owned = jobs.where(states.is_running_lock(F.col("lock")) & ~states.is_lease(F.col("type")))
+    return lookup_join(owned, alive, "lock", "id", "left_anti")

@@ -21,11 +21,12 @@ from jobtide.session import cut
 _SLOT_BITS = 33  # low bits of monotonically_increasing_id: the row's place in its partition
 
 
-def _slices(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+def _sliced(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows with their slice and their place; to be written before it is used twice."""
     keys = [*group, *order]
-    kept = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-               .withColumn("_slot", F.monotonically_increasing_id()), label)
-    return kept.withColumn("_slice", F.shiftright("_slot", _SLOT_BITS))
+    return (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .withColumn("_slot", F.monotonically_increasing_id())
+            .withColumn("_slice", F.shiftright("_slot", _SLOT_BITS)))
 
 
 def _earlier(group: list[str]):
@@ -46,7 +47,7 @@ def _with_carry(rows: DataFrame, carry: DataFrame, group: list[str]) -> DataFram
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], out: str = "n") -> DataFrame:
     """Adds ``out``: the 1-based number of the row within its group."""
-    rows = _slices(df, group, order, "number")
+    rows = cut(_sliced(df, group, order), "number")
     per_slice = rows.groupBy("_slice", *group).agg(
         F.min("_slot").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     carry = per_slice.select(
@@ -60,47 +61,52 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str = "n
 def running_sums(df: DataFrame, group: list[str], order: list[str],
                  sums: dict[str, Column]) -> DataFrame:
     """Adds one column per entry of ``sums``: its running total, current row included."""
-    rows = _slices(df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()]),
-                   group, order, "sums")
-    per_slice = rows.groupBy("_slice", *group).agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    carry = per_slice.select("_slice", *group, *[
+    inside = W.partitionBy("_slice", *group).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
+    valued = df.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    local = _sliced(valued, group, order).select(
+        *df.columns, "_slice", "_slot", *[F.sum(f"_v_{n}").over(inside).alias(f"_s_{n}") for n in sums])
+    rows = cut(local, "sums")
+    last = rows.groupBy("_slice", *group).agg(
+        *[F.max_by(f"_s_{n}", "_slot").alias(f"_t_{n}") for n in sums])
+    carry = last.select("_slice", *group, *[
         F.coalesce(F.sum(f"_t_{n}").over(_earlier(group)), F.lit(0)).alias(f"_b_{n}")
         for n in sums])
-    inside = W.partitionBy("_slice", *group).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
-    local = rows.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_s_{n}") for n in sums])
-    out = _with_carry(local, carry, group)
-    for n in sums:
-        out = out.withColumn(n, F.col(f"_s_{n}") + F.col(f"_b_{n}"))
-    return out.drop("_slot", "_slice", *[f"_{k}_{n}" for n in sums for k in "vtbs"])
+    return _with_carry(rows, carry, group).select(
+        *df.columns, *[(F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
 # A running count that never goes below zero composes over slices: with S the running sum and M
 # its running minimum, the clamped count is S - min(0, M); a slice is summed up by (sum, minimum).
 
 
-def _clamp_parts(df: DataFrame, group: list[str], order: list[str], delta: str):
-    rows = _slices(df, group, order, "clamp")
+def _slice_sums(df: DataFrame, group: list[str], order: list[str], delta: str) -> DataFrame:
+    """Within each slice: ``_s`` the running sum, ``_m`` its running minimum, ``_m_prev`` that of
+    the row before."""
     inside = W.partitionBy("_slice", *group).orderBy("_slot")
     upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    local = rows.withColumn("_s", F.sum(delta).over(upto)).withColumn("_m", F.min("_s").over(upto))
+    return (_sliced(df, group, order)
+            .withColumn("_s", F.sum(delta).over(upto))
+            .withColumn("_m", F.min("_s").over(upto))
+            .withColumn("_m_prev", F.lag("_m").over(inside)))
+
+
+def _slice_carry(local: DataFrame, group: list[str], delta: str) -> DataFrame:
+    """Per slice: what the group's earlier slices add up to (``_off``) and fell to (``_least``)."""
     per_slice = local.groupBy("_slice", *group).agg(
         F.sum(delta).alias("_total"), F.min("_s").alias("_low"),
         F.sum(F.greatest(F.col(delta), F.lit(0))).alias("_gained"))
-    carry = per_slice.withColumn("_off", F.coalesce(F.sum("_total").over(_earlier(group)), F.lit(0)))
-    carry = carry.withColumn("_least", F.coalesce(
-        F.min(F.col("_off") + F.col("_low")).over(_earlier(group)), F.lit(0)))
-    return local, inside, carry
+    off = F.coalesce(F.sum("_total").over(_earlier(group)), F.lit(0))
+    least = F.coalesce(F.min(F.col("_off") + F.col("_low")).over(_earlier(group)), F.lit(0))
+    return per_slice.withColumn("_off", off).withColumn("_least", least)
 
 
 def clamped_counts(df: DataFrame, group: list[str], order: list[str], delta: str) -> DataFrame:
     """Adds ``x``, the running sum of ``delta`` kept at zero or above, and ``x_before``."""
-    local, inside, carry = _clamp_parts(df, group, order, delta)
-    local = local.withColumn("_m_prev", F.lag("_m").over(inside))
-    out = _with_carry(local, carry.select("_slice", *group, "_off", "_least"), group)
+    local = cut(_slice_sums(df, group, order, delta), "clamp")
+    carry = _slice_carry(local, group, delta).select("_slice", *group, "_off", "_least")
     s, off = F.col("_s"), F.col("_off")
     floor = F.least(F.lit(0), F.col("_least"))
-    return (out
+    return (_with_carry(local, carry, group)
             .withColumn("x", off + s - F.least(floor, off + F.col("_m")))
             .withColumn("x_before", off + s - F.col(delta)
                         - F.coalesce(F.least(floor, off + F.col("_m_prev")), floor))
@@ -111,9 +117,10 @@ def clamp_summary(df: DataFrame, group: list[str], order: list[str], delta: str)
     """Per group: ``total`` (sum of ``delta``), ``low`` (its least running sum, at most 0) and
     ``gained`` (sum of its positive values).
 
-    A count x before the rows becomes ``x + total - least(0, x + low)`` after them.
+    A count x before the rows becomes ``x + total - least(0, x + low)`` after them. The slices are
+    used once here, so nothing is written.
     """
-    _, _, carry = _clamp_parts(df, group, order, delta)
+    carry = _slice_carry(_slice_sums(df, group, order, delta), group, delta)
     return carry.groupBy(*group).agg(
         F.sum("_total").alias("total"), F.sum("_gained").alias("gained"),
         F.least(F.lit(0), F.min(F.col("_off") + F.col("_low"))).alias("low"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.functions import ids, states, text
+from jobtide.operators.lookup import lookup_join
+from jobtide.operators.ordered import running_sums
 from jobtide.schema import (CODE_BATCH_ERROR, CODE_INVALID_RESPONSE, CODE_NO_RESPONSE, EXIT_ERROR,
                             RETRY_WINDOW_MS, STOPPED_BATCH_SIZE)
 
@@ -100,7 +102,8 @@ def align_outcomes(batch_jobs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def request_errors(batch_jobs: DataFrame, failed_calls: DataFrame) -> DataFrame:
     """Every job of a failed call (batch, error_code) fails with the call's code."""
-    return batch_jobs.join(failed_calls.select("batch", "error_code"), "batch").select(
+    failed = failed_calls.select("batch", "error_code")
+    return lookup_join(batch_jobs, failed, "batch", "id", "inner").select(
         "batch", "id", "type", F.lit(EXIT_ERROR).alias("exitcode"),
         F.coalesce("error_code", F.lit(CODE_BATCH_ERROR)).alias("code"))
 
@@ -116,12 +119,11 @@ def run_durations(batch_jobs: DataFrame, calls: DataFrame, outputs: DataFrame) -
     per_call = calls.join(answered, "batch", "left").select(
         "batch", F.when(F.col("is_batch"), elapsed / answers)
         .otherwise(elapsed.cast("double")).alias("duration"))
-    return batch_jobs.select("batch", "id").join(per_call, "batch", "left")
+    return lookup_join(batch_jobs.select("batch", "id"), per_call, "batch", "id")
 
 
 def chain_jobs(outputs: DataFrame, sysid: str, base_ms: int) -> DataFrame:
     """``#J: type|payload`` output lines to journal lines with fresh ids, in (batch, pos) order."""
-    from jobtide.operators.ordered import running_sums
     found = F.filter(
         F.transform(new_job_lines(F.col("output")), lambda s: F.substr(s, F.lit(5))),
         lambda s: s.rlike(r"^[^|]+\|"))

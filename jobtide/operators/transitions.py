@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jobtide.functions import states
+from jobtide.operators.lookup import lookup_join
 from jobtide.operators.outcomes import disposition
 from jobtide.schema import (DONE_KEEP_MS, LOCK_DONE, LOCK_EXPIRE_MS, LOCK_NONE,
                             RETRY_DELAY_MS, RETRY_WINDOW_MS, UNRUN_KEEP_MS)
@@ -93,10 +94,10 @@ def claim_jobs(jobs: DataFrame, now, lock: str, limit: int, expire_ms: int = LOC
     ranked = jobs.where(ready).select("type", "id").withColumn(
         "_n", F.row_number().over(W.partitionBy("type").orderBy("id"))).where(F.col("_n") <= top)
     if limits is not None:
-        ranked = (ranked.join(limits.select("type", "batch_size"), "type", "left")
+        ranked = (lookup_join(ranked, limits.select("type", "batch_size"), "type", "id")
                   .where(F.col("_n") <= F.coalesce("batch_size", F.lit(limit))))
     last = ranked.groupBy("type").agg(F.max("id").alias("_last"))
-    return _update(jobs.join(last, "type", "left"), ready & (F.col("id") <= F.col("_last")), {
+    return _update(lookup_join(jobs, last, "type", "id"), ready & (F.col("id") <= F.col("_last")), {
         "lock": F.lit(lock), "dt": states.plus_ms(states.instant(now), expire_ms)}).drop("_last")
 
 

@@ -43,4 +43,4 @@ def journal_compact(spark: SparkSession, sources: list[str], target: str, files:
     """Joins many small files into ``files`` bigger ones; the inputs stay, to be removed once the
     target is in use."""
     lines = journal_scan(spark, *sources).withColumnRenamed("line", "value")
-    lines.repartition(files).write.option("lineSep", _LINE_SEP).text(target)
+    lines.coalesce(files).write.option("lineSep", _LINE_SEP).text(target)

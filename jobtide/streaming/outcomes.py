@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from jobtide.functions import states
 from jobtide.operators.handlers import latest_handler
+from jobtide.operators.lookup import dealt_lookup
 from jobtide.schema import RETRY_DELAY_MS
 
 
@@ -19,11 +20,14 @@ def stream_outcome_windows(runs: DataFrame, delay: str = "10 minutes",
             .select(F.unix_millis("w.start").alias("window_ms"), "type", "class", "n"))
 
 
-def stream_attach_handlers(jobs: DataFrame, handlers: DataFrame) -> DataFrame:
-    """A stream of jobs with the newest handler of each job's type, read anew per micro-batch."""
+def stream_attach_handlers(jobs: DataFrame, handlers: DataFrame, parts: int = 32) -> DataFrame:
+    """A stream of jobs with the newest handler of each job's type, read anew per micro-batch.
+
+    Handlers too big to broadcast are joined with every type dealt over ``parts``.
+    """
     newest = latest_handler(handlers).select(
         "type", F.col("id").alias("handler_id"), "lang", "body")
-    return jobs.join(newest, "type", "left")
+    return dealt_lookup(jobs, newest, "type", "id", parts)
 
 
 def stream_retry_ready(releases: DataFrame, runs: DataFrame, bound: str = "10 minutes",

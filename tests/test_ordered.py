@@ -41,10 +41,10 @@ def test_number_rows(frame, data):
 
 
 def test_hot_group_is_spread(spark, frame):
-    from jobtide.operators.ordered import _slices
+    from jobtide.operators.ordered import _sliced
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small data
     try:
-        sizes = _slices(frame.repartition(8), ["g"], ["at"], "t").groupBy("_slice").count()
+        sizes = _sliced(frame.repartition(8), ["g"], ["at"]).groupBy("_slice").count()
         top = sizes.agg(F.max("count")).first()[0]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
