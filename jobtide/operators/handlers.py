@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from jobtide.operators.lookup import lookup_join
 from jobtide.operators.ordered import number_rows
-from jobtide.schema import (CODE_BAD_HANDLER, DEFAULT_BATCH_SIZE, EXIT_ERROR, HANDLER_DROP_BEFORE,
-                            HANDLER_DT, LOCK_HANDLER)
+from jobtide.schema import (CODE_BAD_HANDLER, DEFAULT_BATCH_SIZE, EXIT_ERROR, HANDLER,
+                            HANDLER_DROP_BEFORE, HANDLER_DT, LOCK_HANDLER)
 
 
 def latest_handler(handlers: DataFrame) -> DataFrame:
@@ -21,13 +21,24 @@ def latest_handler(handlers: DataFrame) -> DataFrame:
 def put_handlers(versions: DataFrame) -> DataFrame:
     """New versions as rows of the jobs table; those without lang or body are not accepted."""
     ok = F.coalesce((F.col("lang") != "") & (F.col("body") != ""), F.lit(False))
-    fields = [F.col(c) for c in versions.columns if c not in ("id", "type")]
+    fields = [F.col(c) for c in HANDLER.names if c in versions.columns]
+    if "batch_size" in versions.columns:
+        size = F.create_map(F.lit("batchSize"), F.col("batch_size").cast("string"))
+        fields.append(F.when(F.col("batch_size").isNotNull(), size).alias("options"))
     return versions.select(
         "id", "type", F.to_timestamp(F.lit(HANDLER_DT)).alias("dt"),
         F.lit(LOCK_HANDLER).alias("lock"), F.to_json(F.struct(*fields)).alias("data"),
         ok.alias("accepted"))
 
 
+def stored_handlers(jobs: DataFrame) -> DataFrame:
+    """The handler versions in a jobs table: id, type, the handler's fields and ``batch_size``."""
+    rows = jobs.where(F.col("lock") == LOCK_HANDLER).select(
+        "id", "type", F.from_json("data", HANDLER).alias("_h"))
+    return rows.select("id", "type", "_h.*", F.col("_h.options")["batchSize"].cast("int")
+                       .alias("batch_size"))
+
+
 def drop_handlers(jobs: DataFrame, types: DataFrame) -> DataFrame:
     """The table without any handler version of the given types."""
     gone = types.select("type").distinct()

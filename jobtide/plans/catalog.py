@@ -412,6 +412,14 @@ def put_handlers(spark, sf_dir):
                       F.get_json_object("data", "$.body").alias("body"), "accepted")
 
 
+@query
+def stored_handlers(spark, sf_dir):
+    put = tr.next_table(h.put_handlers(feeds.handlers(spark, sf_dir)))
+    stored = put.unionByName(feeds.jobs(spark, sf_dir))
+    return h.latest_handler(h.stored_handlers(stored)).select(
+        "type", "id", "eid", "lang", "body", "batch_size")
+
+
 @query
 def drop_handlers(spark, sf_dir):
     versions = feeds.handlers(spark, sf_dir)

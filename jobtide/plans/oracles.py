@@ -154,6 +154,8 @@ _SQL = {
     "held_jobs": "SELECT j.id, j.type, j.lock FROM jobs j SEMI JOIN held o ON o.id = j.id AND o.lock = j.lock",
     "latest_handler": "SELECT type, id, eid, lang, body, batch_size FROM latest",
     "put_handlers": f"""SELECT id, type, {ms('dt')} AS dt_ms, lock, body, accepted FROM ({_HANDLER_ROWS})""",
+    "stored_handlers": """SELECT type, id, eid, lang, body, batch_size FROM handlers
+ WHERE lang <> '' AND body <> '' QUALIFY row_number() OVER (PARTITION BY type ORDER BY id DESC) = 1""",
     "drop_handlers": _table(f"""SELECT id, type, lock, dt FROM jobs UNION ALL
  SELECT id, type, lock, dt FROM ({_HANDLER_ROWS}) WHERE accepted
  AND type NOT IN (SELECT type FROM latest WHERE body IS NULL)"""),

@@ -53,15 +53,6 @@ HANDLER = T.StructType([
     T.StructField("options", T.MapType(T.StringType(), T.StringType())),
 ])
 
-RUN = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("exitcode", T.IntegerType()),
-    T.StructField("code", T.StringType()),
-    T.StructField("duration", T.DoubleType()),
-    T.StructField("error", T.StringType()),
-])
-
 LOG_LINE = T.StructType([
     T.StructField("time", T.StringType()),
     T.StructField("type", T.StringType()),
