@@ -19,8 +19,9 @@ def lookup_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: st
     parts as their count asks for (by ``spread``, a column that differs within a key), and their
     one side row copied to each part. All keys stay whole in the result.
     """
+    extra = [] if how in ("left_semi", "left_anti") else [c for c in side.columns if c != key]
     if fits_broadcast(side):
-        return rows.join(side, key, how)
+        return rows.join(side, key, how).select(*rows.columns, *extra)
     hot = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
            .orderBy(F.desc("_rows"), key).limit(TOP_KEYS)
            .select(key, F.ceil(F.col("_rows") / rows_per_part).alias("_parts"))
@@ -30,15 +31,17 @@ def lookup_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: st
     dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts))
     copied = side.join(hot, key, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return dealt.drop("_parts").join(copied, [key, "_part"], how).drop("_part")
+    return (dealt.drop("_parts").join(copied, [key, "_part"], how)
+            .select(*rows.columns, *extra))
 
 
 def dealt_lookup(rows: DataFrame, side: DataFrame, key: str, spread: str, parts: int) -> DataFrame:
     """Left join like :func:`lookup_join` for streams, whose keys cannot be counted beforehand:
     beyond broadcast size every key is dealt over ``parts``."""
+    columns = [*rows.columns, *[c for c in side.columns if c != key]]
     if fits_broadcast(side):
-        return rows.join(side, key, "left")
+        return rows.join(side, key, "left").select(*columns)
     part: Column = F.pmod(F.xxhash64(spread), F.lit(parts))
     copied = side.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"),
                                                            F.lit(parts - 1).cast("long"))))
-    return rows.withColumn("_part", part).join(copied, [key, "_part"], "left").drop("_part")
+    return rows.withColumn("_part", part).join(copied, [key, "_part"], "left").select(*columns)

@@ -52,7 +52,7 @@ def conditional_update(jobs: DataFrame, where: Column, props: dict[str, Column]
     if limit is not None:
         first = (jobs.where(hit).select(order).orderBy(order).limit(limit)
                  .withColumn("_first", F.lit(True)))
-        jobs = jobs.join(first, order, "left")
+        jobs = jobs.join(first, order, "left").select(*jobs.columns, "_first")
         hit = F.coalesce("_first", F.lit(False))
     out = _update(jobs, hit, props or {}, "removed" if remove else "changed")
     return out.drop("_first")
@@ -110,9 +110,10 @@ def locked_jobs(jobs: DataFrame, limit: int, type: str | None = None,
     return jobs.where(held).orderBy("id").limit(limit)
 
 
-def _with_owner(jobs: DataFrame, held: DataFrame) -> DataFrame:
-    """Left-joins held ids (id, lock): ``_owner`` is the lock they must still be under."""
-    return jobs.join(held.select("id", F.col("lock").alias("_owner")).distinct(), "id", "left")
+def _with_held(jobs: DataFrame, held: DataFrame) -> DataFrame:
+    """Adds ``_held``, true for the jobs among the held ids and still under the holder's lock."""
+    held = held.select("id", "lock", F.lit(True).alias("_held")).distinct()
+    return jobs.join(held, ["id", "lock"], "left").select(*jobs.columns, "_held")
 
 
 def held_jobs(jobs: DataFrame, held: DataFrame) -> DataFrame:
@@ -123,8 +124,8 @@ def held_jobs(jobs: DataFrame, held: DataFrame) -> DataFrame:
 def renew_locks(jobs: DataFrame, held: DataFrame, now,
                 expire_ms: int = LOCK_EXPIRE_MS) -> DataFrame:
     """Held ids (id, lock) under that lock run on until ``now + expire_ms``."""
-    return _update(_with_owner(jobs, held), F.col("lock") == F.col("_owner"), {
-        "dt": states.plus_ms(states.instant(now), expire_ms)}).drop("_owner")
+    return _update(_with_held(jobs, held), F.col("_held"), {
+        "dt": states.plus_ms(states.instant(now), expire_ms)}).drop("_held")
 
 
 def _released(how: Column, now) -> dict[str, Column]:
@@ -138,10 +139,9 @@ def _released(how: Column, now) -> dict[str, Column]:
 
 def release_jobs(jobs: DataFrame, releases: DataFrame, now) -> DataFrame:
     """Lets go of jobs (id, lock, how): ``archive``, ``retry`` after a delay, else run again now."""
-    wanted = releases.select("id", F.col("lock").alias("_owner"), F.col("how").alias("_how"))
-    wanted = wanted.groupBy("id", "_owner").agg(F.min("_how").alias("_how"))
-    return _update(jobs.join(wanted, "id", "left"), F.col("lock") == F.col("_owner"),
-                   _released(F.col("_how"), now)).drop("_owner", "_how")
+    wanted = releases.groupBy("id", "lock").agg(F.min("how").alias("_how"))
+    joined = jobs.join(wanted, ["id", "lock"], "left").select(*jobs.columns, "_how")
+    return _update(joined, F.col("_how").isNotNull(), _released(F.col("_how"), now)).drop("_how")
 
 
 def expire_locks(jobs: DataFrame, now) -> DataFrame:
@@ -205,17 +205,17 @@ def upkeep(jobs: DataFrame, held: DataFrame, now, expire_ms: int = LOCK_EXPIRE_M
     Flags: ``action`` names the step that touched the row, NULL for none.
     """
     at = states.instant(now)
-    renew = F.coalesce(F.col("lock") == F.col("_owner"), F.lit(False))
+    renew = F.coalesce("_held", F.lit(False))
     stale = ~renew & F.coalesce(states.is_stale(F.col("dt"), F.col("lock"), at), F.lit(False))
     unrun = (states.is_unlocked(F.col("lock"))
              & (F.col("dt") < states.plus_ms(at, -unrun_keep_ms)))
     action = (F.when(renew, "renew").when(stale, "expire")
               .when(_done_too_long(at, done_keep_ms), "purge_done").when(unrun, "purge_unrun"))
-    out = _with_owner(jobs, held).withColumn("action", action)
+    out = _with_held(jobs, held).withColumn("action", action)
     return out.withColumns({
         "dt": F.when(F.col("action") == "renew", states.plus_ms(at, expire_ms))
         .when(F.col("action") == "expire", at).otherwise(F.col("dt")),
         "lock": F.when(F.col("action") == "expire", LOCK_NONE).otherwise(F.col("lock")),
         "data": F.when(~F.coalesce(F.startswith("action", F.lit("purge")), F.lit(False)),
                        F.col("data")),
-    }).drop("_owner")
+    }).drop("_held")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from jobtide.functions import ids, text
+from jobtide.functions import ids, states, text
+from jobtide.operators.outcomes import scoreboard
 from jobtide.schema import LOCK_DONE, LOCK_NONE, TYPE_LEASE
 
 AS_OF = "2024-01-16 00:00:00"
@@ -85,7 +86,7 @@ def runs_from(events: DataFrame) -> DataFrame:
     """Finished runs of claimed jobs, one to three attempts each."""
     e = F.col("event_id")
     return (
-        jobs_from(events, "event_id", "user_id", "value", "ts").where(e % 10 >= 5)
+        jobs_from(events, "event_id", "user_id", "value", "ts").where(F.col("lock") != LOCK_NONE)
         .withColumn("attempt", F.explode(F.sequence(F.lit(1), (1 + e % 3).cast("int"))))
         .select(
             "id", "type", "event_id", "attempt",
@@ -222,7 +223,7 @@ def schedules(spark, sf_dir):
 def lock_events_from(events: DataFrame) -> DataFrame:
     """Claim, renewals and mostly a stop for each job that some daemon holds."""
     e = F.col("event_id")
-    held = jobs_from(events, "event_id", "ts").where((e % 10).isin(5, 6, 9))
+    held = jobs_from(events, "event_id", "ts").where(states.is_running_lock(F.col("lock")))
     claimed = F.col("ts") + F.expr("INTERVAL 1 MINUTE")
     renews = (e % 4).cast("int")
 
@@ -242,10 +243,8 @@ def lock_events_from(events: DataFrame) -> DataFrame:
 
 def unfinished(spark, sf_dir):
     """Runs' jobs that the runners still hold: last exit code neither 2xx nor 4xx."""
-    from jobtide.functions.states import is_final
-    from jobtide.operators.outcomes import scoreboard
     board = scoreboard(runs(spark, sf_dir), extra=["runner"])
-    return board.where(~is_final(F.col("exitcode"))).select("id", F.col("runner").alias("lock"))
+    return board.where(~states.is_final(F.col("exitcode"))).select("id", F.col("runner").alias("lock"))
 
 
 def journal_rows(spark, sf_dir):

@@ -29,8 +29,8 @@ def no_broadcast(spark):
 def test_same_rows_as_a_plain_join(spark, sides, no_broadcast, how):
     rows, side = sides
     got = lookup_join(rows, side, "type", "id", how, rows_per_part=100)
-    want = rows.join(side, "type", how)
-    assert got.columns == want.columns
+    assert got.columns == ["id", "type", "v"][:3 if how in ("left", "inner") else 2]
+    want = rows.join(side, "type", how).select(got.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
@@ -48,4 +48,5 @@ def test_hot_key_is_dealt_over_tasks(spark, sides, no_broadcast):
 def test_dealt_lookup(spark, sides, no_broadcast):
     rows, side = sides
     got = dealt_lookup(rows, side, "type", "id", 4)
-    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.join(side, "type", "left").collect()))
+    want = rows.join(side, "type", "left").select("id", "type", "v")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -80,6 +80,26 @@ def test_renew_own_locks_only(spark, make_jobs, now):
     assert rows(tr.held_jobs(jobs, held), "id") == [("a",)]
 
 
+def test_two_holders_of_one_id_do_not_double_the_row(spark, make_jobs, now):
+    jobs = make_jobs(("a", "t", 1, "me"), ("b", "t", 1, None))
+    held = spark.createDataFrame([("a", "me"), ("a", "you"), ("b", None)], "id string, lock string")
+    wanted = held.withColumn("how", F.lit("retry"))
+    for flagged in (tr.renew_locks(jobs, held, now), tr.release_jobs(jobs, wanted, now)):
+        assert rows(flagged, "id", "changed") == [("a", True), ("b", False)]
+    assert rows(tr.upkeep(jobs, held, now), "id", "action") == [("a", "renew"), ("b", None)]
+
+
+def test_transitions_keep_the_columns(spark, make_jobs, now):
+    jobs = make_jobs(("a", "t", 1, "me"))
+    held = spark.createDataFrame([("a", "me")], "id string, lock string")
+    wanted = held.withColumn("how", F.lit("retry"))
+    for flagged in (tr.conditional_update(jobs, F.lit(True), {"lock": F.lit("x")}, limit=1),
+                    tr.claim_jobs(jobs, now, "x", 1), tr.renew_locks(jobs, held, now),
+                    tr.release_jobs(jobs, wanted, now), tr.expire_locks(jobs, now),
+                    tr.purge_jobs(jobs, now, lock="x"), tr.add_jobs(jobs, now)):
+        assert tr.next_table(flagged).columns == jobs.columns
+
+
 def test_purge(make_jobs, now):
     jobs = make_jobs(("a", "A", -5, "x"), ("b", "A", -5, "y"), ("c", "B", -5, "x"), ("d", "A", 5, "x"))
     with pytest.raises(ValueError):
