@@ -4,7 +4,8 @@ A text's features are which word unigrams and bigrams it has, and which runs of
 shapes (lower case, capitalised, capitals, digits, same as the word before, or the sign itself),
 hashed to ``2**BITS`` slots. Each slot is scaled by its class log-count ratio, rows are brought to unit length, and a linear hinge-loss model
 is fitted by dual coordinate descent (L2 loss, so every step has a closed form). Weights are then
-mixed with their mean size, and a logistic curve fitted on a tenth of the sample maps margins to 0..1.
+mixed with their mean size, and a logistic curve, fitted on margins of rows left out in turn, maps
+margins to 0..1. Both classes weigh alike throughout.
 
 Fitting reads at most ``per_class`` labelled rows of each class, those with the least hash of the
 id: a bounded sample, whatever the size of the tables (some 30 MB of slot numbers on the driver at
@@ -29,7 +30,7 @@ from jobtide.llm.common import per_value
 BITS = 18
 PER_CLASS = 3000
 SHAPE_RUNS = (2, 3, 4)
-EPOCHS, COST, MIX, SMOOTH = 12, 1.0, 0.25, 1.0
+EPOCHS, COST, MIX, SMOOTH, FOLDS = 12, 1.0, 0.5, 1.0, 3
 KNOWN_WORDS = 200_000  # word hashes that a worker remembers at most
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]")
 
@@ -79,14 +80,15 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / many[1] + unseen) - np.log(counts[0] / many[0] + unseen)
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
-    """Weights (the bias last) of the squared hinge loss by dual coordinate descent."""
+def descend(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Weights (the bias last) of the squared hinge loss by dual coordinate descent; classes weigh alike."""
     weights, dual = np.zeros((1 << BITS) + 1), np.zeros(len(rows))
-    norms = np.array([v @ v + 1.0 for v in values]) + 0.5 / COST
+    signs, slack = labels * 2.0 - 1.0, 0.5 / (COST * balance(labels))
+    norms = np.array([v @ v + 1.0 for v in values]) + slack
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
-            gap = 1.0 - signs[i] * (weights[rows[i]] @ values[i] + weights[-1]) - dual[i] * 0.5 / COST
+            gap = 1.0 - signs[i] * (weights[rows[i]] @ values[i] + weights[-1]) - dual[i] * slack[i]
             step = max(dual[i] + gap / norms[i], 0.0) - dual[i]
             if step:
                 dual[i] += step
@@ -95,6 +97,12 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray)
     return weights
 
 
+def balance(labels: np.ndarray) -> np.ndarray:
+    """A weight for each row by which both classes weigh alike, 1 on average."""
+    many = np.bincount(labels, minlength=2)
+    return len(labels) / (2.0 * many[labels])
+
+
 def scaled(slots: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     values = ratios[slots]
     size = np.sqrt(values @ values)
@@ -102,40 +110,57 @@ def scaled(slots: np.ndarray, ratios: np.ndarray) -> np.ndarray:
 
 
 def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the score curve, by Newton steps on ridged log loss."""
-    a, b = 2.0, 0.0
+    """Slope and offset of the score curve, by Newton steps on ridged log loss; classes weigh alike."""
+    a, b, share = 2.0, 0.0, balance(labels)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        w = p * (1 - p)
-        grad = np.array([(p - labels) @ margins + 0.1 * (a - 2.0), (p - labels).sum() + 0.1 * b])
+        w, miss = share * p * (1 - p), share * (p - labels)
+        grad = np.array([miss @ margins + 0.1 * (a - 2.0), miss.sum() + 0.1 * b])
         cross = (w * margins).sum()
         hess = np.array([[(w * margins) @ margins + 0.1, cross], [cross, w.sum() + 0.1]])
         a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
     return max(float(a), 1e-3), float(b)
 
 
+def weights_of(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, ratios), the weights mixed with their mean size."""
+    ratios = log_ratios(rows, labels)
+    weights = descend(rows, [scaled(r, ratios) for r in rows], labels)
+    body = weights[:-1]
+    used = body != 0
+    if used.any():
+        weights[:-1] = np.where(used, MIX * body + (1 - MIX) * np.abs(body[used]).mean() * np.sign(body), 0.0)
+    return weights, ratios
+
+
+def margin_of(weights: np.ndarray, ratios: np.ndarray, slots: np.ndarray) -> float:
+    return float(weights[slots] @ scaled(slots, ratios) + weights[-1])
+
+
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray) -> dict:
-    """The model of a labelled sample; without both classes one that scores 0.5."""
+    """The model of a labelled sample; without both classes one that scores 0.5.
+
+    The score curve is fitted on margins of rows that their own model has not seen (FOLDS models).
+    """
     if len(set(labels.tolist())) < 2:
         return {"weights": np.zeros((1 << BITS) + 1), "ratios": np.zeros(1 << BITS), "curve": (1.0, 0.0)}
-    held = np.arange(len(rows)) % 10 == 9
-    if len(set(labels[~held].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
-        held[:] = False
-    own = np.flatnonzero(~held)
-    ratios = log_ratios([rows[i] for i in own], labels[own])
-    values = [scaled(r, ratios) for r in rows]
-    weights = descend([rows[i] for i in own], [values[i] for i in own], labels[own] * 2.0 - 1.0)
-    body = weights[:-1]
-    weights[:-1] = (1 - MIX) * np.abs(body).mean() * np.sign(ratios) + MIX * body
-    margins = np.array([weights[r] @ v + weights[-1] for r, v in zip(rows, values)])
-    seen = held if held.any() else ~held
-    return {"weights": weights, "ratios": ratios, "curve": logistic(margins[seen], labels[seen])}
+    weights, ratios = weights_of(rows, labels)
+    margins = np.array([margin_of(weights, ratios, r) for r in rows])
+    fold = np.zeros(len(rows), int)
+    for label in (0, 1):  # each fold has its share of both classes
+        fold[labels == label] = np.arange((labels == label).sum()) % FOLDS
+    if np.bincount(labels).min() >= 2 * FOLDS:
+        for n in range(FOLDS):
+            own = np.flatnonzero(fold != n)
+            part = weights_of([rows[i] for i in own], labels[own])
+            for i in np.flatnonzero(fold == n):
+                margins[i] = margin_of(*part, rows[i])
+    return {"weights": weights, "ratios": ratios, "curve": logistic(margins, labels)}
 
 
 def score_one(model: dict, slots: np.ndarray) -> float:
-    values = scaled(slots, model["ratios"])
     a, b = model["curve"]
-    margin = float(model["weights"][slots] @ values + model["weights"][-1])
+    margin = margin_of(model["weights"], model["ratios"], slots)
     return float(1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30))))
 
 
