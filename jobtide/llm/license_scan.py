@@ -20,7 +20,7 @@ rows at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from jobtide.session import cut
 
@@ -146,8 +146,15 @@ def match_texts(docs: DataFrame, templates: DataFrame, text_col: str = "text") -
                      (F.size(F.array_distinct("near.h")) / F.size("shingles")).alias("contained"),
                      F.size("shingles").alias("size"))
              .where(F.col("contained") >= CONTAINED))
+    # windows over one copy suggest places a few words apart: of overlapping finds of a license one counts
+    order = W.partitionBy("text_id", "license").orderBy("first_word", "last_word")
+    ended = F.max("last_word").over(order.rowsBetween(W.unboundedPreceding, -1))
+    copies = (spans.distinct().withColumn("fresh", F.coalesce(F.col("first_word") > ended, F.lit(True)).cast("int"))
+              .withColumn("copy", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
+              .groupBy("text_id", "license", "copy").agg(F.max(F.struct("contained", "size", "first_word", "last_word")).alias("m"))
+              .select("text_id", "license", "m.*"))
     best = F.max(F.struct("contained", "size", "license", "last_word")).alias("best")
-    return spans.groupBy("text_id", "first_word").agg(best).select(
+    return copies.groupBy("text_id", "first_word").agg(best).select(
         "text_id", "best.license", "first_word", "best.last_word", "best.contained")
 
 
