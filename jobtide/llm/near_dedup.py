@@ -181,7 +181,7 @@ class NearDuplicates:
                  .where(F.col("least") != F.col("most")).select(F.col("bucket").alias("of")))
         again = cut(labelled.join(split, F.col("bucket") == F.col("of")).drop("of"), "near-again")
         more = self.confirmed(self.small_pairs(again), sets).unionByName(self.large_links(again, sets))
-        return components(cut(links.unionByName(more), "near-all-links"))
+        return components(cut(more, "near-more-links"), roots)
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """(node, shingles) of the wanted nodes, each from one document that has it."""
@@ -233,31 +233,53 @@ class NearDuplicates:
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [(r["asks"], r["node"], r["root"], unpacked(r["shingles"])) for b in batches for r in b.to_pylist()]
-            found = [(min(a, b), max(a, b)) for ask, a, root, x in rows if ask for other, b, its, y in rows
-                     if not other and root != its and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-                     and linked(x, y, percent)]
+            found = []
+            for a, root, x in [row[1:] for row in rows if row[0]]:
+                joined = {root}  # one link to each other group is enough to join them
+                for b, its, y in [row[1:] for row in rows if not row[0]]:
+                    if its not in joined and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and linked(x, y, percent):
+                        joined.add(its)
+                        found.append((min(a, b), max(a, b)))
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()),
                                               "b": pa.array([b for _, b in found], pa.binary())})
 
         return asks.unionByName(answers).groupBy("family", "q", "m").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): root is the least node that is reachable; every node of a link has a row."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges, roots = both.where(F.col("a") != F.col("b")).distinct(), None
-    labels = cut(edges.groupBy("a").agg(F.min("b").alias("least")).select(
-        F.col("a").alias("node"), F.least("a", "least").alias("root")), "components")
-    while True:
-        near = (edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("seen")))
-        # the least label around, then the label of that label's own node
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "seen").alias("up"))
-        far = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
-        new = cut(new.join(far, F.col("up") == F.col("at")).select(
-            "node", F.least("up", "beyond").alias("root"), (F.col("root") != F.least("up", "beyond")).alias("moved")), "components")
-        labels = new.select("node", "root")
-        if not new.where("moved").head(1):
-            return labels
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every node of a link (a, b): nodes have the same root if they are connected.
+
+    Each round every node takes the least node around it, then that one's own; links inside a group
+    fall away and the others go on between groups, so rounds and links shrink quickly. ``known``
+    are roots found before, which the links only join further.
+    """
+    edges = links.select("a", "b")
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    roots = nodes.withColumn("root", F.col("node"))
+    if known is not None:
+        edges = _between(edges, known)
+        new = roots.join(known.select(F.col("node").alias("had")), F.col("node") == F.col("had"), "left_anti")
+        roots = known.unionByName(new)
+    edges = cut(edges.where(F.col("a") != F.col("b")).distinct(), "component-edges")
+    while edges.head(1):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("up"))
+        far = up.select(F.col("node").alias("at"), F.col("up").alias("beyond"))
+        step = cut(up.join(far, F.col("up") == F.col("at")).select("node", F.col("beyond").alias("root")), "component-step")
+        ends = step.select(F.col("node").alias("was"), F.col("root").alias("now"))
+        roots = cut(roots.join(ends, F.col("root") == F.col("was"), "left").select(
+            "node", F.coalesce("now", "root").alias("root")), "components")
+        edges = cut(_between(edges, step), "component-edges")
+    return roots
+
+
+def _between(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The links between groups, each named by its root."""
+    one = roots.select(F.col("node").alias("node_a"), F.col("root").alias("root_a"))
+    two = roots.select(F.col("node").alias("node_b"), F.col("root").alias("root_b"))
+    moved = (edges.join(one, F.col("a") == F.col("node_a"), "left").join(two, F.col("b") == F.col("node_b"), "left")
+             .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    return moved.where(F.col("a") != F.col("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
