@@ -90,3 +90,8 @@ def outcome_class(exitcode: Column) -> Column:
 def is_final(exitcode: Column) -> Column:
     """2xx and 4xx end a job; everything else, a missing code included, is tried again."""
     return F.coalesce(F.floor(exitcode / 100).isin(2, 4), F.lit(False))
+
+
+def batch_limit(size: Column) -> Column:
+    """A handler's batch size; NULL (take the default) unless it is at least 1."""
+    return F.when(size > 0, size)

@@ -20,18 +20,29 @@ def _has_terminator(text: Column) -> Column:
     return found
 
 
-def line_parts(line: Column) -> Column:
-    """The at most three bar-separated parts of a line; bars in the payload stay in it."""
-    return F.split(line, r"\|", 3)
+def _two_parts(line: Column) -> Column:
+    """Text before the second bar, the whole line if it has none."""
+    return F.substring_index(line, "|", 2)
+
+
+def line_type(line: Column) -> Column:
+    """Text between the first two bars."""
+    return F.substr(_two_parts(line), F.length(line_id(line)) + 2)
+
+
+def line_payload(line: Column) -> Column:
+    """Text after the second bar; bars in it stay."""
+    return F.substr(line, F.length(_two_parts(line)) + 2)
 
 
 def is_journal_line(line: Column) -> Column:
     """Whether ``line`` is ``id|type|payload`` with id and type not empty, payload on one line."""
-    payload = F.get(line_parts(line), F.lit(2))
+    # Byte lengths are at hand, so the three conditions only look for bars.
+    first, two = F.octet_length(line_id(line)), F.octet_length(_two_parts(line))
+    shaped = (first > 0) & (two > first + 1) & (F.octet_length(line) > two)
     # The line as a whole is free of terminators nearly always; only else look at the payload.
     return F.coalesce(
-        line.rlike(r"^[^|]++\|[^|]++\|")
-        & F.when(_has_terminator(line), ~_has_terminator(payload)).otherwise(F.lit(True)),
+        shaped & F.when(_has_terminator(line), ~_has_terminator(line_payload(line))).otherwise(F.lit(True)),
         F.lit(False))
 
 
@@ -50,20 +61,26 @@ def line_id(line: Column) -> Column:
 
 
 def interval_ms(text: Column) -> Column:
-    """``29s``, ``.5s``, ``1w``, ``200`` as milliseconds; NULL when it is no interval."""
+    """``29s``, ``.5s``, ``1w``, ``200``, ``1e3`` as whole milliseconds; a blank text is 0.
+
+    NULL when it is no interval, or one of more milliseconds than a BIGINT holds.
+    """
     pattern = r"^\s*(\d+\.\d+|\d+\.?|\.\d+)\s*([wdhms]?)\s*$"
     number = F.regexp_extract(text, pattern, 1)
     units = F.create_map(*[F.lit(x) for unit in UNIT_MS.items() for x in unit])
     scale = F.element_at(units, F.regexp_extract(text, pattern, 2))
-    return F.when(text.rlike(pattern),
-                  F.round(number.cast("double") * scale).cast("long"))
+    plain = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"  # a number in itself, so of either sign
+    value = (F.when(F.trim(text, F.lit(SPACES)) == "", F.lit(0.0))
+             .when(text.rlike(plain), F.trim(text, F.lit(SPACES)).try_cast("double"))
+             .when(text.rlike(pattern), number.try_cast("double") * scale))
+    return F.round(value).try_cast("long")
 
 
 def leading_code(text: Column) -> Column:
-    """The non-negative whole number a response starts with, or NULL."""
-    digits = F.regexp_extract(text, r"^\s*(?:\+?(\d{1,18})|-(0+)(?!\d))", 1)
+    """The non-negative whole number a response starts with; NULL if there is none or no INT holds it."""
+    digits = F.regexp_extract(text, r"^\s*\+?(\d+)", 1)
     zero = F.regexp_extract(text, r"^\s*-(0+)(?!\d)", 1)
-    return (F.when(digits != "", digits.cast("long"))
+    return (F.when(digits != "", digits.try_cast("int").cast("long"))
             .when(zero != "", F.lit(0).cast("long")))
 
 

@@ -42,12 +42,16 @@ def state_counts(jobs: DataFrame, now) -> DataFrame:
 
 
 def state_rollup(jobs: DataFrame, now) -> DataFrame:
-    """State counts per tenant and job type, with totals per tenant and over all (NULLs)."""
+    """State counts per tenant and job type, with totals per tenant and over all (NULLs).
+
+    ``level`` tells a total (1: of a tenant, 3: of a state) from a type without a dash, whose job
+    type is NULL as well (0).
+    """
     return (state_counts(jobs, now)
             .select("state", "n", text.tenant(F.col("type")).alias("tenant"),
                     text.jobtype(F.col("type")).alias("jobtype"))
-            .rollup("state", "tenant", "jobtype").agg(F.sum("n").alias("n"))
-            .where("state IS NOT NULL"))
+            .rollup("state", "tenant", "jobtype").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+            .where("level < 7"))
 
 
 def select_field(rows: DataFrame, field: str, out: str = "value") -> DataFrame:

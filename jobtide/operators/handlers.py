@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from jobtide.functions import states
 from jobtide.operators.lookup import lookup_join
 from jobtide.operators.ordered import number_rows
 from jobtide.schema import (CODE_BAD_HANDLER, DEFAULT_BATCH_SIZE, EXIT_ERROR, HANDLER,
@@ -23,8 +24,12 @@ def put_handlers(versions: DataFrame) -> DataFrame:
     ok = F.coalesce((F.col("lang") != "") & (F.col("body") != ""), F.lit(False))
     fields = [F.col(c) for c in HANDLER.names if c in versions.columns]
     if "batch_size" in versions.columns:
-        size = F.create_map(F.lit("batchSize"), F.col("batch_size").cast("string"))
-        fields.append(F.when(F.col("batch_size").isNotNull(), size).alias("options"))
+        size = F.when(F.col("batch_size").isNotNull(), F.create_map(F.lit("batchSize"), F.col("batch_size").cast("string")))
+        if "options" in versions.columns:  # one field of that name, in which the own column wins
+            rest = F.map_filter("options", lambda k, v: (k != "batchSize") | F.col("batch_size").isNull())
+            fields = [F.col(c) for c in HANDLER.names if c in versions.columns and c != "options"]
+            size = F.coalesce(F.map_concat(rest, size), size, rest)
+        fields.append(size.alias("options"))
     return versions.select(
         "id", "type", F.to_timestamp(F.lit(HANDLER_DT)).alias("dt"),
         F.lit(LOCK_HANDLER).alias("lock"), F.to_json(F.struct(*fields)).alias("data"),
@@ -32,10 +37,13 @@ def put_handlers(versions: DataFrame) -> DataFrame:
 
 
 def stored_handlers(jobs: DataFrame) -> DataFrame:
-    """The handler versions in a jobs table: id, type, the handler's fields and ``batch_size``."""
+    """The handler versions in a jobs table: id, type, the handler's fields and ``batch_size``.
+
+    A size that is no number gives NULL, and one with a fraction its whole part.
+    """
     rows = jobs.where(F.col("lock") == LOCK_HANDLER).select(
         "id", "type", F.from_json("data", HANDLER).alias("_h"))
-    return rows.select("id", "type", "_h.*", F.col("_h.options")["batchSize"].cast("int")
+    return rows.select("id", "type", "_h.*", F.col("_h.options")["batchSize"].try_cast("double").try_cast("int")
                        .alias("batch_size"))
 
 
@@ -67,7 +75,7 @@ def assign_batches(jobs: DataFrame, handlers: DataFrame,
     """Cuts each type's jobs, in id order, in batches of the handler's size: (batch_no, pos)."""
     numbered = number_rows(jobs.select("type", "id"), ["type"], ["id"], "_n")
     sizes = latest_handler(handlers.select("id", "type", "batch_size")).select("type", "batch_size")
-    size = F.coalesce(F.col("batch_size"), F.lit(default_size)).cast("long")
+    size = F.coalesce(states.batch_limit(F.col("batch_size")), F.lit(default_size)).cast("long")
     return lookup_join(numbered, sizes, "type", "id").select(
         "type", "id", F.floor((F.col("_n") - 1) / size).alias("batch_no"),
         ((F.col("_n") - 1) % size).alias("pos"))

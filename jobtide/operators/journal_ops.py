@@ -18,10 +18,9 @@ def journal_parse(lines: DataFrame, line: str = "line", skip_deleted: bool = Fal
     keep = text.is_journal_line(F.col(line))
     if skip_deleted:
         keep = keep & ~F.startswith(F.col(line), F.lit(" "))
-    parts = lines.where(keep).select(text.line_parts(F.col(line)).alias("_p"))
-    found = parts.select(text.strip_leading(F.get("_p", F.lit(0))).alias("id"),
-                         F.get("_p", F.lit(1)).alias("type"),
-                         F.get("_p", F.lit(2)).alias("data"))
+    at = F.col(line)
+    found = lines.where(keep).select(text.strip_leading(text.line_id(at)).alias("id"),
+                                     text.line_type(at).alias("type"), text.line_payload(at).alias("data"))
     return found.select("id", "type", ids.created_at(F.col("id")).alias("dt"),
                         F.lit(LOCK_NONE).alias("lock"), "data")
 
@@ -35,7 +34,7 @@ def ingest_counts(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines read, jobs kept per type and rejects, in one pass: (kind, type, n)."""
     ok = text.is_journal_line(F.col(line))
     flagged = lines.select(
-        ok.alias("ok"), F.when(ok, F.get(text.line_parts(F.col(line)), F.lit(1))).alias("type"))
+        ok.alias("ok"), F.when(ok, text.line_type(F.col(line))).alias("type"))
     # Counts first: the grand total is then made of counts, not of lines.
     counts = flagged.groupBy("ok", "type").agg(F.count(F.lit(1)).alias("n"))
     return (counts.rollup("ok", "type")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobtide.session import fits_broadcast
+from jobtide.session import cut, fits_broadcast
 
-TOP_KEYS = 1000  # a key after the 1000 most frequent has less than a thousandth of the rows
 ROWS_PER_PART = 1_000_000
 
 
@@ -15,18 +14,18 @@ def lookup_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: st
     """``rows`` joined to ``side`` (one row per ``key``) by an inner, left, semi or anti join.
 
     A side that fits is broadcast by the optimizer and the rows stay where they are. A bigger one
-    is joined by shuffle: the most frequent keys are then counted, their rows dealt over as many
-    parts as their count asks for (by ``spread``, a column that differs within a key), and their
-    one side row copied to each part. All keys stay whole in the result.
+    is joined by shuffle: the keys are then counted, the rows of every key with more than
+    ``rows_per_part`` dealt over as many parts as its count asks for (by ``spread``, a column that
+    differs within a key), and its one side row copied to each part. There are at most as many such
+    keys as parts of that size, however many keys there are. All keys stay whole in the result.
     """
     extra = [] if how in ("left_semi", "left_anti") else [c for c in side.columns if c != key]
     if fits_broadcast(side):
         return rows.join(side, key, how).select(*rows.columns, *extra)
-    hot = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-           .orderBy(F.desc("_rows"), key).limit(TOP_KEYS)
-           .select(key, F.ceil(F.col("_rows") / rows_per_part).alias("_parts"))
-           .where("_parts > 1"))
-    hot = F.broadcast(hot)  # at most TOP_KEYS rows
+    counted = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+               .where(F.col("_rows") > rows_per_part)
+               .select(key, F.ceil(F.col("_rows") / rows_per_part).alias("_parts")))
+    hot = cut(counted, "hot-keys")  # few rows, written so that their true size decides the join
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts))
     copied = side.join(hot, key, "left").withColumn(

@@ -100,6 +100,27 @@ def align_outcomes(batch_jobs: DataFrame, outputs: DataFrame) -> DataFrame:
         code.alias("code"))
 
 
+def call_outcomes(batch_jobs: DataFrame, calls: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Exit code, code and duration of every job of every call.
+
+    A failed call fails all its jobs with its own code, a call for a single job gives that its
+    status, and a batch call the lines of its output (see :func:`align_outcomes`).
+    """
+    kinds = calls.select("batch", "is_batch", "failed", "error_code", "status")
+    rows = lookup_join(batch_jobs.select("batch", "pos", "id", "type"), kinds, "batch", "id")
+    read = F.coalesce(F.col("is_batch"), F.lit(True)) & ~F.coalesce(F.col("failed"), F.lit(False))
+    by_line = align_outcomes(rows.where(read), outputs)
+    failed = F.coalesce(F.col("failed"), F.lit(False))
+    whole = rows.where(~read).select(
+        "batch", "pos", "id", "type",
+        F.when(failed, F.lit(EXIT_ERROR)).otherwise(F.coalesce("status", F.lit(EXIT_ERROR))).cast("int").alias("exitcode"),
+        F.when(failed, F.coalesce("error_code", F.lit(CODE_BATCH_ERROR)))
+        .when(F.col("status").isNull(), CODE_NO_RESPONSE).alias("code"))
+    took = run_durations(batch_jobs, calls, outputs).select("batch", "id", "duration")
+    return by_line.unionByName(whole).join(took, ["batch", "id"]).select(
+        "batch", "pos", "id", "type", "exitcode", "code", "duration")
+
+
 def request_errors(batch_jobs: DataFrame, failed_calls: DataFrame) -> DataFrame:
     """Every job of a failed call (batch, error_code) fails with the call's code."""
     failed = failed_calls.select("batch", "error_code")

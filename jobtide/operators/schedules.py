@@ -14,12 +14,16 @@ def _now_ms(now_ms: int):
 
 
 def schedule_next_run(schedules: DataFrame, now_ms: int) -> DataFrame:
-    """Adds ``interval_ms`` and the first firing after ``now_ms``; ``ok`` is false for bad text."""
+    """Adds ``interval_ms`` and the first firing after ``now_ms``; ``ok`` is false for bad text.
+
+    A schedule fires an interval after its start at the earliest, not at the start itself.
+    """
     every = F.col("interval_ms")
     # The interval divides the time since the start; zero intervals never fire.
     into = F.pmod(_now_ms(now_ms) - F.col("start_ms"), every)
     return (schedules.withColumn("interval_ms", text.interval_ms(F.col("interval")))
-            .withColumn("next_ms", F.when(every > 0, _now_ms(now_ms) + every - into))
+            .withColumn("next_ms", F.when(every > 0, F.greatest(F.col("start_ms") + every,
+                                                                _now_ms(now_ms) + every - into)))
             .withColumn("ok", every.isNotNull()))
 
 

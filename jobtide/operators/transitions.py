@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from jobtide.functions import states
 from jobtide.operators.lookup import lookup_join
 from jobtide.operators.outcomes import disposition
+from jobtide.session import cut
 from jobtide.schema import (DONE_KEEP_MS, LOCK_DONE, LOCK_EXPIRE_MS, LOCK_NONE,
                             RETRY_DELAY_MS, RETRY_WINDOW_MS, UNRUN_KEEP_MS)
 
@@ -46,16 +47,27 @@ def conditional_update(jobs: DataFrame, where: Column, props: dict[str, Column]
                        remove: bool = False) -> DataFrame:
     """Rows that pass ``where`` get new values, each a column of the old row, or are removed.
 
-    ``limit`` takes the first rows in ``order``, which must be unique.
+    ``limit`` takes the first rows in ``order``; of rows equal in it, the first by all columns.
     """
     hit = F.coalesce(where, F.lit(False))
-    if limit is not None:
-        first = (jobs.where(hit).select(order).orderBy(order).limit(limit)
-                 .withColumn("_first", F.lit(True)))
-        jobs = jobs.join(first, order, "left").select(*jobs.columns, "_first")
-        hit = F.coalesce("_first", F.lit(False))
-    out = _update(jobs, hit, props or {}, "removed" if remove else "changed")
-    return out.drop("_first")
+    flag = "removed" if remove else "changed"
+    if limit is None:
+        return _update(jobs, hit, props or {}, flag)
+    return _limited(jobs, hit, order, limit, lambda rows, taken: _update(rows, taken, props or {}, flag), flag)
+
+
+def _limited(jobs: DataFrame, hit: Column, order: str, limit: int, update, flag: str) -> DataFrame:
+    """``update(rows, taken)`` for the first ``limit`` hits; all other rows pass by, unflagged."""
+    first = (jobs.where(hit).select(F.col(order).alias("_at")).orderBy("_at").limit(limit)
+             .groupBy("_at").agg(F.count(F.lit(1)).alias("_take")))
+    hits = jobs.where(hit)
+    asked = hits.join(first, F.col(order).eqNullSafe(F.col("_at")), "left_semi")
+    others = hits.join(first, F.col(order).eqNullSafe(F.col("_at")), "left_anti")
+    place = F.row_number().over(W.partitionBy(order).orderBy(*jobs.columns))
+    asked = asked.withColumn("_place", place).join(first, F.col(order).eqNullSafe(F.col("_at")))
+    taken = update(asked, F.col("_place") <= F.col("_take")).drop("_place", "_take", "_at")
+    passed = others.unionByName(jobs.where(~hit)).withColumn(flag, F.lit(False))
+    return taken.unionByName(passed)
 
 
 def add_jobs(rows: DataFrame, now) -> DataFrame:
@@ -82,23 +94,34 @@ def add_jobs_unique(jobs: DataFrame, rows: DataFrame, now, order: list[str]) ->
 
 
 def claim_jobs(jobs: DataFrame, now, lock: str, limit: int, expire_ms: int = LOCK_EXPIRE_MS,
-               limits: DataFrame | None = None, max_limit: int | None = None) -> DataFrame:
+               limits: DataFrame | None = None) -> DataFrame:
     """Locks up to ``limit`` ready jobs of every type, in id order.
 
-    ``limits`` (type, batch_size) sets other limits per type, none above ``max_limit``. The rank is
-    cut to the limit before the shuffle, so each task sends at most that many rows of a type; what
-    goes back to the table is one id per type.
+    ``limits`` (type, batch_size) sets other limits per type, whatever their size; one below 1
+    counts as none. The greatest limit, one row that is read when the plan is built, bounds the
+    rank before the shuffle, so each task sends at most that many rows of a type. What goes back to
+    the table is one id per type, and only rows that are ready meet it.
     """
-    ready = states.is_ready(F.col("dt"), F.col("lock"), now)
-    top = max(limit, max_limit or limit)
-    ranked = jobs.where(ready).select("type", "id").withColumn(
-        "_n", F.row_number().over(W.partitionBy("type").orderBy("id"))).where(F.col("_n") <= top)
-    if limits is not None:
-        ranked = (lookup_join(ranked, limits.select("type", "batch_size"), "type", "id")
-                  .where(F.col("_n") <= F.coalesce("batch_size", F.lit(limit))))
-    last = ranked.groupBy("type").agg(F.max("id").alias("_last"))
-    return _update(lookup_join(jobs, last, "type", "id"), ready & (F.col("id") <= F.col("_last")), {
+    ready = F.coalesce(states.is_ready(F.col("dt"), F.col("lock"), now), F.lit(False))
+    ranked = claim_ranks(jobs.where(ready), limit, limits)
+    last = cut(ranked.groupBy("type").agg(F.max("id").alias("_last")), "claimed")
+    claimed = _update(lookup_join(jobs.where(ready), last, "type", "id"), F.col("id") <= F.col("_last"), {
         "lock": F.lit(lock), "dt": states.plus_ms(states.instant(now), expire_ms)}).drop("_last")
+    return claimed.unionByName(jobs.where(~ready).withColumn("changed", F.lit(False)))
+
+
+def claim_ranks(ready: DataFrame, limit: int, limits: DataFrame | None = None) -> DataFrame:
+    """The first jobs of every type by id, up to its limit: (type, id, _n)."""
+    top = limit
+    if limits is not None:
+        limits = cut(limits.select("type", states.batch_limit(F.col("batch_size")).alias("batch_size")), "limits")
+        top = max(limit, limits.agg(F.max("batch_size")).first()[0] or 0)
+    ranked = ready.select("type", "id").withColumn(
+        "_n", F.row_number().over(W.partitionBy("type").orderBy("id"))).where(F.col("_n") <= top)
+    if limits is None:
+        return ranked
+    return (lookup_join(ranked, limits, "type", "id")
+            .where(F.col("_n") <= F.coalesce("batch_size", F.lit(limit))))
 
 
 def locked_jobs(jobs: DataFrame, limit: int, type: str | None = None,
@@ -110,15 +133,27 @@ def locked_jobs(jobs: DataFrame, limit: int, type: str | None = None,
     return jobs.where(held).orderBy("id").limit(limit)
 
 
+def _running(jobs: DataFrame) -> Column:
+    """Rows under a daemon's lock; only these can match a holder, so only these are shuffled."""
+    return F.coalesce(states.is_running_lock(F.col("lock")), F.lit(False))
+
+
+def _matched(jobs: DataFrame, side: DataFrame, extra: str) -> DataFrame:
+    """Adds ``extra`` from a side with one row per (id, lock); rows not under a running lock stay put."""
+    running = _running(jobs)
+    kind = side.schema[extra].dataType
+    met = jobs.where(running).join(side, ["id", "lock"], "left").select(*jobs.columns, extra)
+    return met.unionByName(jobs.where(~running).withColumn(extra, F.lit(None).cast(kind)))
+
+
 def _with_held(jobs: DataFrame, held: DataFrame) -> DataFrame:
     """Adds ``_held``, true for the jobs among the held ids and still under the holder's lock."""
-    held = held.select("id", "lock", F.lit(True).alias("_held")).distinct()
-    return jobs.join(held, ["id", "lock"], "left").select(*jobs.columns, "_held")
+    return _matched(jobs, held.select("id", "lock", F.lit(True).alias("_held")).distinct(), "_held")
 
 
 def held_jobs(jobs: DataFrame, held: DataFrame) -> DataFrame:
     """Rows of the table among the held ids and still under the holder's lock."""
-    return jobs.join(held.select("id", "lock"), ["id", "lock"], "left_semi")
+    return jobs.where(_running(jobs)).join(held.select("id", "lock"), ["id", "lock"], "left_semi")
 
 
 def renew_locks(jobs: DataFrame, held: DataFrame, now,
@@ -140,7 +175,7 @@ def _released(how: Column, now) -> dict[str, Column]:
 def release_jobs(jobs: DataFrame, releases: DataFrame, now) -> DataFrame:
     """Lets go of jobs (id, lock, how): ``archive``, ``retry`` after a delay, else run again now."""
     wanted = releases.groupBy("id", "lock").agg(F.min("how").alias("_how"))
-    joined = jobs.join(wanted, ["id", "lock"], "left").select(*jobs.columns, "_how")
+    joined = _matched(jobs, wanted, "_how")
     return _update(joined, F.col("_how").isNotNull(), _released(F.col("_how"), now)).drop("_how")
 
 
@@ -150,17 +185,28 @@ def expire_locks(jobs: DataFrame, now) -> DataFrame:
         "lock": F.lit(LOCK_NONE), "dt": states.instant(now)})
 
 
-def purge_jobs(jobs: DataFrame, cutoff, type: str | None = None,
-               lock: str | None = None) -> DataFrame:
-    """Removes jobs of a type and/or lock whose dt is before ``cutoff``; their data is dropped."""
+def purge_jobs(jobs: DataFrame, cutoff=None, type: str | None = None, lock: str | None = None,
+               now=None, older_ms: int | None = None, limit: int | None = None) -> DataFrame:
+    """Removes jobs of a type and/or lock whose dt is before the cutoff; their data is dropped.
+
+    The cutoff is the instant ``cutoff``, or ``older_ms`` before ``now``. ``limit`` removes the
+    first jobs by id only.
+    """
     if type is None and lock is None:
         raise ValueError("type or lock required")
-    hit = F.col("dt") < states.instant(cutoff)
+    if (cutoff is None) == (older_ms is None):
+        raise ValueError("either cutoff, or now and older_ms")
+    before = states.instant(cutoff) if older_ms is None else states.plus_ms(states.instant(now), -older_ms)
+    hit = F.col("dt") < before
     if lock is not None:
         hit = hit & (F.col("lock") == lock)
     if type is not None:
         hit = hit & (F.col("type") == type)
-    return _update(jobs, hit, {"data": F.lit(None).cast("string")}, "removed")
+    gone = {"data": F.lit(None).cast("string")}
+    if limit is None:
+        return _update(jobs, hit, gone, "removed")
+    return _limited(jobs, F.coalesce(hit, F.lit(False)), "id", limit,
+                    lambda rows, taken: _update(rows, taken, gone, "removed"), "removed")
 
 
 def _done_too_long(now, keep_ms: int) -> Column:

@@ -38,10 +38,9 @@ def _table(flagged: DataFrame, *extra: str) -> DataFrame:
         F.unix_millis("dt").alias("dt_ms"), *extra)
 
 
-def _written_journal(spark, sf_dir, files: int | None = None) -> str:
+def _written_journal(spark, sf_dir) -> str:
     path = work_path(spark, "journal")
-    lines = feeds.journal(spark, sf_dir)
-    js.journal_write(lines.repartition(files) if files else lines, path)
+    js.journal_write(feeds.journal(spark, sf_dir), path)
     return path
 
 
@@ -79,7 +78,7 @@ def journal_append(spark, sf_dir):
 @query
 def journal_compact(spark, sf_dir):
     target = work_path(spark, "compact")
-    js.journal_compact(spark, [_written_journal(spark, sf_dir, files=16)], target, files=2)
+    js.journal_compact(spark, [_written_journal(spark, sf_dir)], target)
     return js.journal_scan(spark, target)
 
 
@@ -92,6 +91,11 @@ def log_scan(spark, sf_dir):
         F.get_json_object("info", "$.k").cast("bigint").alias("k"), "bad_line")
 
 
+@query
+def log_rejects(spark, sf_dir):
+    return logs.log_rejects(logs.parse_log_lines(feeds.log_lines(spark, sf_dir)))
+
+
 @query
 def log_level_filter(spark, sf_dir):
     kept = logs.log_level_filter(logs.parse_log_lines(feeds.log_lines(spark, sf_dir)))
@@ -208,7 +212,7 @@ def state_counts(spark, sf_dir):
 
 @query
 def state_rollup(spark, sf_dir):
-    return counts.state_rollup(feeds.jobs(spark, sf_dir), NOW)
+    return counts.state_rollup(feeds.jobs(spark, sf_dir).unionByName(feeds.leases(spark, sf_dir)), NOW)
 
 
 @query
@@ -317,7 +321,7 @@ def claim_jobs(spark, sf_dir):
 def claim_jobs_by_handler(spark, sf_dir):
     sizes = h.latest_handler(feeds.handlers(spark, sf_dir).select("id", "type", "batch_size"))
     return _table(tr.claim_jobs(feeds.jobs(spark, sf_dir), NOW, "d9", CLAIM_LIMIT,
-                                limits=sizes, max_limit=40), "changed")
+                                limits=sizes), "changed")
 
 
 @query
@@ -352,6 +356,12 @@ def purge_jobs(spark, sf_dir):
     return _table(flagged, "data", "removed")
 
 
+@query
+def purge_jobs_limit(spark, sf_dir):
+    flagged = tr.purge_jobs(feeds.jobs(spark, sf_dir), lock="", now=NOW, older_ms=4 * 86_400_000, limit=300)
+    return _table(flagged, "data", "removed")
+
+
 @query
 def purge_done(spark, sf_dir):
     return _table(tr.purge_done(feeds.jobs(spark, sf_dir), "2024-01-20 00:00:00"), "removed")
@@ -483,6 +493,11 @@ def align_outcomes(spark, sf_dir):
     return outcomes.align_outcomes(feeds.call_jobs(spark, sf_dir), feeds.call_outputs(spark, sf_dir))
 
 
+@query
+def call_outcomes(spark, sf_dir):
+    return outcomes.call_outcomes(feeds.call_jobs(spark, sf_dir), feeds.calls(spark, sf_dir), feeds.call_outputs(spark, sf_dir))
+
+
 @query
 def request_errors(spark, sf_dir):
     failed = feeds.calls(spark, sf_dir).where("failed")
@@ -557,13 +572,13 @@ def stream_ingest(spark, sf_dir):
 
 @query
 def stream_dedup(spark, sf_dir):
-    lines = js.journal_stream(spark, _written_journal(spark, sf_dir))
+    lines = js.journal_stream(spark, _written_journal(spark, sf_dir), max_files=1)
     return _parsed(drain_to_folder(si.stream_dedup(si.stream_ingest(lines)), "dedup"))
 
 
 @query
 def stream_upsert(spark, sf_dir):
-    lines = js.journal_stream(spark, _written_journal(spark, sf_dir, files=4), max_files=2)
+    lines = js.journal_stream(spark, _written_journal(spark, sf_dir), max_files=1)
     sink = si.UpsertSink(work_path(spark, "upsert"), NOW, ["type", "data"])
     drain_to(si.stream_ingest(lines), sink, "upsert")
     return _parsed(sink.read(spark))

@@ -6,7 +6,7 @@ table. Builders that take ``events`` accept a batch or a streaming DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from jobtide.functions import ids, states, text
 from jobtide.operators.outcomes import scoreboard
@@ -16,23 +16,14 @@ AS_OF = "2024-01-16 00:00:00"
 AS_OF_MS = 1705363200000
 
 
-_schemas: dict[str, T.StructType] = {}  # of paths read before, to read footers only once
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _instants(_read(spark, f"{sf_dir}/{name}.parquet"))
+    return _instants(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = _read(spark, f"{sf_dir}/{name}.parquet").schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # As a pattern, so that the table may be one file or a folder of files.
     return _instants(spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet"))
 
@@ -104,7 +95,7 @@ def runs(spark, sf_dir):
 
 
 def handlers(spark, sf_dir):
-    """Handler versions, a part each; some lack a body, some types have no handler."""
+    """Handler versions, a part each; some lack a body or a size, or have size 0, some types have no handler."""
     p = F.col("p_partkey")
     kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
     return table(spark, sf_dir, "part").select(
@@ -114,7 +105,7 @@ def handlers(spark, sf_dir):
         F.col("p_brand").alias("eid"),
         F.lower(F.substring_index("p_type", " ", 1)).alias("lang"),
         F.when(p % 13 != 0, F.col("p_name")).alias("body"),
-        F.when(F.col("p_size") <= 40, F.col("p_size")).cast("int").alias("batch_size"))
+        F.when(p % 17 == 0, 0).when(p % 19 != 0, F.col("p_size")).cast("int").alias("batch_size"))
 
 
 def start_stop_from(runs_df: DataFrame) -> DataFrame:
@@ -146,7 +137,7 @@ def call_outputs(spark, sf_dir):
     """Output text of each call (batch, output), built from at most 20 chunks."""
     e = F.col("event_id")
     response = F.when((F.col("batch") % 9 != 0) | (F.col("pos") < 5),
-                      F.when(e % 83 == 0, "oops")
+                      F.when(e % 83 == 0, "oops").when(e % 89 == 0, "99999999999999999999 x")
                       .otherwise(F.concat_ws(" ", F.col("exitcode").cast("string"), "id")))
     note = F.when(e % 7 == 0, "# note")
     new_job = F.when(e % 11 == 0, F.concat(F.lit("#J: "), "type", F.lit("|{}")))
@@ -158,13 +149,14 @@ def call_outputs(spark, sf_dir):
 
 
 def calls(spark, sf_dir):
-    """One row per call: start, stop, whether it ran its jobs in one request, failure code."""
+    """One row per call: start, stop, whether it ran its jobs in one request, failure code, status."""
     b = F.col("batch")
     return (call_jobs(spark, sf_dir).groupBy("batch")
             .agg(F.min("started").alias("started"), F.max("stopped").alias("stopped"))
             .withColumn("is_batch", b % 4 != 0)
             .withColumn("failed", b % 13 == 0)
-            .withColumn("error_code", F.when(b % 26 == 0, "ECONNRESET")))
+            .withColumn("error_code", F.when(b % 26 == 0, "ECONNRESET"))
+            .withColumn("status", F.when(b % 4 == 0, (b % 5 + 1) * 100 + 4).cast("int")))
 
 
 def bodies(spark, sf_dir):
@@ -179,17 +171,21 @@ LOG_LEVELS = {"error": ("ERROR", 3), "signup": ("WARN", 4), "click": ("INFO", 6)
 
 
 def log_lines(spark, sf_dir):
-    """JSON log lines (``line``), one per event; ``info`` is the event's properties."""
+    """JSON log lines (``line``), one per event; ``info`` is the event's properties.
+
+    Some have a level without a rank, some are cut off.
+    """
     names = F.create_map(*[F.lit(x) for k, (n, _) in LOG_LEVELS.items() for x in (k, n)])
     nums = F.create_map(*[F.lit(x) for k, (_, v) in LOG_LEVELS.items() for x in (k, v)])
-    j = jobs(spark, sf_dir, "event_type", "user_id", "ts")
-    return j.select(F.concat(
+    j = jobs(spark, sf_dir, "event_type", "event_id", "user_id", "ts")
+    odd, cut_off = F.col("event_id") % 61 == 0, F.col("event_id") % 67 == 0
+    return j.select(F.when(cut_off, F.concat(F.lit('{"time":'), "id")).otherwise(F.concat(
         F.lit('{"time":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
-        F.lit('","type":"'), names[F.col("event_type")],
+        F.lit('","type":"'), F.when(odd, "NOTICE").otherwise(names[F.col("event_type")]),
         F.lit('","level":'), nums[F.col("event_type")].cast("string"),
         F.lit(',"id":"user'), F.col("user_id").cast("string"),
         F.lit('","message":"job '), "id", F.lit(' of type '), "type",
-        F.lit('","info":'), "data", F.lit("}")).alias("line"))
+        F.lit('","info":'), "data", F.lit("}"))).alias("line"))
 
 
 def leases(spark, sf_dir):
@@ -204,7 +200,7 @@ def leases(spark, sf_dir):
 
 
 def schedules(spark, sf_dir):
-    """One schedule per part; interval texts in all accepted forms and some bad ones."""
+    """One schedule per part, a fifth yet to start; interval texts in all accepted forms, bad and huge ones."""
     p, size = F.col("p_partkey"), F.col("p_size").cast("string")
     form = p % 8
     return table(spark, sf_dir, "part").select(
@@ -216,12 +212,13 @@ def schedules(spark, sf_dir):
         .when(form == 4, F.concat(size, F.lit("w ")))
         .when(form == 5, F.concat(size, F.lit("000")))
         .when(form == 6, F.concat(F.lit("."), size, F.lit("m")))
-        .otherwise(F.concat(F.lit("every "), size)).alias("interval"),
-        (F.lit(AS_OF_MS) - p * 997).alias("start_ms"))
+        .when(p % 16 == 7, F.concat(F.lit("every "), size))
+        .otherwise(F.concat(F.lit("99999999999999999999"), size, F.lit("w"))).alias("interval"),
+        (F.lit(AS_OF_MS) - F.when(p % 5 == 0, -p).otherwise(p) * 997).alias("start_ms"))
 
 
 def lock_events_from(events: DataFrame) -> DataFrame:
-    """Claim, renewals and mostly a stop for each job that some daemon holds."""
+    """Claim, renewals and mostly a stop for each job that some daemon holds; some are claimed again soon."""
     e = F.col("event_id")
     held = jobs_from(events, "event_id", "ts").where(states.is_running_lock(F.col("lock")))
     claimed = F.col("ts") + F.expr("INTERVAL 1 MINUTE")
@@ -233,9 +230,11 @@ def lock_events_from(events: DataFrame) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(0), renews), lambda k: F.struct(
         F.when(k == 0, "claim").otherwise("renew").alias("kind"), (k * 200).alias("k")))
     stop = F.array(ev("stop", renews * 200 + 100))
+    again = F.array(ev("claim", renews * 200 + 160))
     return held.select(
         "id", "lock", "type",
-        F.explode(F.when(e % 3 != 0, F.concat(steps, stop)).otherwise(steps)).alias("s"),
+        F.explode(F.when(e % 9 == 1, F.concat(steps, stop, again)).when(e % 3 != 0, F.concat(steps, stop))
+                  .otherwise(steps)).alias("s"),
         claimed.alias("claimed"),
     ).select("id", "lock", "type", F.col("s.kind").alias("kind"),
              (F.col("claimed") + F.make_dt_interval(secs=F.col("s.k"))).alias("ev_at"))
@@ -250,9 +249,8 @@ def unfinished(spark, sf_dir):
 def journal_rows(spark, sf_dir):
     """Journal lines as job rows to add; unparsable ones give rows without id and type."""
     ok = text.is_journal_line(F.col("line"))
-    parts = text.line_parts(F.col("line"))
     return journal(spark, sf_dir).select(
-        F.when(ok, text.strip_leading(F.get(parts, F.lit(0)))).alias("id"),
-        F.when(ok, F.get(parts, F.lit(1))).alias("type"),
+        F.when(ok, text.strip_leading(text.line_id(F.col("line")))).alias("id"),
+        F.when(ok, text.line_type(F.col("line"))).alias("type"),
         F.lit(None).cast("timestamp").alias("dt"), F.lit(LOCK_NONE).alias("lock"),
-        F.when(ok, F.get(parts, F.lit(2))).otherwise(F.col("line")).alias("data"))
+        F.when(ok, text.line_payload(F.col("line"))).otherwise(F.col("line")).alias("data"))

@@ -69,7 +69,7 @@ VIEWS = {
   (['click', 'error', 'purchase', 'signup', 'view'])[CAST(p_partkey % 5 + 1 AS INTEGER)] AS type,
  p_brand AS eid, lower(string_split(p_type, ' ')[1]) AS lang,
  CASE WHEN p_partkey % 13 <> 0 THEN p_name END AS body,
- CASE WHEN p_size <= 40 THEN p_size END AS batch_size FROM part""",
+ CASE WHEN p_partkey % 17 = 0 THEN 0 WHEN p_partkey % 19 <> 0 THEN p_size END AS batch_size FROM part""",
     "latest": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
  (PARTITION BY type ORDER BY id DESC) AS rn FROM handlers) WHERE rn = 1""",
     "start_stop": """SELECT type, id, attempt, started AS ev_at, 1 AS kind, 1 AS d FROM runs
@@ -85,7 +85,7 @@ VIEWS = {
     "call_outputs": """SELECT batch, string_agg(chunk, chr(10) ORDER BY pos) AS output FROM
  (SELECT batch, pos, concat_ws(chr(10),
    CASE WHEN batch % 9 <> 0 OR pos < 5 THEN
-    CASE WHEN event_id % 83 = 0 THEN 'oops' ELSE exitcode || ' ' || id END END,
+    CASE WHEN event_id % 83 = 0 THEN 'oops' WHEN event_id % 89 = 0 THEN '99999999999999999999 x' ELSE exitcode || ' ' || id END END,
    CASE WHEN event_id % 7 = 0 THEN '# note' END,
    CASE WHEN event_id % 11 = 0 THEN '#J: ' || type || '|{}' END) AS chunk FROM call_jobs)
  WHERE chunk <> '' GROUP BY batch""",
@@ -96,7 +96,7 @@ VIEWS = {
  (SELECT batch, kind, n, line FROM output_lines
   UNION ALL SELECT batch, 'new_job', n, line FROM output_lines WHERE starts_with(line, '#J: '))""",
     "calls": """SELECT batch, min(started) AS started, max(stopped) AS stopped, batch % 4 <> 0 AS is_batch,
- batch % 13 = 0 AS failed, CASE WHEN batch % 26 = 0 THEN 'ECONNRESET' END AS error_code
+ batch % 13 = 0 AS failed, CASE WHEN batch % 4 = 0 THEN CAST((batch % 5 + 1) * 100 + 4 AS INTEGER) END AS status, CASE WHEN batch % 26 = 0 THEN 'ECONNRESET' END AS error_code
  FROM call_jobs GROUP BY batch""",
     "bodies": "SELECT doc_id, lang || '-' || source AS jobtype, text AS body FROM documents",
     "body_lines": """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ordinal,
@@ -105,23 +105,24 @@ VIEWS = {
   generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM bodies)
  WHERE line <> '' AND NOT starts_with(line, '#')""",
     "logs": """SELECT json_object('time', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z',
- 'type', MAP {'error': 'ERROR', 'signup': 'WARN', 'click': 'INFO', 'view': 'DEBUG', 'purchase': 'TRACE'}[event_type],
+ 'type', CASE WHEN event_id % 61 = 0 THEN 'NOTICE' ELSE
+  MAP {'error': 'ERROR', 'signup': 'WARN', 'click': 'INFO', 'view': 'DEBUG', 'purchase': 'TRACE'}[event_type] END,
  'level', MAP {'error': 3, 'signup': 4, 'click': 6, 'view': 7, 'purchase': 8}[event_type],
- 'id', 'user' || user_id, 'message', 'job ' || id || ' of type ' || type, 'info', data::JSON) AS line
- FROM jobs""",
+ 'id', 'user' || user_id, 'message', 'job ' || id || ' of type ' || type, 'info', data::JSON) AS line,
+ CASE WHEN event_id % 67 = 0 THEN '{"time":' || id END AS bad_line FROM jobs""",
     "leases": f"""SELECT id, max(ts) + INTERVAL 30 MINUTE AS dt, id AS lock, 'queue.sysid' AS type FROM
  (SELECT 'd' || (user_id % 4) AS id, ts FROM events WHERE ts <= {NOW}
   UNION ALL SELECT 'u' || user_id, ts FROM events WHERE ts <= {NOW}) GROUP BY id""",
     "schedules": f"""SELECT p_partkey AS schedule_id, CASE p_partkey % 8
   WHEN 0 THEN p_size || 's' WHEN 1 THEN p_size || 'm' WHEN 2 THEN p_size || ' h'
   WHEN 3 THEN ' ' || p_size || 'd' WHEN 4 THEN p_size || 'w ' WHEN 5 THEN p_size || '000'
-  WHEN 6 THEN '.' || p_size || 'm' ELSE 'every ' || p_size END AS interval_text,
+  WHEN 6 THEN '.' || p_size || 'm' ELSE 'not read' END AS interval_text,
  CASE p_partkey % 8 WHEN 0 THEN p_size * 1000 WHEN 1 THEN p_size * 60000 WHEN 2 THEN p_size * 3600000
   WHEN 3 THEN p_size * 86400000::BIGINT WHEN 4 THEN p_size * 604800000::BIGINT WHEN 5 THEN p_size * 1000
   WHEN 6 THEN CAST(round(CAST('0.' || p_size AS DOUBLE) * 60000) AS BIGINT) END::BIGINT AS interval_ms,
- {ms(NOW)} - p_partkey * 997 AS start_ms FROM part""",
-    "planned": f"""SELECT *, {ms(NOW)} + (interval_ms - ({ms(NOW)} - start_ms) % interval_ms) AS next_ms
- FROM schedules""",
+ {ms(NOW)} - CASE WHEN p_partkey % 5 = 0 THEN -p_partkey ELSE p_partkey END * 997 AS start_ms FROM part""",
+    "planned": f"""SELECT *, CASE WHEN start_ms > {ms(NOW)} THEN start_ms + interval_ms
+ ELSE {ms(NOW)} + (interval_ms - ({ms(NOW)} - start_ms) % interval_ms) END AS next_ms FROM schedules""",
     "board": """SELECT id, count(*) AS attempts, arg_max(exitcode, k) AS exitcode,
  arg_max(runner, k) AS runner FROM (SELECT *, row_number() OVER
  (PARTITION BY id ORDER BY stopped, attempt) AS k FROM runs) GROUP BY id""",
@@ -131,10 +132,11 @@ VIEWS = {
     "last_decided": f"""SELECT id, runner, CASE WHEN {FINAL} THEN 'archive'
  WHEN {dec('id')} >= {ms(NOW)} - 21600000 THEN 'retry' ELSE 'abandon' END AS action FROM board""",
     "lock_events": """WITH h AS (SELECT id, lock, type, ts + INTERVAL 1 MINUTE AS claimed, event_id % 4 AS r,
-  event_id % 3 <> 0 AS stops FROM jobs WHERE event_id % 10 IN (5, 6, 9))
+  event_id % 3 <> 0 AS stops, event_id % 9 = 1 AS again FROM jobs WHERE event_id % 10 IN (5, 6, 9))
  SELECT id, lock, type, CASE WHEN k = 0 THEN 'claim' ELSE 'renew' END AS kind,
   claimed + k * 200 * INTERVAL 1 SECOND AS ev_at FROM (SELECT *, unnest(range(0, r + 1)) AS k FROM h)
- UNION ALL SELECT id, lock, type, 'stop', claimed + (r * 200 + 100) * INTERVAL 1 SECOND FROM h WHERE stops""",
+ UNION ALL SELECT id, lock, type, 'stop', claimed + (r * 200 + 100) * INTERVAL 1 SECOND FROM h WHERE stops
+ UNION ALL SELECT id, lock, type, 'claim', claimed + (r * 200 + 160) * INTERVAL 1 SECOND FROM h WHERE again""",
 }
 
 _NEEDS: dict[str, list[str]] = {}

@@ -46,8 +46,8 @@ _MERGED = """SELECT id, type, lock, dt, data FROM jobs WHERE lock <> ''
  UNION ALL SELECT DISTINCT id, type, '' AS lock, make_timestamp(created_ms * 1000) AS dt, data FROM parsed
  WHERE id NOT IN (SELECT id FROM jobs WHERE lock <> '')"""
 
-_BATCHED = """SELECT j.type, j.id, (j.rn - 1) // coalesce(l.batch_size, 10) AS batch_no,
- (j.rn - 1) % coalesce(l.batch_size, 10) AS pos
+_BATCHED = """SELECT j.type, j.id, (j.rn - 1) // coalesce(nullif(l.batch_size, 0), 10) AS batch_no,
+ (j.rn - 1) % coalesce(nullif(l.batch_size, 0), 10) AS pos
  FROM (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY id) AS rn FROM jobs) j
  LEFT JOIN latest l ON l.type = j.type"""
 
@@ -68,10 +68,11 @@ _SQL = {
  UNION ALL SELECT string_split(line, '|')[1] FROM journal) WHERE line <> ''""",
     "journal_compact": "SELECT line FROM journal",
     "log_scan": """SELECT line->>'$.time' AS time, line->>'$.type' AS type, (line->>'$.level')::INTEGER AS level,
- line->>'$.id' AS id, line->>'$.message' AS message, (line->>'$.info.k')::BIGINT AS k,
- NULL::VARCHAR AS bad_line FROM logs""",
+ line->>'$.id' AS id, line->>'$.message' AS message, (line->>'$.info.k')::BIGINT AS k, bad_line FROM logs WHERE bad_line IS NULL
+ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, bad_line FROM logs WHERE bad_line IS NOT NULL""",
+    "log_rejects": "SELECT bad_line AS line FROM logs WHERE bad_line IS NOT NULL",
     "log_level_filter": """SELECT line->>'$.time' AS time, line->>'$.type' AS type, line->>'$.id' AS id,
- line->>'$.message' AS message FROM logs WHERE line->>'$.type' IN ('EMERG', 'CRIT', 'ALERT', 'ERROR', 'WARN', 'INFO')""",
+ line->>'$.message' AS message FROM logs WHERE bad_line IS NULL AND line->>'$.type' NOT IN ('DEBUG', 'TRACE')""",
     "jobs_upsert": _table(_MERGED, "data"),
     "journal_parse": _PARSED,
     "journal_rejects": f"SELECT line FROM journal WHERE NOT regexp_matches(line, {LINE})",
@@ -87,14 +88,15 @@ _SQL = {
     "schedule_next_run": """SELECT schedule_id, interval_ms, next_ms, interval_ms IS NOT NULL AS ok FROM planned""",
     "schedule_due": f"SELECT schedule_id, next_ms FROM planned WHERE next_ms <= {ms(NOW)} + 3600000",
     "schedule_expand": f"""SELECT schedule_id, unnest(range(
- start_ms + ((({ms(NOW)} - start_ms) + interval_ms - 1) // interval_ms) * interval_ms,
+ start_ms + greatest(1, (({ms(NOW)} - start_ms) + interval_ms - 1) // interval_ms) * interval_ms,
  {ms(NOW)} + 600000, interval_ms)) AS fire_ms FROM schedules WHERE interval_ms IS NOT NULL""",
     "waiting_counts": f"SELECT type, count(*) AS n FROM jobs WHERE {_READY} GROUP BY type",
     "waiting_types": f"SELECT DISTINCT type FROM jobs WHERE {_READY}",
     "running_types": "SELECT DISTINCT type FROM jobs WHERE lock NOT IN ('', '__done', '__handler')",
     "state_counts": f"SELECT type, {STATE} AS state, count(*) AS n FROM jobs GROUP BY 1, 2",
-    "state_rollup": f"""SELECT state, tenant, jobtype, count(*) AS n FROM
- (SELECT {STATE} AS state, 'c' || (user_id % 10) AS tenant, event_type AS jobtype FROM jobs)
+    "state_rollup": f"""SELECT state, tenant, jobtype, count(*) AS n, grouping(state, tenant, jobtype) AS level FROM
+ (SELECT {STATE} AS state, 'c' || (user_id % 10) AS tenant, event_type AS jobtype FROM jobs
+  UNION ALL SELECT {STATE}, type, NULL FROM leases)
  GROUP BY GROUPING SETS ((state, tenant, jobtype), (state, tenant), (state))""",
     "uniq": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS value FROM events",
     "group_by_field": """SELECT lock AS grp, row_number() OVER (PARTITION BY lock ORDER BY id) - 1 AS pos, id FROM jobs""",
@@ -124,7 +126,7 @@ _SQL = {
                           f"{NOW} + INTERVAL 5 MINUTE"),
     "claim_jobs_by_handler": _update(f"""id IN (SELECT id FROM (SELECT j.id, l.batch_size,
  row_number() OVER (PARTITION BY j.type ORDER BY j.id) AS rn FROM (SELECT * FROM jobs WHERE {_READY}) j
- LEFT JOIN latest l ON l.type = j.type) WHERE rn <= coalesce(batch_size, {CLAIM_LIMIT}))""", "'d9'",
+ LEFT JOIN latest l ON l.type = j.type) WHERE rn <= coalesce(nullif(batch_size, 0), {CLAIM_LIMIT}))""", "'d9'",
                                      f"{NOW} + INTERVAL 5 MINUTE"),
     "locked_jobs": _table("SELECT * FROM jobs WHERE lock = 'd1' ORDER BY id LIMIT 100"),
     "renew_locks": _update("lock = owner", dt=f"{NOW} + INTERVAL 5 MINUTE", source=_HELD_JOBS),
@@ -177,12 +179,27 @@ _SQL = {
     "split_output": "SELECT batch, kind, pos::INTEGER AS pos, line FROM split_lines",
     "align_outcomes": """SELECT c.batch, c.pos::INTEGER AS pos, c.id, c.type,
  CASE WHEN s.line IS NULL OR b.bad <= c.pos THEN 500
-  ELSE regexp_extract(s.line, '^\\s*\\+?(\\d+)', 1)::INTEGER END AS exitcode,
+  ELSE try_cast(regexp_extract(s.line, '^\\s*\\+?(\\d+)', 1) AS INTEGER) END AS exitcode,
  CASE WHEN s.line IS NULL THEN 'NO_RESPONSE' WHEN b.bad <= c.pos THEN 'INVALID_RESPONSE' END AS code
  FROM call_jobs c LEFT JOIN (SELECT * FROM split_lines WHERE kind = 'response') s
   ON s.batch = c.batch AND s.pos = c.pos
  LEFT JOIN (SELECT batch, min(pos) AS bad FROM split_lines WHERE kind = 'response'
-  AND NOT regexp_matches(line, '^\\s*\\+?\\d') GROUP BY batch) b ON b.batch = c.batch""",
+  AND try_cast(regexp_extract(line, '^\\s*\\+?(\\d+)', 1) AS INTEGER) IS NULL GROUP BY batch) b ON b.batch = c.batch""",
+    "call_outcomes": f"""SELECT c.batch, c.pos::INTEGER AS pos, c.id, c.type,
+ CASE WHEN k.failed THEN 500 WHEN NOT k.is_batch THEN k.status WHEN s.line IS NULL OR b.bad <= c.pos THEN 500
+  ELSE try_cast(regexp_extract(s.line, '^\\s*\\+?(\\d+)', 1) AS INTEGER) END AS exitcode,
+ CASE WHEN k.failed THEN coalesce(k.error_code, 'BATCH_ERROR') WHEN NOT k.is_batch THEN NULL WHEN s.line IS NULL THEN 'NO_RESPONSE'
+  WHEN b.bad <= c.pos THEN 'INVALID_RESPONSE' END AS code,
+ ({ms('k.stopped')} - {ms('k.started')})::DOUBLE / CASE WHEN k.is_batch THEN nullif(coalesce(r.answers, 0), 0) ELSE 1 END AS duration
+ FROM call_jobs c JOIN calls k ON k.batch = c.batch LEFT JOIN (SELECT * FROM split_lines WHERE kind = 'response') s
+  ON s.batch = c.batch AND s.pos = c.pos
+ LEFT JOIN (SELECT batch, min(pos) AS bad FROM split_lines WHERE kind = 'response'
+  AND try_cast(regexp_extract(line, '^\\s*\\+?(\\d+)', 1) AS INTEGER) IS NULL GROUP BY batch) b ON b.batch = c.batch
+ LEFT JOIN (SELECT batch, count(*) FILTER (WHERE kind = 'response') AS answers FROM split_lines GROUP BY batch) r
+  ON r.batch = c.batch""",
+    "purge_jobs_limit": _table("""SELECT id, type, lock, dt, removed, CASE WHEN removed THEN NULL ELSE data END AS data
+ FROM (SELECT *, id IN (SELECT id FROM jobs WHERE lock = '' AND dt < TIMESTAMP '2024-01-12' ORDER BY id LIMIT 300) AS removed FROM jobs)""",
+                               "data", "removed"),
     "request_errors": """SELECT c.batch, c.id, c.type, 500 AS exitcode, coalesce(k.error_code, 'BATCH_ERROR') AS code
  FROM call_jobs c JOIN calls k ON k.batch = c.batch WHERE k.failed""",
     "run_durations": f"""SELECT c.batch, c.id, CASE WHEN k.is_batch
@@ -206,7 +223,9 @@ _SQL = {
     "stream_dedup": f"SELECT DISTINCT * FROM ({_PARSED})",
     "stream_upsert": f"SELECT DISTINCT * FROM ({_PARSED})",
     "stream_lock_expiry": f"""SELECT id, lock, {ms('min(ev_at)')} AS claimed_ms, {ms('max(ev_at)')} + 300000 AS expired_ms,
- count(*) AS events FROM lock_events GROUP BY id, lock HAVING NOT bool_or(kind = 'stop')
+ count(*) AS events FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY id, lock ORDER BY ev_at, kind) AS session FROM
+  (SELECT *, ev_at - lag(ev_at) OVER (PARTITION BY id, lock ORDER BY ev_at, kind) > INTERVAL 300 SECOND AS new FROM lock_events))
+ GROUP BY id, lock, session HAVING max(ev_at) FILTER (kind = 'stop') IS DISTINCT FROM max(ev_at)
  AND {ms('max(ev_at)')} + 300000 <= (SELECT {ms('max(ev_at)')} - 600000 FROM lock_events)""",
     "stream_outcome_windows": f"""SELECT window_ms, type, class, count(*) AS n FROM
  (SELECT {ms('stopped')} // 60000 * 60000 AS window_ms, type, {CLASS} AS class FROM runs)

@@ -39,8 +39,11 @@ def journal_write(lines: DataFrame, path: str, line: str = "line") -> None:
     (lines.select(F.col(line).alias("value")).write.option("lineSep", _LINE_SEP).text(path))
 
 
-def journal_compact(spark: SparkSession, sources: list[str], target: str, files: int) -> None:
-    """Joins many small files into ``files`` bigger ones; the inputs stay, to be removed once the
-    target is in use."""
+def journal_compact(spark: SparkSession, sources: list[str], target: str) -> None:
+    """Joins many small files into bigger ones; the inputs stay, to be removed once the target is in use.
+
+    The lines are rebalanced to files of about ``spark.sql.adaptive.advisoryPartitionSizeInBytes``,
+    so their number follows the size of the journal.
+    """
     lines = journal_scan(spark, *sources).withColumnRenamed("line", "value")
-    lines.coalesce(files).write.option("lineSep", _LINE_SEP).text(target)
+    lines.hint("rebalance").write.option("lineSep", _LINE_SEP).text(target)

@@ -26,6 +26,16 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
 
 
 def log_level_filter(logs: DataFrame, threshold: str = DEFAULT_LEVEL) -> DataFrame:
-    """Lines at or above ``threshold`` in importance, by level name in either case."""
+    """Lines at or above ``threshold`` in importance, by level name in either case.
+
+    A level without a rank is not held back. Lines that are no log lines have no level; they are in
+    :func:`log_rejects`.
+    """
     rank = F.create_map(*[F.lit(x) for item in LEVEL_RANK.items() for x in item])
-    return logs.where(rank[F.upper("type")] <= LEVEL_RANK[threshold.upper()])
+    important = F.coalesce(F.try_element_at(rank, F.upper("type")) <= LEVEL_RANK[threshold.upper()], F.lit(True))
+    return logs.where(important & F.col("bad_line").isNull())
+
+
+def log_rejects(logs: DataFrame) -> DataFrame:
+    """The lines that are no JSON log lines."""
+    return logs.where(F.col("bad_line").isNotNull()).select(F.col("bad_line").alias("line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobtide.functions import ids
@@ -15,44 +16,74 @@ def stream_ingest(lines: DataFrame) -> DataFrame:
 
 
 def stream_dedup(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drops re-delivered jobs that come within ``delay`` of the first copy's creation time."""
-    return jobs.withWatermark("dt", delay).dropDuplicatesWithinWatermark(["id"])
+    """Drops re-delivered jobs that arrive within ``delay`` of the first copy.
+
+    The watermark follows arrival, not the jobs' own times, so no first copy is ever late and the
+    state holds the ids of the last ``delay`` only. A copy that arrives later passes; the upsert
+    sink drops such ones, too.
+    """
+    return (jobs.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+            .dropDuplicatesWithinWatermark(["id"]).drop("_arrived"))
 
 
 class UpsertSink:
     """``foreachBatch`` writer of new ids into a table of one folder per micro-batch.
 
-    A batch overwrites its own folder and looks for known ids in the other ones only, so a replay
-    after a failure gives the same table. Rows lie in folders by creation day, and only the days
-    that the batch spans are looked at.
+    A batch overwrites its own folder and looks for known ids in earlier ones only, so a replay
+    after a failure gives the same table. Rows lie in folders by creation day, ids without one in a
+    bucket of their own, and only the days that the batch has are looked at. Every ``fold`` batches
+    the earlier ones are folded into one base folder, so a batch reads that and at most ``fold``
+    others. Each streaming query writes under its own id: a new checkpoint on an old table starts
+    with a base of all that is there and overwrites nothing.
     """
 
-    def __init__(self, path: str, now, order: list[str]):
-        self.path, self.now, self.order = path.rstrip("/"), now, order
+    def __init__(self, path: str, now, order: list[str], fold: int = 20):
+        self.path, self.now, self.order, self.fold = path.rstrip("/"), now, order, fold
+        self.query = "direct"  # outside a stream; a replay by hand goes to the last stream's folder
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
+        self.query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or self.query
+        own = f"{self.path}/query={self.query}"
         # The day comes from the id, so every copy of a job has the same one.
         day = F.to_date(ids.created_at(F.col("id")))
         accepted = next_table(add_jobs(rows, self.now)).withColumn("created_day", day).persist()
         fresh = first_per_id(accepted, self.order)
-        known = self._known(spark, rows, batch_id)
-        if known is not None:
-            days = accepted.agg(F.min("created_day").alias("lo"), F.max("created_day").alias("hi"))
-            span = days.first()
-            known = known.where(F.col("created_day").between(span.lo, span.hi))
-            fresh = fresh.join(known.select("id"), "id", "left_anti")
-        # One day's rows go to few files, a day with most of the rows to several.
-        (fresh.hint("rebalance", "created_day").write.mode("overwrite").partitionBy("created_day")
-         .parquet(f"{self.path}/batch={batch_id}"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in accepted.schema.fields)
+        base = batch_id // self.fold * self.fold
+        if batch_id == base:
+            self._write(self._before(spark, schema, own, base), f"{own}/base={base}")
+        known = self._read(spark, schema, own, [f"{own}/base={base}", *[f"{own}/batch={n}" for n in range(base, batch_id)]])
+        days = accepted.select(F.col("created_day").alias("asked")).distinct()
+        known = known.join(days, F.col("created_day").eqNullSafe(F.col("asked")), "left_semi")
+        fresh = fresh.join(known.select("id"), "id", "left_anti")
+        self._write(fresh, f"{own}/batch={batch_id}")
         accepted.unpersist()
 
-    def _known(self, spark: SparkSession, rows: DataFrame, batch_id: int):
-        if batch_id == 0:
-            return None
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return (spark.read.schema(f"{schema}, batch bigint, created_day date").parquet(self.path)
-                .where(F.col("batch") < batch_id))
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        # One day's rows go to few files, a day with most of the rows to several.
+        rows.hint("rebalance", "created_day").write.mode("overwrite").partitionBy("created_day").parquet(path)
+
+    @staticmethod
+    def _read(spark: SparkSession, schema: str, own: str, paths: list[str]) -> DataFrame:
+        columns = [c.split(" ", 1)[0] for c in schema.split(", ")]
+        return spark.read.schema(schema).option("basePath", own).parquet(*paths).select(*columns)
+
+    def _before(self, spark: SparkSession, schema: str, own: str, base: int) -> DataFrame:
+        """All rows that a base must hold: of the base before it, or of other queries on this table."""
+        if base:
+            last = base - self.fold
+            return self._read(spark, schema, own, [f"{own}/base={last}", *[f"{own}/batch={n}" for n in range(last, base)]])
+        columns = [c.split(" ", 1)[0] for c in schema.split(", ")]
+        try:
+            there = spark.read.schema(f"{schema}, query string, batch bigint").option("basePath", self.path).parquet(
+                f"{self.path}/query=*/batch=*")
+        except AnalysisException:  # nothing has been written yet
+            return spark.createDataFrame([], schema)
+        return there.where(F.col("query") != own.rsplit("=", 1)[1]).select(*columns)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path).drop("batch", "created_day")
+        """The table: what all batches of all queries wrote."""
+        return (spark.read.option("basePath", self.path).parquet(f"{self.path}/query=*/batch=*")
+                .drop("query", "batch", "created_day"))

@@ -13,14 +13,15 @@ def stream_lock_expiry(events: DataFrame, delay: str = "10 minutes",
                        expire_ms: int = LOCK_EXPIRE_MS) -> DataFrame:
     """Abandoned jobs: no claim, renewal or stop (id, lock, kind, ev_at) within the lock time.
 
-    Each event keeps its lock's session open for the lock time; a session that closes without a
-    stop was abandoned. An event exactly at the end still counts, as locks break strictly after.
+    Each event keeps its lock's session open for the lock time; a session that closes on anything
+    but a stop was abandoned, so a claim after a stop counts again. Of events at one time a stop is
+    the last. An event exactly at the end still counts, as locks break strictly after.
     """
     gap = f"{expire_ms} milliseconds"
     return (events.withWatermark("ev_at", delay)
             .groupBy(F.session_window("ev_at", gap).alias("w"), "id", "lock")
-            .agg(F.max(F.col("kind") == "stop").alias("stopped"), F.count(F.lit(1)).alias("events"))
-            .where(~F.col("stopped"))
+            .agg(F.max_by("kind", F.struct("ev_at", F.col("kind") == "stop")).alias("last"), F.count(F.lit(1)).alias("events"))
+            .where("last <> 'stop'")
             .select("id", "lock", F.unix_millis("w.start").alias("claimed_ms"),
                     F.unix_millis("w.end").alias("expired_ms"), "events"))
 

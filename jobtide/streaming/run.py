@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from jobtide.session import work_path
 
@@ -24,17 +26,45 @@ def drain_to_folder(stream: DataFrame, label: str, checkpoint: str | None = None
     return spark.read.schema(stream.schema).parquet(path)
 
 
+class ObservedSums(StreamingQueryListener):
+    """Sums of a stream's ``observe`` metrics over all its micro-batches, by the name observed.
+
+    ``with ObservedSums(spark, "name") as seen:`` around a drain; ``seen.sums`` has them afterwards.
+    A query's own ``recentProgress`` keeps only the last hundred micro-batches.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.sums, self.batches = spark, name, {}, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended = True
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.batches += 1
+            for field, value in row.asDict().items():
+                self.sums[field] = self.sums.get(field, 0) + (value or 0)
+
+    def __enter__(self) -> ObservedSums:
+        self.ended = False
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        until = time.monotonic() + 30
+        while not self.ended and not any(error) and time.monotonic() < until:  # events come after the query's end
+            time.sleep(0.05)
+        self.spark.streams.removeListener(self)
+
+
 def drain_to(stream: DataFrame, sink, label: str, checkpoint: str | None = None) -> StreamingQuery:
     """Feeds all available micro-batches to a ``foreachBatch`` sink."""
     return _start(stream.writeStream.foreachBatch(sink),
                   checkpoint or work_path(stream.sparkSession, f"{label}-offsets"))
-
-
-def observed(query: StreamingQuery, name: str) -> dict[str, int]:
-    """Sums of a stream's ``observe`` metrics over its recent micro-batches."""
-    sums: dict[str, int] = {}
-    for progress in query.recentProgress:
-        row = (progress["observedMetrics"] or {}).get(name)
-        for field, value in (row.asDict() if row is not None else {}).items():
-            sums[field] = sums.get(field, 0) + (value or 0)
-    return sums

@@ -86,13 +86,15 @@ def test_body_lines(spark):
 def test_intervals(spark):
     cases = {"10": 10, "200": 200, "3s": 3000, ".5s": 500, "0.5s": 500, "5.s": 5000, "29s": 29000,
              "1w": 604_800_000, " 2 m ": 120_000, "1h": 3_600_000, "1d": 86_400_000,
-             "one": None, "": None, "1x": None, ".": None, "-1s": None}
+             "1e3": 1000, "": 0, " ": 0, "-5": -5,
+             "one": None, "1x": None, ".": None, "-1s": None, "99999999999999999999w": None, "9e99": None}
     assert values(spark, text.interval_ms, list(cases)) == list(cases.values())
 
 
 def test_leading_codes(spark):
     cases = {"200": 200, "200 x": 200, " +7z": 7, "some": None, "-3": None, "-0": 0, "x200": None,
-             "": None, "404.5": 404, "-05": None}
+             "": None, "404.5": 404, "-05": None, "2147483647 x": 2147483647, "2147483648": None,
+             "99999999999999999999 x": None}
     assert values(spark, text.leading_code, list(cases)) == list(cases.values())
 
 

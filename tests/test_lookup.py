@@ -45,6 +45,14 @@ def test_hot_key_is_dealt_over_tasks(spark, sides, no_broadcast):
     assert per_task < 1500  # the hot key alone has 2667 rows
 
 
+def test_more_than_a_thousand_hot_keys_are_dealt(spark, no_broadcast):
+    rows = spark.range(1500 * 4).select(F.col("id").cast("string").alias("id"), (F.col("id") % 1500).cast("string").alias("type"))
+    side = spark.range(1500).select(F.col("id").cast("string").alias("type"), F.col("id").alias("v"))
+    got = lookup_join(rows, side, "type", "id", rows_per_part=2)
+    want = rows.join(side, "type", "left").select("id", "type", "v")
+    assert got.count() == 6000 and got.exceptAll(want).count() == 0
+
+
 def test_dealt_lookup(spark, sides, no_broadcast):
     rows, side = sides
     got = dealt_lookup(rows, side, "type", "id", 4)

@@ -28,7 +28,7 @@ def test_no_pairwise_joins(spark, name):
 
 
 def test_claim_cuts_to_the_limit_before_the_shuffle(spark):
-    text = plan(tr.claim_jobs(feeds.jobs(spark, SF), feeds.AS_OF, "me", 5))
+    text = plan(tr.claim_ranks(feeds.jobs(spark, SF), 5))
     assert text.count("WindowGroupLimit") == 2
     partial = text.index("WindowGroupLimit", text.index("WindowGroupLimit") + 1)
     assert "Exchange hashpartitioning" in text[:partial]

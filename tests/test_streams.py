@@ -13,7 +13,7 @@ from jobtide.operators import concurrency, journal_ops
 from jobtide.session import work_path
 from jobtide.sources import journal as js
 from jobtide.streaming import ingest as si, locks as sl, outcomes as so
-from jobtide.streaming.run import drain_to, drain_to_folder, observed
+from jobtide.streaming.run import ObservedSums, drain_to, drain_to_folder
 
 SF = "/root/testdata/sf0.001"
 NOW = feeds.AS_OF
@@ -139,6 +139,52 @@ def test_retry_ready_bounds(spark):
 def test_observed_counts(spark, lines):
     jobs = si.stream_ingest(js.journal_stream(spark, lines, max_files=3))
     counted = jobs.observe("ingest", F.count(F.lit(1)).alias("jobs"))
-    query = drain_to(counted, lambda rows, _: rows.write.format("noop").mode("overwrite").save(), "observe")
-    assert observed(query, "ingest") == {"jobs": journal_ops.journal_parse(js.journal_scan(spark, lines)).count()}
-    assert observed(query, "other") == {}
+    with ObservedSums(spark, "ingest") as seen, ObservedSums(spark, "other") as other:
+        drain_to(counted, lambda rows, _: rows.write.format("noop").mode("overwrite").save(), "observe")
+    assert seen.sums == {"jobs": journal_ops.journal_parse(js.journal_scan(spark, lines)).count()}
+    assert seen.batches > 1 and other.sums == {}
+
+
+def test_dedup_keeps_first_copies_out_of_order(spark):
+    day = lambda n: dt.datetime(2024, 1, n)
+    stream = _files(spark, "id string, dt timestamp", *[[(f"id{n}", day(n))] for n in (10, 11, 1, 12)])
+    got = sorted(r["id"] for r in drain_to_folder(si.stream_dedup(stream), "dedup").collect())
+    assert got == ["id1", "id10", "id11", "id12"]
+
+
+def test_claim_after_a_stop_expires(spark):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    schema = "id string, lock string, kind string, ev_at timestamp"
+    stream = _files(spark, schema, [("a", "d", "claim", t(0)), ("a", "d", "stop", t(60)), ("a", "d", "claim", t(120)),
+                                    ("b", "d", "claim", t(0)), ("b", "d", "stop", t(0))], [("z", "d", "stop", t(9000))])
+    got = [(r["id"], r["expired_ms"] - r["claimed_ms"]) for r in drain_to_folder(sl.stream_lock_expiry(stream), "stale").collect()]
+    assert got == [("a", 420_000)]
+
+
+def _upsert(spark, sink, batch: int, *ids_: str) -> None:
+    sink(spark.createDataFrame([(i, "t", None, "", "x") for i in ids_], "id string, type string, dt timestamp, lock string, data string"), batch)
+
+
+def test_upsert_of_ids_without_a_day(spark):
+    sink = si.UpsertSink(work_path(spark, "upsert"), NOW, ["type", "data"])
+    _upsert(spark, sink, 0, "zzzzzzzzzzzz-q0-001")
+    _upsert(spark, sink, 1, "zzzzzzzzzzzz-q0-001", "zzzzzzzzzzzz-q0-002")
+    assert sink.read(spark).count() == 2
+
+
+def test_upsert_folds_and_replays(spark):
+    sink = si.UpsertSink(work_path(spark, "upsert"), NOW, ["type", "data"], fold=2)
+    for batch in (0, 1, 2, 3, 4, 4, 5):
+        _upsert(spark, sink, batch, f"zzzzzzzzzzzz-q0-{batch}", "zzzzzzzzzzzz-q0-x")
+    assert sink.read(spark).count() == 7
+
+
+def test_upsert_with_a_new_checkpoint_overwrites_nothing(spark, lines):
+    path = work_path(spark, "upsert")
+    want = None
+    for label in ("first", "second"):
+        sink = si.UpsertSink(path, NOW, ["type", "data"])
+        drain_to(si.stream_ingest(js.journal_stream(spark, lines, max_files=3)), sink, label)
+        got = sorted(r["id"] for r in sink.read(spark).select("id").collect())
+        want = want or got
+        assert got == want and len(set(got)) == len(got)

@@ -43,11 +43,31 @@ def test_claim_is_limited_and_leaves_others(make_jobs, now):
 
 def test_claim_limits_per_type(spark, make_jobs, now):
     jobs = make_jobs(*[(f"{t}{i}", t, -1, "") for t in "ABC" for i in range(6)])
-    limits = spark.createDataFrame([("A", 5), ("B", None)], "type string, batch_size int")
-    got = tr.claim_jobs(jobs, now, "me", 2, limits=limits, max_limit=5).where("changed")
+    limits = spark.createDataFrame([("A", 5), ("B", None), ("C", 0)], "type string, batch_size int")
+    got = tr.claim_jobs(jobs, now, "me", 2, limits=limits).where("changed")
     assert rows(got.groupBy("type").count(), "type", "count") == [("A", 5), ("B", 2), ("C", 2)]
 
 
+def test_a_handler_size_is_taken_as_it_is(spark, make_jobs, now):
+    jobs = make_jobs(*[(f"A{i:03}", "A", -1, "") for i in range(300)])
+    limits = spark.createDataFrame([("A", 250)], "type string, batch_size int")
+    assert tr.claim_jobs(jobs, now, "me", 2, limits=limits).where("changed").count() == 250
+
+
+def test_limit_with_repeated_ids(make_jobs, now):
+    jobs = make_jobs(("a", "t", -1, "", "1"), ("a", "t", -1, "", "2"), ("b", "t", -1, "", "1"), ("b", "t", -1, "", "2"))
+    got = tr.conditional_update(jobs, F.col("lock") == "", {"lock": F.lit("x")}, limit=3)
+    assert rows(got, "id", "data", "lock") == [("a", "1", "x"), ("a", "2", "x"), ("b", "1", "x"), ("b", "2", "")]
+
+
+def test_purge_by_age_and_limit(make_jobs, now):
+    jobs = make_jobs(("a", "t", -100, ""), ("b", "t", -90, ""), ("c", "t", -10, ""), ("d", "u", -100, ""))
+    assert rows(tr.affected(tr.purge_jobs(jobs, type="t", now=now, older_ms=50_000)), "id") == [("a",), ("b",)]
+    assert rows(tr.affected(tr.purge_jobs(jobs, type="t", now=now, older_ms=50_000, limit=1)), "id") == [("a",)]
+    with pytest.raises(ValueError):
+        tr.purge_jobs(jobs, type="t")
+
+
 @pytest.mark.parametrize("how,lock,secs", [("retry", "", 300), ("unget", "", 0), ("archive", "__done", None)])
 def test_release(spark, make_jobs, now, how, lock, secs):
     jobs = make_jobs(("a", "t", 100, "me"), ("b", "t", 100, "me"), ("c", "t", 100, "you"))
