@@ -3,8 +3,8 @@
 The encoding of a word's prefix is fixed by its last token: the rest is the encoding of the prefix
 without that token. Token ``t`` is the last one exactly if it may follow the last token before it,
 that is, if merging the two side by side from single symbols gives the same two back. The distinct
-words of a chunk of texts, sorted, are the depth-first order of their trie; the states (last token starts)
-of the path to the current node stay, so a prefix that several words share is worked out once.
+words of a chunk of texts, sorted, are the depth-first order of their trie; the states (last token
+starts) of the path to the current node stay, so a prefix that several words share is worked out once.
 
 Rows: a null text counts as empty, an empty text has no tokens. Repeated rows, equal ids and null
 ids are kept as they are; texts of any length are encoded whole. Extra columns are not read.
@@ -13,17 +13,22 @@ ids are kept as they are; texts of any length are encoded whole. Extra columns a
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+import uuid
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from jobtide.llm.common import per_chunk, per_value, sha256_of
+from jobtide.llm.common import per_chunk, sha256_of
+from jobtide.session import ship_package
 
-CACHED = 300_000  # encoded words, and pairs of tokens, that a worker remembers (some 100 MB)
+CACHED = 250_000  # words, and pairs of tokens, that a worker remembers (some 100 MB in all)
 
 
 def load_vocabulary(path: str) -> dict:
@@ -52,7 +57,7 @@ class PrefixEncoder:
         self.tokens = {n: t for t, n in self.ids.items()}
         self.rank = {pair: n for n, pair in enumerate(vocabulary["merges"])}
         self.inner, self.final = self.lengths(False), self.lengths(True)
-        self.follows: dict[int, bool] = {}
+        self.follows: dict[int, bool] = {}  # of two tokens: whether they stay two
 
     def lengths(self, final: bool) -> dict[str, list[int]]:
         """Which lengths tokens have that end with given three symbols, longest first, then 2 and 1."""
@@ -86,10 +91,11 @@ class PrefixEncoder:
         key = (before + 1 << 32) + token
         known = self.follows.get(key)
         if known is None:
+            wanted = [self.tokens[n] for n in (before, token) if n >= 0]
+            known = self.merged([s for t in wanted for s in self.symbols(t)]) == wanted
             if len(self.follows) >= CACHED:
                 self.follows.clear()
-            wanted = [self.tokens[n] for n in (before, token) if n >= 0]
-            known = self.follows[key] = self.merged([s for t in wanted for s in self.symbols(t)]) == wanted
+            self.follows[key] = known
         return known
 
     def last_token(self, word: str, depth: int, states: list, end: str) -> tuple[int, int]:
@@ -103,9 +109,9 @@ class PrefixEncoder:
                     return start, token
         raise ValueError(f"no token ends {word[:depth]!r}")
 
-    def encode_all(self, words: set[str]) -> dict[str, list[int]]:
+    def encode_all(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Token ids of each distinct word, by a depth-first walk over their trie."""
-        found: dict[str, list[int]] = {}
+        found: dict[str, tuple[int, ...]] = {}
         states, path = [(0, -1)], ""  # states[d]: start and id of the last token of path[:d]
         for word in sorted(words):
             shared = min(len(commonprefix((path, word))), len(states) - 1, len(word))
@@ -118,7 +124,7 @@ class PrefixEncoder:
             while upto:
                 upto, token = states[upto]
                 ids.append(token)
-            found[word] = ids[::-1]
+            found[word] = tuple(ids[::-1])
         return found
 
 
@@ -128,13 +134,17 @@ class TextEncoder:
     def __init__(self, vocabulary: dict):
         self.words = PrefixEncoder(vocabulary)
         self.split = regex.compile(vocabulary["pattern"])
+        plain = vocabulary["pattern"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+        self.split_ascii = self.split if r"\p" in plain else re.compile(plain, re.ASCII)  # the same on ASCII texts
         self.special = vocabulary["special"]
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.table = byte_symbols()
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words of one stretch without special tokens, normalised as the tokenizer file says."""
+        if text.isascii():
+            return self.split_ascii.findall(text.lower())
         # letters are lowered one by one, so a final sigma is no special case
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.split.findall(text)
@@ -147,38 +157,53 @@ class TextEncoder:
             upto = m.end()
         return [*parts, self.pieces(text[upto:])]
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-            new = list(words)
+    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of new words, which are remembered."""
         table = self.table
-        as_symbols = {"".join([table[b] for b in w.encode("utf-8")]): w for w in new}
-        for symbols, ids in self.words.encode_all(set(as_symbols)).items():
-            self.known[as_symbols[symbols]] = ids
+        as_symbols = {"".join([table[b] for b in w.encode("utf-8")]): w for w in words}
+        fresh = {as_symbols[symbols]: ids for symbols, ids in self.words.encode_all(as_symbols).items()}
+        if len(self.known) + len(fresh) > CACHED:
+            self.known.clear()
+        self.known.update(fresh)
+        return fresh
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; the words that are new in the texts are worked out together."""
+        get = self.known.get
         plans = [self.plan(text) for text in texts]
-        self.learn({w for parts in plans for part in parts if isinstance(part, list) for w in part})
-        known, results = self.known, []
-        for parts in plans:
+        drafts = [[[get(w) for w in part] if isinstance(part, list) else [(part,)] for part in parts] for parts in plans]
+        missing = {w for parts, draft in zip(plans, drafts) for part, ids in zip(parts, draft) if None in ids
+                   for w, found in zip(part, ids) if found is None}
+        fresh = self.learn(missing)
+        results = []
+        for parts, draft in zip(plans, drafts):
             out: list[int] = []
-            for part in parts:
-                if isinstance(part, list):
-                    out += chain.from_iterable([known[w] for w in part])
-                else:
-                    out.append(part)
+            for part, ids in zip(parts, draft):
+                if None in ids:
+                    ids = [fresh[w] if found is None else found for w, found in zip(part, ids)]
+                out += chain.from_iterable(ids)
             results.append(out)
         return results
 
 
+_encoders: dict[str, TextEncoder] = {}
+
+
+def worker_encoder(key: str, shared) -> TextEncoder:
+    """The encoder of a worker process, which goes on to its later tasks with what it remembers."""
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = TextEncoder(shared.value)
+    return _encoders[key]
+
+
 def encode(docs: DataFrame, vocabulary: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of ``docs``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def make():
-        encoder = TextEncoder(shared.value)
+        encoder = worker_encoder(key, shared)
         return lambda texts: encoder.encode([text or "" for text in texts])
 
     ids = per_chunk(spark, make, "array<int>", pa.list_(pa.int32()))
@@ -186,14 +211,24 @@ def encode(docs: DataFrame, vocabulary: dict, id_col: str = "doc_id", text_col:
 
 
 def decode(spark: SparkSession, vocabulary: dict):
-    """A column function from token ids to text; tokens are joined by one space."""
+    """A column function from token ids to text: tokens joined by one space; ids that are no tokens are left out."""
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def make():
-        tokens = {n: t for t, n in shared.value["ids"].items()} | {n: t for t, n in shared.value["special"].items()}
-        return lambda ids: " ".join([tokens[n] for n in ids or () if n in tokens])
-
-    return per_value(spark, make, "string", pa.string())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        named = {n: t for part in ("ids", "special") for t, n in shared.value[part].items()}
+        tokens = np.array([named.get(n) for n in range(max(named) + 1)], object)
+        for lists in batches:
+            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            texts = []
+            for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                own = ids[first:last]
+                own = own[(own >= 0) & (own < len(tokens))]
+                texts.append(" ".join([t for t in tokens[own].tolist() if t is not None]))
+            yield pa.array(texts, pa.string())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string").asNondeterministic()
 
 
 def token_digests(docs: DataFrame, vocabulary: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
