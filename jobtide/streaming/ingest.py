@@ -53,7 +53,7 @@ class UpsertSink:
         base = batch_id // self.fold * self.fold
         if batch_id == base:
             self._write(self._before(spark, schema, own, base), f"{own}/base={base}")
-        known = self._read(spark, schema, own, [f"{own}/base={base}", *[f"{own}/batch={n}" for n in range(base, batch_id)]])
+        known = self._read(spark, schema, own, base, batch_id)
         days = accepted.select(F.col("created_day").alias("asked")).distinct()
         known = known.join(days, F.col("created_day").eqNullSafe(F.col("asked")), "left_semi")
         fresh = fresh.join(known.select("id"), "id", "left_anti")
@@ -66,15 +66,19 @@ class UpsertSink:
         rows.hint("rebalance", "created_day").write.mode("overwrite").partitionBy("created_day").parquet(path)
 
     @staticmethod
-    def _read(spark: SparkSession, schema: str, own: str, paths: list[str]) -> DataFrame:
-        columns = [c.split(" ", 1)[0] for c in schema.split(", ")]
-        return spark.read.schema(schema).option("basePath", own).parquet(*paths).select(*columns)
+    def _read(spark: SparkSession, schema: str, own: str, base: int, upto: int) -> DataFrame:
+        """A base and the batches from it on, before ``upto``."""
+        rows = spark.read.schema(schema).parquet(f"{own}/base={base}")
+        if upto > base:
+            paths = [f"{own}/batch={n}" for n in range(base, upto)]
+            rows = rows.unionByName(spark.read.schema(schema).option("basePath", own).parquet(*paths).drop("batch"))
+        return rows
 
     def _before(self, spark: SparkSession, schema: str, own: str, base: int) -> DataFrame:
         """All rows that a base must hold: of the base before it, or of other queries on this table."""
         if base:
             last = base - self.fold
-            return self._read(spark, schema, own, [f"{own}/base={last}", *[f"{own}/batch={n}" for n in range(last, base)]])
+            return self._read(spark, schema, own, last, base)
         columns = [c.split(" ", 1)[0] for c in schema.split(", ")]
         try:
             there = spark.read.schema(f"{schema}, query string, batch bigint").option("basePath", self.path).parquet(
