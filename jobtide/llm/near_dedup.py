@@ -16,7 +16,8 @@ of the sketch make buckets. Equal sets are folded into one node first, so copies
    least neighbour, written after every round.
 
 Bands are set so that a pair just at the threshold shares none with probability below 1e-6
-(:func:`bands_for`). Sets are compared as 40-bit shingle hashes of the whole text.
+(:func:`bands_for`). Sets are held and compared as 128-bit shingle hashes of the whole text, in two
+lanes of 64 bits that are hashed apart; sketches need the first lane only.
 
 Rows: null and empty texts, and texts without words, have empty sets and are linked with nothing.
 A text of fewer than ``k`` words has one shingle, all its words. Rows with equal sets are one group,
@@ -39,7 +40,6 @@ from jobtide.session import cut
 SMALL = 64
 BLOCK = 256
 KNOWN_WORDS = 200_000
-BITS = 40
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -64,30 +64,30 @@ class Sketcher:
     def __init__(self, k: int, bands: int, rows: int):
         self.k, self.bands, self.rows = k, bands, rows
         self.bins = bands * rows
-        self.known: dict[str, int] = {}
+        self.known: dict[str, bytes] = {}
 
-    def word(self, word: str) -> int:
+    def word(self, word: str) -> bytes:
         if len(self.known) >= KNOWN_WORDS:
             self.known.clear()
-        value = self.known[word] = xxhash.xxh3_64_intdigest(word)
+        value = self.known[word] = xxhash.xxh3_128_digest(word)
         return value
 
     def shingles(self, text: str | None) -> np.ndarray:
-        """Distinct shingle hashes, ascending."""
+        """Distinct shingle hashes, ascending; a column each, a row for either lane."""
         words = WORD.findall(lower_ascii(text)) if text else []
         if not words:
-            return np.empty(0, np.uint64)
+            return np.empty((2, 0), np.uint64)
         known = self.known
-        hashes = np.array([known.get(w) or self.word(w) for w in words], np.uint64)
+        hashes = np.frombuffer(b"".join([known.get(w) or self.word(w) for w in words]), "<u8").reshape(-1, 2).T.copy()
         size = min(self.k, len(words))
-        rolled = np.full(len(words) - size + 1, size, np.uint64)
+        rolled = np.full((2, len(words) - size + 1), size, np.uint64)
         for n in range(size):
-            rolled = mixed(rolled * MIX[0] + hashes[n:len(words) - size + 1 + n])
-        return np.unique(rolled >> np.uint64(64 - BITS))
+            rolled = mixed(rolled * MIX[0] + hashes[:, n:len(words) - size + 1 + n])
+        return distinct(rolled)
 
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         """One value a bin; empty bins borrow from a filled bin by universal hashing."""
-        spread = mixed((shingles + np.uint64(1)) * MIX[0])
+        spread = mixed((shingles[0] + np.uint64(1)) * MIX[0])
         at = ((spread >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
         values = np.full(self.bins, np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(values, at, mixed(spread))
@@ -104,39 +104,52 @@ class Sketcher:
 
     def describe(self, text: str | None) -> dict:
         shingles = self.shingles(text)
-        if not len(shingles):
+        if not shingles.size:
             return {"n": 0, "node": None, "bands": None}
         values = self.sketch(shingles).reshape(self.bands, self.rows)
         rolled = np.arange(1, self.bands + 1).astype(np.uint64)
         for column in values.T:
             rolled = mixed(rolled * MIX[0] + column)
-        return {"n": len(shingles), "node": xxhash.xxh3_128_digest(shingles.tobytes()), "bands": rolled.astype(np.int64)}
+        return {"n": shingles.shape[1], "node": xxhash.xxh3_128_digest(shingles.tobytes()), "bands": rolled.astype(np.int64)}
 
     def packed(self, text: str | None) -> dict:
-        """The whole set, five bytes a shingle, with its node."""
-        shingles = self.shingles(text)
-        raw = shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BITS // 8].tobytes()
-        return {"node": xxhash.xxh3_128_digest(shingles.tobytes()), "shingles": raw}
+        """The whole set, sixteen bytes a shingle, with its node."""
+        raw = self.shingles(text).tobytes()
+        return {"node": xxhash.xxh3_128_digest(raw), "shingles": raw}
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The distinct columns, ascending by the first lane, then the second."""
+    out = hashes[:, np.argsort(hashes[0])]
+    same = out[0, 1:] == out[0, :-1]
+    if (same & (out[1, 1:] != out[1, :-1])).any():
+        out = hashes[:, np.lexsort((hashes[1], hashes[0]))]
+        same = (out[:, 1:] == out[:, :-1]).all(axis=0)
+    return np.ascontiguousarray(out[:, np.concatenate(([True], ~same))])
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) * 8 // BITS, 8), np.uint8)
-    out[:, :BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two ascending arrays without repeats share."""
-    if len(a) > len(b):
+    """How many columns two sets as of :func:`distinct` share."""
+    if a.shape[1] > b.shape[1]:
         a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+    if not a.size:
+        return 0
+    at = np.searchsorted(b[0], a[0])
+    at[at == b.shape[1]] = 0
+    first = b[0, at] == a[0]
+    both = first & (b[1, at] == a[1])
+    if (first & ~both).any():  # equal in one lane only
+        return a.shape[1] + b.shape[1] - distinct(np.concatenate((a, b), axis=1)).shape[1]
+    return int(both.sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = common(a, b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    return 100 * both >= percent * (a.shape[1] + b.shape[1] - both)
 
 
 def similar_sizes(a: str, b: str, percent: int):
@@ -237,7 +250,7 @@ class NearDuplicates:
             for a, root, x in [row[1:] for row in rows if row[0]]:
                 joined = {root}  # one link to each other group is enough to join them
                 for b, its, y in [row[1:] for row in rows if not row[0]]:
-                    if its not in joined and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and linked(x, y, percent):
+                    if its not in joined and 100 * min(x.size, y.size) >= percent * max(x.size, y.size) and linked(x, y, percent):
                         joined.add(its)
                         found.append((min(a, b), max(a, b)))
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()),
@@ -314,6 +327,6 @@ def _node_of(k: int):
 
     def node(text: str | None) -> bytes:
         shingles = sketcher.shingles(text)
-        return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b""
+        return xxhash.xxh3_128_digest(shingles.tobytes()) if shingles.size else b""
 
     return node

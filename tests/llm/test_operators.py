@@ -444,6 +444,20 @@ def test_densification_fills_every_bin_alike():
         assert (1 - share ** rows) ** bands < 1e-6
 
 
+def test_sets_hold_every_shingle(spark, make_docs):
+    pairs = ("w546482 w1121639", "w94209 w890417")  # equal in 40 bits of the hash
+    got = by_id(near_dedup.near_duplicates(make_docs(*pairs, *pairs[0].split()), 1, 80))
+    assert [(got[n].n_shingles, got[n].component_id) for n in range(4)] == [(2, 0), (2, 1), (1, 2), (1, 3)]
+
+
+def test_sets_equal_in_one_lane():
+    import numpy as np
+    one = near_dedup.distinct(np.array([[7, 5, 7, 7, 5], [1, 2, 3, 1, 2]], np.uint64))
+    two = near_dedup.distinct(np.array([[7, 5, 9], [3, 4, 1]], np.uint64))
+    assert one.tolist() == [[5, 7, 7], [2, 1, 3]] and near_dedup.common(one, two) == near_dedup.common(two, one) == 1
+    assert near_dedup.common(one, one) == 3 and near_dedup.common(one, two[:, :0]) == 0
+
+
 def test_one_row_of_each(spark, make_docs, odd_docs):
     a, b = " ".join(f"a{n}" for n in range(60)), " ".join(f"b{n}" for n in range(60))
     docs = make_docs((3, a), (1, a + " x"), (1, a + " x"), (2, b), (None, b), (4, None), (5, ""))
