@@ -1,16 +1,15 @@
-"""License scan by MinHash bands over overlapping windows, in DataFrame operations only.
+"""License scan by an index of template shingles, in DataFrame operations only.
 
 Texts are cut into lower-case words; a shingle is ``SHINGLE`` words in a row. Only shingles that
-occur in some template are looked at (any other can only lower a similarity). They are dealt to
-windows of ``WINDOW`` words every ``WINDOW / 2`` words, and each window is sketched by minima of
-``BANDS * ROWS`` hash functions, banded. The templates are sketched likewise in every part that a
-window can cut out of a copy, so a window over a true copy meets a part of equal shingles, and at
-shingle similarity s two sketches share a band with probability 1 - (1 - s^ROWS)^BANDS: over
-0.995 at 0.8, see :func:`collision`.
+occur in some template are looked at (any other can only lower a similarity). Each is joined with
+the places it has in templates, and every such pair suggests one place of that template in the
+text, so no other template nearby shifts it and none is missed.
 
-A retrieved template is then verified exactly at the place that window and part suggest: the share
-of the template's distinct shingles that the text has there must reach ``CONTAINED``. Of several
-templates found from the same word on, the one contained most, then the longest, counts.
+A template is then verified exactly at each suggested place: the share of its distinct shingles that
+the text has there, ``SLACK`` words more on either side, must reach ``CONTAINED``. A shingle that
+lies a whole copy away from its place in the template belongs to a neighbour copy and does not
+count. Of overlapping finds of a template the one contained most, then the best aligned, counts; of
+several templates found from the same word on, the one contained most, then the longest.
 
 Rows: null and empty texts have no matches. Matches are found per distinct text (by a 64-bit
 fingerprint plus length) and given to each of its rows, so repeated rows and null ids are kept, each
@@ -20,11 +19,11 @@ rows at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobtide.session import cut
 
-SHINGLE, WINDOW, CONTAINED, SLACK = 3, 16, 0.8, 4
+SHINGLE, CONTAINED, SLACK = 3, 0.8, 4
 BANDS, ROWS = 8, 2
 WORDS = r"[^a-z0-9.+-]+"
 
@@ -64,7 +63,7 @@ TEMPLATES = {
 
 
 def collision(similarity: float) -> float:
-    """Probability that sketches of this similarity share a band."""
+    """Probability that sketches of ``BANDS`` x ``ROWS`` minima share a band; the scan itself loses none."""
     return 1 - (1 - similarity ** ROWS) ** BANDS
 
 
@@ -89,41 +88,24 @@ def shingles_of(text: Column) -> Column:
     return let(words_of(text), hashed)
 
 
-def bands_of(shingles: Column) -> Column:
-    """One hash a band of a set of shingles."""
-    def least_of(n: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(n))))
-
-    least = [least_of(n) for n in range(BANDS * ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS:(b + 1) * ROWS]) for b in range(BANDS)])
-
-
 def template_table(spark: SparkSession, templates: dict[str, str] | None = None) -> DataFrame:
     rows = sorted((TEMPLATES if templates is None else templates).items())
     return spark.createDataFrame(rows, "license string, template string")
 
 
-def sketch_templates(templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(license, size, shingles) of each template, and (license, band_hash, part_at) of its parts.
-
-    Parts are all stretches that a window of WINDOW words, laid at any offset, cuts out of it.
-    """
+def template_places(templates: DataFrame) -> DataFrame:
+    """(license, size, distinct, h, pos): each shingle of each template at each of its positions."""
     known = templates.select("license", shingles_of(F.col("template")).alias("ordered")).where(F.size("ordered") > 0)
-    known = known.select("license", "ordered", F.size("ordered").alias("size"), F.array_distinct("ordered").alias("shingles"))
-    inner = WINDOW - SHINGLE + 1
-    cuts = known.select("license", "ordered", F.explode(F.sequence(F.lit(1 - inner), F.col("size") - 1)).alias("shift"))
-    parts = cuts.select("license", F.greatest("shift", F.lit(0)).alias("part_at"), F.expr(
-        f"slice(ordered, greatest(shift, 0) + 1, least(shift + {inner}, size(ordered)) - greatest(shift, 0))").alias("part"))
-    bands = parts.select("license", "part_at", F.explode(bands_of(F.array_distinct("part"))).alias("band_hash")).distinct()
-    return known.select("license", "size", "shingles"), bands
+    return known.select("license", F.size("ordered").alias("size"), F.size(F.array_distinct("ordered")).alias("distinct"),
+                        F.posexplode("ordered").alias("pos", "h"))
 
 
 def match_texts(docs: DataFrame, templates: DataFrame, text_col: str = "text") -> DataFrame:
     """(text_id, license, first_word, last_word, contained): verified matches of distinct texts."""
     spark = docs.sparkSession
-    known, parts = sketch_templates(templates)
+    known = template_places(templates)
     # the templates are given and few, so their shingles fit into the plan as literals
-    every = [r[0] for r in known.select(F.explode("shingles").alias("h")).distinct().orderBy("h").collect()]
+    every = [r[0] for r in known.select("h").distinct().orderBy("h").collect()]
     empty = "array<struct<at: int, h: bigint>>"
     placed = F.filter(F.transform(F.col("hashes"), lambda h, i: F.struct(i.alias("at"), h.alias("h"))),
                       lambda s: s["h"].isin(every)) if every else F.array().cast(empty)
@@ -131,27 +113,26 @@ def match_texts(docs: DataFrame, templates: DataFrame, text_col: str = "text") -
                                                       shingles_of(F.col(text_col)).alias("hashes"))
     texts = cut(texts.select("text_id", placed.alias("placed")).dropDuplicates(["text_id"]), "license-places")
     texts = texts.where(F.size("placed") > 0)  # of the written rows, so that no text is cut twice
-    step = WINDOW // 2
-    window = F.explode(F.array((F.col("s.at") / step).cast("int"), (F.col("s.at") / step).cast("int") - 1)).alias("window")
-    windows = (texts.select("text_id", F.explode("placed").alias("s")).select("text_id", "s", window)
-               .where(F.col("s.at") <= F.col("window") * step + WINDOW - SHINGLE)
-               .groupBy("text_id", "window").agg(F.collect_set("s.h").alias("held"), F.min("s.at").alias("at")))
-    hits = (windows.select("text_id", "at", F.explode(bands_of(F.col("held"))).alias("band_hash"))
-            .join(parts, "band_hash").select("text_id", "license", (F.col("at") - F.col("part_at")).alias("origin")).distinct())
-    near = F.filter("placed", lambda s: (s["at"] >= F.col("origin") - SLACK)
-                    & (s["at"] < F.col("origin") + F.col("size") + SLACK) & F.array_contains(F.col("shingles"), s["h"]))
-    spans = (hits.join(texts, "text_id").join(known, "license").select("text_id", "license", "shingles", near.alias("near"))
-             .select("text_id", "license", F.array_min("near.at").alias("first_word"),
-                     (F.array_max("near.at") + SHINGLE - 1).alias("last_word"),
-                     (F.size(F.array_distinct("near.h")) / F.size("shingles")).alias("contained"),
-                     F.size("shingles").alias("size"))
-             .where(F.col("contained") >= CONTAINED))
-    # windows over one copy suggest places a few words apart: of overlapping finds of a license one counts
-    order = W.partitionBy("text_id", "license").orderBy("first_word", "last_word")
-    ended = F.max("last_word").over(order.rowsBetween(W.unboundedPreceding, -1))
-    copies = (spans.distinct().withColumn("fresh", F.coalesce(F.col("first_word") > ended, F.lit(True)).cast("int"))
-              .withColumn("copy", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-              .groupBy("text_id", "license", "copy").agg(F.max(F.struct("contained", "size", "first_word", "last_word")).alias("m"))
+    width = F.col("size") + 2 * SLACK  # of the stretch that a place covers: it meets two buckets at most
+    own = (texts.select("text_id", F.explode("placed").alias("s")).select("text_id", "s.at", "s.h").join(known, "h")
+           .withColumn("bucket", F.floor(F.col("at") / width)))
+    ends = F.array(F.floor((F.col("origin") - SLACK) / width), F.floor((F.col("origin") + F.col("size") + SLACK - 1) / width))
+    places = (own.select("text_id", "license", "size", (F.col("at") - F.col("pos")).alias("origin")).distinct()
+              .select("text_id", "license", "origin", F.explode(F.array_distinct(ends)).alias("bucket")))
+    moved = F.abs(F.col("at") - F.col("pos") - F.col("origin"))
+    spans = (places.join(own, ["text_id", "license", "bucket"])
+             .where((F.col("at") >= F.col("origin") - SLACK) & (F.col("at") < F.col("origin") + F.col("size") + SLACK)
+                    & (moved < F.col("size") + SHINGLE - 1))
+             .groupBy("text_id", "license", "origin", "size", "distinct")
+             .agg(F.size(F.collect_set("h")).alias("held"), F.size(F.collect_set(F.when(moved == 0, F.col("h")))).alias("aligned"),
+                  F.min("at").alias("first_word"), (F.max("at") + SHINGLE - 1).alias("last_word"))
+             .withColumn("contained", F.col("held") / F.col("distinct")).where(F.col("contained") >= CONTAINED))
+    # shingles of one copy suggest places a few words apart: of overlapping finds of a license one counts
+    ranked = F.reverse(F.array_sort(F.collect_set(F.struct("contained", "aligned", "size", "first_word", "last_word"))))
+    free = lambda kept, s: ~F.exists(kept, lambda k: (s["first_word"] <= k["last_word"]) & (k["first_word"] <= s["last_word"]))
+    copies = (spans.groupBy("text_id", "license").agg(ranked.alias("ranked"))
+              .select("text_id", "license", F.explode(F.aggregate(
+                  "ranked", F.slice("ranked", 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))).alias("m"))
               .select("text_id", "license", "m.*"))
     best = F.max(F.struct("contained", "size", "license", "last_word")).alias("best")
     return copies.groupBy("text_id", "first_word").agg(best).select(

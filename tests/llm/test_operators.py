@@ -166,6 +166,23 @@ def test_long_license_with_edits(spark, make_docs):
     assert [(r.doc_id, r.license) for r in got] == [(0, "MIT permission")] and 0.8 <= got[0].contained < 1
 
 
+def test_licenses_beside_each_other(spark, make_docs):
+    cc, mit = license_scan.TEMPLATES["CC-BY-NC-4.0 line"], license_scan.TEMPLATES["MIT line"]
+    notice = license_scan.TEMPLATES["Apache-2.0 notice"]
+    texts = [f"{'pad ' * n}{cc}\n{'mid ' * gap}{mit}" for n in range(8) for gap in range(3)]
+    texts += ["pad " * n + " ".join([mit] * 3) for n in range(8)] + [f"{notice} {notice}", f"{mit} Released under the MIT rules"]
+    found = {}
+    for r in license_scan.scan(make_docs(*texts)).collect():
+        found.setdefault(r.doc_id, []).append((r.first_word, r.last_word, r.license))
+    for n in range(8):
+        for gap in range(3):
+            assert sorted(found[3 * n + gap]) == [(n, n + 5 - 1, "CC-BY-NC-4.0 line"), (n + 5 + gap, n + 9 + gap, "MIT line")]
+        assert sorted(found[24 + n]) == [(n + m, n + m + 4, "MIT line") for m in (0, 5, 10)]
+    notices = sorted(x[0] for x in found[32] if x[2] == "Apache-2.0 notice")
+    assert len(notices) == 2 and notices[0] == 0 and notices[1] > 60
+    assert found[33] == [(0, 4, "MIT line")]
+
+
 def test_licenses_on_odd_rows(spark, odd_docs):
     assert license_scan.scan(odd_docs).count() == 0
     assert license_scan.scan(odd_docs.limit(0)).count() == 0
