@@ -7,7 +7,10 @@ containers on the host's winning path are extracted; a page without one, or with
 by its own best container.
 
 Left out are navigation, headers, footers, sidebars, forms, scripts, styles and elements whose class
-or id names a notice, advert, menu, comment section or the like. Blocks are joined by one line feed.
+or id names a notice, advert, menu, comment section or the like. A name is only a guess: such an
+element stays if the page's largest <article> or <main> lies in it, or, unless it names comments,
+adverts, consent and the like (``FOREIGN``), most of the page's unlinked text; so does a form. Names that speak of the layout
+(no-sidebar, has-sidebar, with-sidebar) mark nothing. Blocks are joined by one line feed.
 
 Rows: null and empty html has no text; broken or cut-off markup is read as far as it goes. Null and
 unreadable urls have no host. Repeated rows, equal and null ids are kept, each with its own text.
@@ -37,7 +40,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
           "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-DROPPED = {"head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "math", "button", "select", "dialog",
+DROPPED = {"head", "nav", "footer", "aside", "noscript", "template", "svg", "math", "button", "select", "dialog",
            "menu", "object", "audio", "video", "canvas", "datalist", "map", *RAW}
 WHOLE = {"html", "body", "article", "main"}
 WRAPPERS = {"html", "body"}
@@ -51,18 +54,27 @@ NOISE = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "subscription", "comment", "comments", "commentlist", "disqus", "replies", "respond", "share", "sharing",
          "social", "related", "recommended", "recommendations", "widget", "widgets", "toolbar", "pagination", "pager", "login",
          "signup", "skip", "copyright", "paywall", "alert", "disclaimer"}
+# Those of them that name text which may well outweigh an article.
+FOREIGN = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
+           "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "newsletter", "subscribe", "subscription", "comment",
+           "comments", "commentlist", "disqus", "replies", "respond", "paywall", "alert", "disclaimer"}
 NOISE_OUTSIDE = {"header", "masthead", "topbar", "search"}  # inside an article these may hold its title
-NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
+NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu"}
 NAME_WORD = re.compile(r"[a-z]+")
+# names of a layout: what the page has or lacks, to the end of the name
+LAYOUT = re.compile(r"(?<![a-z])(?:no|not|non|has|have|with|without)[-_]+\S+")
+KEPT, GUESSED, GUESSED_FOREIGN, SURE = range(4)
 SPACES = re.compile(r"\s+")
 FOUND = "struct<path: string, score: double>"
 
 
 class Element:
-    __slots__ = ("tag", "name", "parent", "dropped", "in_article", "linked", "holder", "score", "first")
+    __slots__ = ("tag", "name", "parent", "noise", "dropped", "in_article", "linked", "holder", "score", "first", "size")
 
-    def __init__(self, tag: str, name: str, parent: Element | None, dropped: bool, first: int):
-        self.tag, self.name, self.parent, self.dropped, self.first = tag, name, parent, dropped, first
+    def __init__(self, tag: str, name: str, parent: Element | None, noise: int, first: int):
+        self.tag, self.name, self.parent, self.noise, self.first = tag, name, parent, noise, first
+        self.dropped = noise == SURE or bool(parent and parent.dropped)
+        self.size = 0  # characters in it outside links
         self.in_article = tag in ("article", "main") or bool(parent and parent.in_article)
         inline = tag in INLINE and parent is not None
         self.linked = tag == "a" or inline and parent.linked
@@ -74,26 +86,38 @@ def attributes(text: str) -> dict[str, str]:
     return {m.group(1).lower(): m.group(2) or m.group(3) or m.group(4) or "" for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
 
 
-def is_noise(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+def noise_words(attrs: dict[str, str]) -> set[str]:
+    return set(NAME_WORD.findall(LAYOUT.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
+
+
+def noise_of(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """How surely an element is no part of the article: KEPT, GUESSED, GUESSED_FOREIGN or SURE."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return SURE
     if tag in WHOLE and not (tag == "article" and inside):
-        return False
-    words = set(NAME_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
-    return (bool(words & NOISE) or not inside and bool(words & NOISE_OUTSIDE) or attrs.get("role", "").lower() in NOISE_ROLES
-            or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
-            or "display:none" in attrs.get("style", "").lower().replace(" ", ""))
+        return KEPT
+    role = attrs.get("role", "").lower()
+    if (role in NOISE_ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+            or "display:none" in attrs.get("style", "").lower().replace(" ", "")):
+        return SURE
+    words = noise_words(attrs)
+    if words & FOREIGN:
+        return GUESSED_FOREIGN
+    return GUESSED if "form" in (tag, role) or words & NOISE or not inside and words & NOISE_OUTSIDE else KEPT
 
 
 class Page:
     """The blocks of text of a page, each with the element that holds it, and the elements."""
 
     def __init__(self, html: str):
-        self.root = self.at = Element("", "", None, False, 0)
+        self.root = self.at = Element("", "", None, KEPT, 0)
         self.elements = [self.root]
+        self.every = [self.root]  # inline ones, too
+        self.articles: list[Element] = []
+        self.guessed = False
         self.blocks: list[tuple[Element, str, int]] = []  # holder, text, characters in links
-        self.text: list[str] = []
-        self.linked = 0
+        self.pieces: list[tuple[Element, list[tuple[Element, str]]]] = []  # blocks, guessed noise included
+        self.text: list[tuple[Element, str]] = []
         self.opened = Counter()
         pos = 0
         while m := TOKEN.search(html, pos):
@@ -113,19 +137,49 @@ class Page:
             self.open(tag, attrs)
         self.add(html[pos:])
         self.flush()
+        if self.guessed:
+            self.judge()
+        for holder, pieces in self.pieces:
+            kept = [piece for piece in pieces if not piece[0].dropped]
+            text = SPACES.sub(" ", entities.unescape("".join([t for _, t in kept]))).strip()
+            if text:
+                self.blocks.append((holder, text, sum(len(t) for node, t in kept if node.linked)))
 
     def add(self, text: str) -> None:
         if text and not self.at.dropped:
-            self.text.append(text)
-            self.linked += len(text) * self.at.linked
+            self.text.append((self.at, text))
 
     def flush(self) -> None:
         """Ends a block: its text belongs to the nearest element that is not inline."""
         if self.text:
-            text = SPACES.sub(" ", entities.unescape("".join(self.text))).strip()
-            if text:
-                self.blocks.append((self.at.holder, text, self.linked))
-        self.text, self.linked = [], 0
+            self.pieces.append((self.at.holder, self.text))
+            self.text = []
+
+    def judge(self) -> None:
+        """Drops guessed noise, but for elements around the article or most of the text."""
+        self.measure()
+        around: set[Element] = set()
+        for tag in ("article", "main"):  # the largest of each
+            node = max((e for e in self.articles if e.tag == tag and not e.dropped), key=lambda e: e.size, default=None)
+            while node is not None:
+                around.add(node)
+                node = node.parent
+        for least in (GUESSED_FOREIGN, GUESSED):
+            for node in self.every[1:]:  # parents come first
+                over = node.noise == least and node not in around and (least == GUESSED_FOREIGN or 2 * node.size <= self.root.size)
+                node.dropped = node.dropped or over or node.parent.dropped
+            self.measure()
+
+    def measure(self) -> None:
+        """Sets the characters that each element holds outside links and dropped elements."""
+        for node in self.every:
+            node.size = 0
+        for _, pieces in self.pieces:
+            for node, text in pieces:
+                if not node.linked and not node.dropped:
+                    node.size += len(text) if text.strip() else 0
+        for node in reversed(self.every[1:]):
+            node.parent.size += node.size
 
     def leave(self, node: Element) -> None:
         """Ends ``node`` and all in it."""
@@ -144,11 +198,15 @@ class Page:
         if tag in VOID:
             return
         attrs = attributes(raw)
-        dropped = self.at.dropped or is_noise(tag, attrs, self.at.in_article)
+        noise = noise_of(tag, attrs, self.at.in_article)
         label = NAME_WORD.search(attrs.get("class", "").lower())
-        node = Element(tag, f"{tag}.{label.group()}" if label else tag, self.at, dropped, len(self.blocks))
+        node = Element(tag, f"{tag}.{label.group()}" if label else tag, self.at, noise, len(self.pieces))
         self.at = node
         self.opened[tag] += 1
+        self.every.append(node)
+        self.guessed = self.guessed or noise in (GUESSED, GUESSED_FOREIGN)
+        if tag in ("article", "main") and noise == KEPT and not noise_words(attrs) & NOISE:
+            self.articles.append(node)
         if tag not in INLINE:
             self.elements.append(node)
 

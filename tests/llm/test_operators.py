@@ -510,6 +510,22 @@ def test_pages(page, text):
     assert html_extract.main_text(page, None) == text
 
 
+STORY = "<p>The story is told here at some length.</p><p>And it goes on.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<div class='content no-sidebar'>{}</div>", "<div class='page with-left-sidebar'>{}</div><div class='sidebar'>side text</div>",
+    "<div class='widget Blog'>{}</div><div class='widget'>short</div>", "<div id='main-widget'><article>{}</article></div>",
+    "<body><form id='aspnetForm'><div class='menu'>one two</div><div id='c'>{}</div><form class='search'>find</form></form>",
+    "<main><div class='widget Blog'><article>{}</article></div></main>", "<span class='widget'><div>{}</div></span>",
+    "<div class='comments-open'><article>{}</article><div class='comments'><article class='comment-body'>" + "reader " * 50 + "</article></div></div>",
+    "<div>{}</div><div class='comments'>" + "<p>a reader has much to say</p>" * 20 + "</div><form>Your name</form>",
+    "<article>{}<div class='related'><article>a teaser</article></div></article>",
+])
+def test_names_alone_lose_no_article(page):
+    assert html_extract.main_text(page.format(STORY), None) == "The story is told here at some length.\nAnd it goes on."
+
+
 def test_hosts_agree_on_a_path(spark):
     good = "<body><div class='story7'><p>The story is told here at some length.</p></div><div class='box1'><p>{}</p></div>"
     rows = [(n, "http://H.example/a", good.format("short")) for n in range(3)]
