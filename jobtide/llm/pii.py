@@ -6,8 +6,11 @@ span it stands for: look-alike letters, digits and signs become ASCII; runs of s
 digits; bracketed or spelled ``at`` / ``dot`` become ``@`` and ``.``. What is found there only, and
 does not overlap a plain find of its kind, is mapped back to source characters.
 
-Spelled ``at``/``dot`` without brackets count only in the whole form "name at host dot tld", and
-spelled digits only in runs of at least ``MIN_SPELLED``, so that prose stays as it is.
+Spelled ``dot``, then also ``at``, are rewritten on tapes of their own in any case and any mix with signs;
+an address found there counts only if it is sound as a whole: no article as host, a last label of
+letters after a written ``@``, and after a bare "at" a spelled dot or a known last label. Digit words
+mix with groups of digits after a plus (8 to 15 digits) and in card numbers (Luhn); without a plus a phone
+number takes at least ``MIN_SPELLED`` digit words, so that prose stays as it is.
 
 Rows: null and empty texts have no spans. Long texts are read whole, in linear time. Repeated rows
 and null ids are kept. Extra columns are not read.
@@ -58,9 +61,17 @@ DIGIT_WORD = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9
 SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\x20-]?)?{DIGIT_WORD}(?:[\x20,.\n-]{{1,2}}{DIGIT_WORD}){{{MIN_SPELLED - 1},}}(?![^\W_])", re.I)
 WORD_OF_RUN = re.compile(rf"plus|\+|{DIGIT_WORD}", re.I)
 BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|ät|punkt|arroba|punto|arobase|point)[\x20]?[\])}>][\x20]?", re.I)
-SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\x20(?:at|AT)\x20)([A-Za-z0-9-]{1,63})((?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9-])")
-SPOKEN_DOT = re.compile(r"\x20(?:dot|DOT)\x20")
+MIXED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\x20(-]{{0,2}})?(?:{DIGIT_WORD}|[0-9]++)(?:[\x20,.\n()-]{{1,3}}(?:[0-9]++|{DIGIT_WORD})(?![^\W_]))+", re.I)
+PART_OF_MIXED = re.compile(rf"plus|\+|[0-9]+|{DIGIT_WORD}", re.I)
+SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9-])\x20dot\x20(?=[A-Za-z0-9-])", re.I | re.A)
+SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20at\x20(?=[A-Za-z0-9-]++(?:\.|\x20dot\x20)[A-Za-z0-9-])", re.I | re.A)
 AT_WORDS = {"at", "ät", "arroba", "arobase"}
+# Last labels that make a host after a bare "at", and words before one that are no name.
+LAST_LABELS = set("com org net edu gov mil int info biz name io ai app dev co me tv eu uk us ca au nz ie de at ch fr be nl lu it es pt "
+                  "pl cz sk hu ro bg gr se no dk fi is ee lv lt ru ua by tr il in pk cn jp kr tw hk sg my th vn id ph br mx ar cl pe za ng "
+                  "ke eg ma example test".split())
+NO_NAME = set("look looked looking me us him her them it be is are was were available found hosted visit visited here there online site "
+              "website page located and or sold listed more details".split())
 NO_HOST = {"the", "a", "an", "this", "that", "my", "our", "your", "their", "its"}
 
 
@@ -146,11 +157,6 @@ def ascii_edits(text: str) -> list[tuple[int, int, str]]:
 
 def disguise_edits(text: str) -> list[tuple[int, int, str]]:
     edits = [(*m.span(), "@" if m.group(1).lower() in AT_WORDS else ".") for m in BRACKETED.finditer(text)]
-    for m in SPOKEN.finditer(text):
-        if m.group(2).lower() in NO_HOST:
-            continue
-        edits.append((*m.span(1), "@"))
-        edits += [(*d.span(), ".") for d in SPOKEN_DOT.finditer(text, *m.span(3))]
     kept, upto = [], 0
     for edit in sorted(edits):
         if edit[0] >= upto:
@@ -159,18 +165,83 @@ def disguise_edits(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
+def spoken_emails(text: str, tape: Tape) -> list[tuple[int, int]]:
+    """Source spans of sound addresses with spelled dots, and with spelled dots and ats."""
+    found = []
+    for pattern, sign in ((SPOKEN_DOT, "."), (SPOKEN_AT, "@")):
+        edits = [(*m.span(), sign) for m in pattern.finditer(tape.text)]
+        if sign == "." and edits and SPOKEN_AT.search(tape.text):  # read while the dots are words
+            edits += [(*m.span(), "@") for m in SPOKEN_AT.finditer(tape.text)]
+            only_dots = copy_of(tape)
+            only_dots.rewrite([edit for edit in edits if edit[2] == "."])
+            found += sound_emails(text, only_dots)
+            edits.sort()
+        if edits:
+            spoken = copy_of(tape)
+            spoken.rewrite(edits)
+            found += sound_emails(text, spoken)
+    return found
+
+
+def copy_of(tape: Tape) -> Tape:
+    out = Tape(tape.text)
+    out.start, out.end = tape.start, tape.end
+    return out
+
+
+def sound_emails(text: str, tape: Tape) -> list[tuple[int, int]]:
+    found = []
+    for first, last in emails(tape.text):
+        at = tape.text.index("@", first)
+        labels = tape.text[at + 1:last].lower().split(".")
+        if labels[0] in NO_HOST:
+            continue
+        if text[tape.start[at]:tape.end[at]].strip().lower() == "at":
+            spelled = any(tape.text[n] == "." and tape.end[n] - tape.start[n] > 1 for n in range(at, last))
+            sound = spelled or labels[-1] in LAST_LABELS and tape.text[first:at].lower() not in NO_NAME
+        else:
+            sound = len(labels[-1]) > 1 and labels[-1].isalpha() and labels[-1] not in NO_HOST
+        if sound:
+            found.append(tape.source(first, last))
+    return found
+
+
+def mixed_runs(text: str) -> list[tuple[int, int]]:
+    """Runs of digit words and groups of digits that are a phone number after a plus, or a card number."""
+    found = []
+    for m in MIXED_RUN.finditer(text):
+        parts = [(w.end(), w.group().lower()) for w in PART_OF_MIXED.finditer(text, *m.span())]
+        plus = parts[0][1] in ("plus", "+")
+        for upto in range(min(len(parts), 20), 1, -1):  # what follows a number may look like more of it
+            digits = "".join([SPELLED.get(w, w) for _, w in parts[plus:upto]])
+            words = sum(w in SPELLED for _, w in parts[plus:upto])
+            if not words or len(digits) < 8:
+                break
+            if plus and len(digits) <= 15 or not plus and 16 <= len(digits) <= 19 and luhn(digits):
+                found.append((m.start(), parts[upto - 1][0]))
+                break
+            if not plus and upto == len(parts) and words >= MIN_SPELLED and len(digits) <= 15 and not any(
+                    len(WORD_OF_RUN.findall(s.group())) >= 8 for s in SPELLED_RUN.finditer(text, *m.span())):
+                found.append((m.start(), m.end()))
+                break
+    return found
+
+
 def spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
     """Edits that turn digit words into digits, and the runs (in output positions) they make."""
     edits, runs, shift = [], [], 0
-    for m in SPELLED_RUN.finditer(text):
-        words = [(w.span(), w.group().lower()) for w in WORD_OF_RUN.finditer(text, *m.span())]
-        if sum(len(w) > 1 for _, w in words) < MIN_SPELLED:
+    mixed = mixed_runs(text)
+    places = [(*place, True) for place in mixed]
+    places += [(*m.span(), False) for m in SPELLED_RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b in near(mixed, *m.span()))]
+    for start, end, sound in sorted(places):
+        words = [(w.span(), w.group().lower()) for w in WORD_OF_RUN.finditer(text, start, end)]
+        if not sound and sum(len(w) > 1 for _, w in words) < MIN_SPELLED:
             continue
         new = "".join(["+" if w in ("plus", "+") else SPELLED.get(w, w) for _, w in words])
-        first = m.start() + shift
+        first = start + shift
         for n, ((a, b), _) in enumerate(words):  # each word with the gap before it
             edits.append((words[n - 1][0][1] if n else a, b, new[n]))
-        shift += len(new) - (m.end() - m.start())
+        shift += len(new) - (end - start)
         runs.append((first, first + len(new)))
     return edits, runs
 
@@ -185,6 +256,7 @@ def spans(text: str | None) -> list[dict]:
     if not text.isascii():
         tape.rewrite(ascii_edits(tape.text))
     tape.rewrite(disguise_edits(tape.text))
+    more["email"] += spoken_emails(text, tape)
     edits, runs = spelled_edits(tape.text)
     tape.rewrite(edits)
     if tape.text != text:
@@ -200,7 +272,7 @@ def spans(text: str | None) -> list[dict]:
     for kind in KINDS:
         own = [(a, b, True) for a, b in found[kind]]
         held = sorted(found[kind])
-        for a, b in sorted(set(more[kind])):
+        for a, b in sorted(set(more[kind]), key=lambda place: (place[0], -place[1] if kind == "email" else place[1])):
             if not any(a < d and c < b for c, d in near(held, a, b)):
                 own.append((a, b, False))
                 insort(held, (a, b))

@@ -390,6 +390,22 @@ def test_disguised_pii(text, kind, found):
     assert [(r["kind"], text[r["start"]:r["end"]]) for r in pii.spans(text)] == [(kind, found)]
 
 
+@pytest.mark.parametrize("kind,found", [
+    ("phone", "+1 five five five one two three 4567"), ("phone", "plus four nine one seven six 5551234"), ("phone", "+1 555 one two three 4567"),
+    ("card", "4111 one one one one 1111 1111"), ("phone", "four one five five five five oh 123"),
+    ("email", "jane at example.com"), ("email", "jane@example dot com"), ("email", "jane[at]example dot com"),
+    ("email", "Jane At Example Dot Com"), ("email", "jane at h dot b dot c dot d dot example dot com"),
+])
+def test_mixed_disguises(kind, found):
+    text = f"so {found}; that is all"
+    assert [(r["kind"], text[r["start"]:r["end"]]) for r in pii.spans(text)] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["we met at noon.Then two of 12 left", "look at example.com", "+1 one 22", "in 2023 one of 15 and two of 160000"])
+def test_mixed_prose_has_no_pii(text):
+    assert pii.spans(text) == []
+
+
 @pytest.mark.parametrize("text", ["look at the dot com boom", "one two three", "meet at five", "chapter one at dot", None, ""])
 def test_prose_has_no_pii(text):
     assert pii.spans(text) == []
