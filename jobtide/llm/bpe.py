@@ -16,19 +16,21 @@ import json
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable
+from hashlib import sha256
 from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from jobtide.llm.common import per_chunk, sha256_of
-from jobtide.session import ship_package
+from jobtide.llm.common import per_chunk, per_value, struct_of, worker_state
 
-CACHED = 250_000  # words, and pairs of tokens, that a worker remembers (some 100 MB in all)
+CACHED = 100_000  # words, and the same again of older ones, that a worker remembers (some 40 MB)
+PAIRS = 100_000  # pairs of tokens that it remembers (some 15 MB)
+NEVER = 1 << 30
+ID = np.dtype("<i4")
 
 
 def load_vocabulary(path: str) -> dict:
@@ -58,6 +60,7 @@ class PrefixEncoder:
         self.rank = {pair: n for n, pair in enumerate(vocabulary["merges"])}
         self.inner, self.final = self.lengths(False), self.lengths(True)
         self.follows: dict[int, bool] = {}  # of two tokens: whether they stay two
+        self.edges: tuple[dict, dict] = ({}, {})  # left and right edges of tokens, at most one of each a token
 
     def lengths(self, final: bool) -> dict[str, list[int]]:
         """Which lengths tokens have that end with given three symbols, longest first, then 2 and 1."""
@@ -74,26 +77,55 @@ class PrefixEncoder:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Plain merging by rank, leftmost first; only for a token or two."""
-        rank = self.rank
+    def halves(self, token: str) -> tuple[str, str] | tuple[()] | None:
+        """The two that the last merge of a token joins; () for a symbol, None if its symbols merge to something else."""
+        parts, last = self.symbols(token), ()
         while len(parts) > 1:
-            order = [rank.get(pair, 1 << 30) for pair in zip(parts, parts[1:])]
+            order = [self.rank.get(pair, NEVER) for pair in zip(parts, parts[1:])]
             least = min(order)
-            if least == 1 << 30:
-                break
+            if least == NEVER:
+                return None
             best = order.index(least)
+            last = (parts[best], parts[best + 1])
             parts[best: best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        return last
+
+    def edge(self, token: str, side: int) -> list[tuple[str, int]] | None:
+        """What stands at a token's left (0) or right (1) edge while it is merged, each with the rank of its end."""
+        found = self.edges[side].get(token)
+        if found is None and token not in self.edges[side]:
+            pair = self.halves(token)
+            if pair == ():
+                found = [(token, NEVER)]
+            elif pair is not None and (inner := self.edge(pair[side], side)) is not None:
+                found = [*inner[:-1], (pair[side], self.rank[pair]), (token, NEVER)]
+            self.edges[side][token] = found
+        return found
+
+    def stay_two(self, before: int, token: int) -> bool:
+        """Whether no merge joins the pieces at the border of two tokens while both are merged; of equal ranks the left one is first."""
+        right = self.edge(self.tokens[token], 0)
+        if right is None or before < 0:
+            return right is not None
+        left = self.edge(self.tokens[before], 1)
+        i = j = 0
+        while left is not None:
+            (a, end_a), (b, end_b) = left[i], right[j]
+            joined = self.rank.get((a, b), NEVER)
+            if joined < end_a and joined <= end_b:
+                return False
+            if end_a == end_b == NEVER:
+                return True
+            i, j = (i + 1, j) if end_a <= end_b else (i, j + 1)
+        return False
 
     def may_follow(self, before: int, token: int) -> bool:
         """Whether two tokens side by side stay two tokens (``before`` is -1 at a word's start)."""
         key = (before + 1 << 32) + token
         known = self.follows.get(key)
         if known is None:
-            wanted = [self.tokens[n] for n in (before, token) if n >= 0]
-            known = self.merged([s for t in wanted for s in self.symbols(t)]) == wanted
-            if len(self.follows) >= CACHED:
+            known = self.stay_two(before, token)
+            if len(self.follows) >= PAIRS:
                 self.follows.clear()
             self.follows[key] = known
         return known
@@ -139,7 +171,8 @@ class TextEncoder:
         self.special = vocabulary["special"]
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.table = byte_symbols()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Words of one stretch without special tokens, normalised as the tokenizer file says."""
@@ -157,83 +190,86 @@ class TextEncoder:
             upto = m.end()
         return [*parts, self.pieces(text[upto:])]
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of new words, which are remembered."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered; they are remembered from now on."""
+        fresh = {w: ids for w in words if (ids := self.older.get(w)) is not None}
         table = self.table
-        as_symbols = {"".join([table[b] for b in w.encode("utf-8")]): w for w in words}
-        fresh = {as_symbols[symbols]: ids for symbols, ids in self.words.encode_all(as_symbols).items()}
+        as_symbols = {"".join([table[b] for b in w.encode("utf-8")]): w for w in words if w not in fresh}
+        for symbols, ids in self.words.encode_all(as_symbols).items():
+            fresh[as_symbols[symbols]] = np.array(ids, ID).tobytes()
         if len(self.known) + len(fresh) > CACHED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         self.known.update(fresh)
         return fresh
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the words that are new in the texts are worked out together."""
-        get = self.known.get
+        known = self.known
         plans = [self.plan(text) for text in texts]
-        drafts = [[[get(w) for w in part] if isinstance(part, list) else [(part,)] for part in parts] for parts in plans]
-        missing = {w for parts, draft in zip(plans, drafts) for part, ids in zip(parts, draft) if None in ids
-                   for w, found in zip(part, ids) if found is None}
+        missing = set().union(*[set(part) for parts in plans for part in parts if isinstance(part, list)]) - known.keys()
         fresh = self.learn(missing)
-        results = []
-        for parts, draft in zip(plans, drafts):
-            out: list[int] = []
-            for part, ids in zip(parts, draft):
-                if None in ids:
-                    ids = [fresh[w] if found is None else found for w, found in zip(part, ids)]
-                out += chain.from_iterable(ids)
-            results.append(out)
-        return results
+        ids_of = (known if known is self.known else known | fresh).__getitem__
+        return [np.frombuffer(b"".join([
+            b"".join(map(ids_of, part)) if isinstance(part, list) else np.array([part], ID).tobytes()
+            for part in parts]), ID) for parts in plans]
 
 
-_encoders: dict[str, TextEncoder] = {}
+class Decoder:
+    """Ids into text: tokens joined by one space; ids that are no tokens are left out."""
 
+    def __init__(self, vocabulary: dict):
+        named = {n: t for part in ("ids", "special") for t, n in vocabulary[part].items()}
+        self.tokens = np.array([named.get(n) for n in range(max(named, default=-1) + 1)], object)
 
-def worker_encoder(key: str, shared) -> TextEncoder:
-    """The encoder of a worker process, which goes on to its later tasks with what it remembers."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = TextEncoder(shared.value)
-    return _encoders[key]
+    def decode(self, ids: np.ndarray) -> str:
+        own = ids[(ids >= 0) & (ids < len(self.tokens))]
+        return " ".join([t for t in self.tokens[own].tolist() if t is not None])
 
 
 def encode(docs: DataFrame, vocabulary: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) for every row of ``docs``."""
-    spark = docs.sparkSession
-    shared, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def make():
-        encoder = worker_encoder(key, shared)
+        encoder = worker_state(key, lambda: TextEncoder(shared.value))
         return lambda texts: encoder.encode([text or "" for text in texts])
 
-    ids = per_chunk(spark, make, "array<int>", pa.list_(pa.int32()))
+    ids = per_chunk(docs.sparkSession, make, "array<int>", pa.list_(pa.int32()), key)
     return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
 
-def decode(spark: SparkSession, vocabulary: dict):
-    """A column function from token ids to text: tokens joined by one space; ids that are no tokens are left out."""
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(vocabulary)
+def decode(spark: SparkSession, vocabulary: dict) -> Callable[..., Column]:
+    """A column function from token ids to text."""
+    shared, key = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+
+    def make():
+        decoder = worker_state(key, lambda: Decoder(shared.value))
+        return lambda ids: None if ids is None else decoder.decode(np.array([-1 if n is None else n for n in ids], np.int64))
+
+    return per_value(spark, make, "string", pa.string(), key)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        named = {n: t for part in ("ids", "special") for t, n in shared.value[part].items()}
-        tokens = np.array([named.get(n) for n in range(max(named) + 1)], object)
-        for lists in batches:
-            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = []
-            for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                own = ids[first:last]
-                own = own[(own >= 0) & (own < len(tokens))]
-                texts.append(" ".join([t for t in tokens[own].tolist() if t is not None]))
-            yield pa.array(texts, pa.string())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string").asNondeterministic()
+def digests(encoder: TextEncoder, decoder: Decoder, texts: list[str]) -> list[dict]:
+    """Number and digest of each text's ids, and the digest of what these ids decode to."""
+    found = []
+    for ids in encoder.encode(texts):
+        decimal = " ".join(map(str, ids.tolist()))
+        found.append({"n_tokens": len(ids), "ids_sha256": sha256(decimal.encode()).hexdigest(),
+                      "decoded_sha256": sha256(decoder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()})
+    return found
 
 
 def token_digests(docs: DataFrame, vocabulary: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): counts and digests of the ids and of what they decode to."""
-    ids = encode(docs, vocabulary, id_col, text_col).select(id_col, "ids", decode(docs.sparkSession, vocabulary)("ids").alias("decoded"))
-    return ids.select(id_col, F.size("ids").cast("bigint").alias("n_tokens"),
-                      sha256_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
-                      sha256_of(F.col("decoded")).alias("decoded_sha256"))
+    """(id, n_tokens, ids_sha256, decoded_sha256): counts and digests of the ids and of what they decode to.
+
+    A text is encoded and its ids decoded in one call, so neither ids nor decoded texts leave the worker.
+    """
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
+
+    def make():
+        encoder, decoder = worker_state(key, lambda: (TextEncoder(shared.value), Decoder(shared.value)))
+        return lambda texts: digests(encoder, decoder, [text or "" for text in texts])
+
+    kind = struct_of(n_tokens=pa.int64(), ids_sha256=pa.string(), decoded_sha256=pa.string())
+    found = per_chunk(docs.sparkSession, make, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>", kind, key)
+    return docs.select(F.col(id_col), found(F.col(text_col)).alias("digests")).select(F.col(id_col), "digests.*")

@@ -41,15 +41,33 @@ def chunks(values: pa.Array) -> Iterator[list]:
         yield part
 
 
-def per_chunk(spark: SparkSession, make: Callable[[], Callable], returns: str, kind: pa.DataType) -> Callable[..., Column]:
+_held: dict[str, object] = {}  # of a worker process: the state of the function that ran in it last
+
+
+def worker_state(key: str, build: Callable[[], object]):
+    """What ``build`` gives, kept by a worker process until a task of another function starts in it."""
+    if key not in _held:
+        _held[key] = build()
+    return _held[key]
+
+
+def release_others(key: str) -> None:
+    """Lets go of what earlier functions kept in this worker process."""
+    for other in [k for k in _held if k != key]:
+        del _held[other]
+
+
+def per_chunk(spark: SparkSession, make: Callable[[], Callable], returns: str, kind: pa.DataType, key: str = "") -> Callable[..., Column]:
     """An Arrow column function: ``make()`` gives a function from a list of values to their results.
 
-    ``make`` is called once per task, so it can build lookup tables from broadcast variables. The
-    column counts as non-deterministic, so that a filter on it does not run it a second time.
+    ``make`` is called once per task, so it can build lookup tables from broadcast variables; what it
+    keeps by :func:`worker_state` under ``key`` serves later tasks of the function too. The column counts
+    as non-deterministic, so that a filter on it does not run it a second time.
     """
     ship_package(spark)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release_others(key)
         f = make()
         for values in batches:
             done = [pa.array(f(part), kind) for part in chunks(values)]
@@ -59,13 +77,13 @@ def per_chunk(spark: SparkSession, make: Callable[[], Callable], returns: str, k
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
-def per_value(spark: SparkSession, make: Callable[[], Callable], returns: str, kind: pa.DataType) -> Callable[..., Column]:
+def per_value(spark: SparkSession, make: Callable[[], Callable], returns: str, kind: pa.DataType, key: str = "") -> Callable[..., Column]:
     """As :func:`per_chunk`, for a function of one value."""
     def each():
         f = make()
         return lambda part: [f(value) for value in part]
 
-    return per_chunk(spark, each, returns, kind)
+    return per_chunk(spark, each, returns, kind, key)
 
 
 def struct_of(**types: pa.DataType) -> pa.StructType:
