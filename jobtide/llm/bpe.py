@@ -190,13 +190,18 @@ class TextEncoder:
             upto = m.end()
         return [*parts, self.pieces(text[upto:])]
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, by their trie."""
+        table = self.table
+        symbols = ["".join([table[b] for b in w.encode("utf-8")]) for w in words]
+        found = self.words.encode_all(symbols)
+        return [np.array(found[s], ID).tobytes() for s in symbols]
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not remembered; they are remembered from now on."""
         fresh = {w: ids for w in words if (ids := self.older.get(w)) is not None}
-        table = self.table
-        as_symbols = {"".join([table[b] for b in w.encode("utf-8")]): w for w in words if w not in fresh}
-        for symbols, ids in self.words.encode_all(as_symbols).items():
-            fresh[as_symbols[symbols]] = np.array(ids, ID).tobytes()
+        new = [w for w in words if w not in fresh]
+        fresh.update(zip(new, self.ids_of(new)))
         if len(self.known) + len(fresh) > CACHED:
             self.known, self.older = {}, self.known
         self.known.update(fresh)
