@@ -86,6 +86,18 @@ def per_value(spark: SparkSession, make: Callable[[], Callable], returns: str, k
     return per_chunk(spark, each, returns, kind, key)
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def struct_of(**types: pa.DataType) -> pa.StructType:
     return pa.struct([pa.field(name, kind) for name, kind in types.items()])
 

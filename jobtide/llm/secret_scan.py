@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from jobtide.llm.common import fresh_names
 from jobtide.session import cut
 
 
@@ -211,16 +212,18 @@ def all_spans(text: Column, kinds: Column, rules: tuple[Rule, ...]) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", into: str = "secrets") -> DataFrame:
     """``docs`` with one more column ``into``: array<struct<start, place, kind, end>> in order."""
     found = cut(candidates(trigram_index(docs, rules, text_col), rules), "secret-candidates")
-    key, kinds = f"{into}_text_id", f"{into}_kinds"
+    own, key, kinds, out = fresh_names(docs, "own_text_id", "its_text_id", "its_kinds", "its_secrets")
     found = found.toDF(key, kinds)
     text = F.col(text_col)
-    joined = docs.withColumn(f"{into}_key", fingerprint(text)).join(found, F.col(f"{into}_key") == F.col(key), "left")
-    return joined.withColumn(into, all_spans(text, F.col(kinds), rules)).drop(f"{into}_key", key, kinds)
+    joined = docs.withColumn(own, fingerprint(text)).join(found, F.col(own) == F.col(key), "left")
+    scanned = joined.withColumn(out, all_spans(text, F.col(kinds), rules)).drop(own, key, kinds)
+    return scanned.drop(into).withColumnRenamed(out, into)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with every secret in the texts replaced by ``[kind]``; overlapping spans make one."""
-    scanned = scan(docs, rules, text_col, "found_secrets")
+    spans, = fresh_names(docs, "found_secrets")
+    scanned = scan(docs, rules, text_col, spans)
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
@@ -230,10 +233,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
                         F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
-    clean = F.aggregate(F.col("found_secrets"), start, add, lambda acc: F.array_join(
+    clean = F.aggregate(F.col(spans), start, add, lambda acc: F.array_join(
         F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, F.length(text) - acc["at"]))), ""))
-    return (scanned.withColumn(text_col, F.when(F.size("found_secrets") > 0, clean).otherwise(text))
-            .drop("found_secrets").select(*docs.columns))
+    return scanned.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)
 
 
 def joined(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
