@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from jobtide.llm import bpe, decontaminate as leaks, near_dedup, quality_rules as rules, secret_scan
-from jobtide.llm.common import table
+from jobtide.llm.common import fresh_names, table
 from jobtide.session import cut
 
 VOCABULARY = "word_bpe_49k.json"
@@ -25,7 +25,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = rules.fit(docs, table(spark, sf_dir, "labels"))
-    return rules.judge(docs, model, into="_rules").where("_rules.kept").select(*docs.columns)
+    verdict, = fresh_names(docs, "verdict")
+    return rules.judge(docs, model, into=verdict).where(F.col(verdict)["kept"]).drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"), into="_leak")
-    return found.where(F.size("_leak.runs") == 0).select(*docs.columns)
+    leak, = fresh_names(docs, "leak")
+    found = leaks.decontaminate(docs, table(spark, sf_dir, "benchmark"), into=leak)
+    return found.where(F.size(F.col(leak)["runs"]) == 0).drop(leak)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
