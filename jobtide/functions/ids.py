@@ -65,6 +65,11 @@ def created_at(id_col: Column) -> Column:
     return F.timestamp_millis(decode64(id_col))
 
 
+def created_day(id_col: Column) -> Column:
+    """The UTC day of a job's creation; NULL for an id that tells no time."""
+    return F.date_from_unix_date(F.floor(decode64(id_col) / 86_400_000).cast("int"))
+
+
 def make_id(ms: Column, sysid: Column, seq: Column) -> Column:
     return F.concat(encode64(ms, TIME_WIDTH), F.lit("-"), sysid, F.lit("-"),
                     encode64(seq, SEQ_WIDTH))

@@ -65,14 +65,13 @@ def interval_ms(text: Column) -> Column:
 
     NULL when it is no interval, or one of more milliseconds than a BIGINT holds.
     """
-    pattern = r"^\s*(\d+\.\d+|\d+\.?|\.\d+)\s*([wdhms]?)\s*$"
-    number = F.regexp_extract(text, pattern, 1)
-    units = F.create_map(*[F.lit(x) for unit in UNIT_MS.items() for x in unit])
-    scale = F.element_at(units, F.regexp_extract(text, pattern, 2))
-    plain = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"  # a number in itself, so of either sign
-    value = (F.when(F.trim(text, F.lit(SPACES)) == "", F.lit(0.0))
-             .when(text.rlike(plain), F.trim(text, F.lit(SPACES)).try_cast("double"))
-             .when(text.rlike(pattern), number.try_cast("double") * scale))
+    whole = F.trim(text, F.lit(SPACES))
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for unit in UNIT_MS.items() for x in unit]), F.right(whole, F.lit(1)))
+    amount = F.trim(F.substr(whole, F.lit(1), F.length(whole) - 1), F.lit(SPACES))  # what stands before a unit
+    plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"  # a number in itself, so of either sign
+    value = (F.when(whole == "", F.lit(0.0))
+             .when(whole.rlike(plain), whole.try_cast("double"))
+             .when(scale.isNotNull() & amount.rlike(r"^\d*\.?\d*$") & amount.rlike(r"\d"), amount.try_cast("double") * scale))
     return F.round(value).try_cast("long")
 
 

@@ -94,6 +94,42 @@ def stats_events(events: DataFrame) -> DataFrame:
     return events.groupBy("name", "type").agg(F.sum(F.size("ids")).alias("n"))
 
 
+def _events(rows: DataFrame, name: Column, value: Column) -> DataFrame:
+    return rows.select(name.alias("name"), "type", F.array("id").alias("ids"), value.cast("bigint").alias("value"))
+
+
+# The names of the lifecycle events.
+RUN_EVENTS = {"archive": "archiveJobs", "retry": "retryJobs", "abandon": "abandonJobs"}
+UPKEEP_EVENTS = {"renew": "renewLocks", "expire": "expireLocks", "purge_done": "expireJobs", "purge_unrun": "expireJobs"}
+
+
+def _named(names: dict[str, str], key: str) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col(key)]
+
+
+def run_events(decided: DataFrame) -> DataFrame:
+    """Events of runs (id, type, action, run_ms): one of the start, worth 1, and one of the end, worth the run's time."""
+    both = decided.select("id", "type", F.explode(F.array(
+        F.struct(F.lit("runNewJobs").alias("name"), F.lit(1).cast("bigint").alias("value")),
+        F.struct(_named(RUN_EVENTS, "action").alias("name"), F.col("run_ms").cast("bigint").alias("value")))).alias("e"))
+    return _events(both, F.col("e.name"), F.col("e.value"))
+
+
+def upkeep_events(kept: DataFrame) -> DataFrame:
+    """Events of a table that :func:`upkeep` flagged: one per renewed, expired or removed job, in that one pass."""
+    return _events(kept.where(F.col("action").isNotNull()), _named(UPKEEP_EVENTS, "action"), F.lit(1))
+
+
+def ingest_events(jobs: DataFrame) -> DataFrame:
+    """One event per ingested job."""
+    return _events(jobs, F.lit("ingestJournal"), F.lit(1))
+
+
+def stats_totals(emitted: DataFrame) -> DataFrame:
+    """Emitted ingest statistics (kind, type, n of each micro-batch), added up."""
+    return emitted.groupBy("kind", "type").agg(F.sum("n").alias("n"))
+
+
 def stopped_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobtide.functions import ids, text
-from jobtide.operators.ordered import number_rows, running_sums
+from jobtide.operators.ordered import number_rows
 from jobtide.schema import LOCK_NONE
+from jobtide.session import ship_package
 
 
 def journal_parse(lines: DataFrame, line: str = "line", skip_deleted: bool = False) -> DataFrame:
@@ -70,15 +76,37 @@ def id_assign(rows: DataFrame, order: list[str], sysid: str, base_ms: int,
 
 
 def jobs_to_lines(bodies: DataFrame, key: str, sysid: str, base_ms: int) -> DataFrame:
-    """Posted bodies (``key``, jobtype, body) to journal lines with ids in (key, line) order.
+    """Posted bodies (``key``, jobtype, body) to journal lines with ids that rise in the order of the table's rows.
 
-    Only (key, number of lines) is put in order; each body then knows its first id and its lines
-    are numbered in place, so the texts are never sorted.
+    Two passes and no shuffle: the first counts the lines of each partition of the scan, one row a partition;
+    in the second each partition goes on from the sum of those before it and numbers its lines in place, so no text
+    leaves its task. The table must give the same partitions twice, as files do; a partition that holds
+    another number of rows or lines than was counted fails the job.
     """
-    sizes = bodies.select(key, count_lines(F.col("body")).cast("long").alias("_n"))
-    starts = running_sums(sizes, [], [key], {"_end": F.col("_n")}).select(
-        key, (F.col("_end") - F.col("_n")).alias("_start"))
-    lines = body_to_lines(bodies.join(starts, key))
+    spark = bodies.sparkSession
+    ship_package(spark)
+    size = F.greatest(F.coalesce(count_lines(F.col("body")), F.lit(0)), F.lit(0)).cast("bigint")
+    counted = bodies.select(F.spark_partition_id().alias("part"), size.alias("n")).groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("lines")).orderBy("part").collect()
+    plan, upto = {}, 0
+    for part in counted:
+        plan[part["part"]] = (upto, part["rows"], part["lines"])
+        upto += part["lines"]
+    shared = spark.sparkContext.broadcast(plan)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, rows, lines = shared.value.get(TaskContext.get().partitionId(), (0, 0, 0))
+        at = first
+        for batch in batches:
+            sizes = batch.column("_start").to_numpy()
+            starts = at + np.cumsum(sizes) - sizes
+            at, rows = at + int(sizes.sum()), rows - len(sizes)
+            yield batch.set_column(batch.schema.get_field_index("_start"), "_start", pa.array(starts, pa.int64()))
+        if rows or at != first + lines:
+            raise RuntimeError("the table's partitions are not those that were counted")
+
+    sized = bodies.select(key, "jobtype", "body", size.alias("_start"))
+    lines = body_to_lines(sized.mapInArrow(number, sized.schema))
     job_id = ids.numbered_id(F.col("_start") + F.col("ordinal"), F.lit(sysid), base_ms)
     return lines.select(
         key, "pos", F.concat_ws("|", job_id, F.coalesce("jobtype", F.lit("")), "line").alias("line"))

@@ -58,6 +58,26 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], out: str = "n
             .drop("_slot", "_slice", "_first", "_before"))
 
 
+def nth_in_order(rows: DataFrame, order: str, n: int) -> tuple[object, int, int] | None:
+    """(value, rows before it, rows with it) of the ``n``-th row by one column, NULLs first; None if there are fewer.
+
+    The rows are sorted in slices and counted per slice; the slice that the ``n``-th row is in gives its value.
+    What comes to the driver is one count per slice and one row.
+    """
+    sliced = cut(_sliced(rows.select(order), [], [order]), "nth")
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), F.min("_slot").alias("first")).orderBy("_slice").collect()
+    left = n
+    for size in sizes:
+        if left <= size["n"]:
+            value = sliced.where(F.col("_slot") == size["first"] + left - 1).first()[order]
+            at, wanted = F.col(order), F.lit(value).cast(rows.schema[order].dataType)
+            before = F.lit(False) if value is None else at.isNull() | (at < wanted)
+            counted = sliced.agg(F.count_if(before), F.count_if(at.eqNullSafe(wanted))).first()
+            return value, counted[0], counted[1]
+        left -= size["n"]
+    return None
+
+
 def running_sums(df: DataFrame, group: list[str], order: list[str],
                  sums: dict[str, Column]) -> DataFrame:
     """Adds one column per entry of ``sums``: its running total, current row included."""

@@ -78,7 +78,7 @@ def split_output(outputs: DataFrame) -> DataFrame:
             .select("batch", "k.kind", F.posexplode("k.lines").alias("pos", "line")))
 
 
-def align_outcomes(batch_jobs: DataFrame, outputs: DataFrame) -> DataFrame:
+def align_outcomes(batch_jobs: DataFrame, outputs: DataFrame, *extra: str) -> DataFrame:
     """Job ``pos`` of a batch gets the code that response ``pos`` starts with.
 
     A job without a response fails with NO_RESPONSE. A response without a code fails its job and
@@ -97,28 +97,27 @@ def align_outcomes(batch_jobs: DataFrame, outputs: DataFrame) -> DataFrame:
     return joined.select(
         "batch", "pos", "id", "type",
         F.coalesce("response", F.lit(EXIT_ERROR)).cast("int").alias("exitcode"),
-        code.alias("code"))
+        code.alias("code"), *extra)
 
 
 def call_outcomes(batch_jobs: DataFrame, calls: DataFrame, outputs: DataFrame) -> DataFrame:
     """Exit code, code and duration of every job of every call.
 
     A failed call fails all its jobs with its own code, a call for a single job gives that its
-    status, and a batch call the lines of its output (see :func:`align_outcomes`).
+    status, and a batch call the lines of its output (see :func:`align_outcomes`). A duration belongs to the call, so
+    it comes to the jobs with what else the call has, however often an id is in it.
     """
-    kinds = calls.select("batch", "is_batch", "failed", "error_code", "status")
-    rows = lookup_join(batch_jobs.select("batch", "pos", "id", "type"), kinds, "batch", "id")
+    kinds = _call_durations(calls, outputs, "is_batch", "failed", "error_code", "status")
+    rows = lookup_join(batch_jobs.select("batch", "pos", "id", "type"), kinds, "batch", "id", "inner")
     read = F.coalesce(F.col("is_batch"), F.lit(True)) & ~F.coalesce(F.col("failed"), F.lit(False))
-    by_line = align_outcomes(rows.where(read), outputs)
+    by_line = align_outcomes(rows.where(read), outputs, "duration")
     failed = F.coalesce(F.col("failed"), F.lit(False))
     whole = rows.where(~read).select(
         "batch", "pos", "id", "type",
         F.when(failed, F.lit(EXIT_ERROR)).otherwise(F.coalesce("status", F.lit(EXIT_ERROR))).cast("int").alias("exitcode"),
         F.when(failed, F.coalesce("error_code", F.lit(CODE_BATCH_ERROR)))
-        .when(F.col("status").isNull(), CODE_NO_RESPONSE).alias("code"))
-    took = run_durations(batch_jobs, calls, outputs).select("batch", "id", "duration")
-    return by_line.unionByName(whole).join(took, ["batch", "id"]).select(
-        "batch", "pos", "id", "type", "exitcode", "code", "duration")
+        .when(F.col("status").isNull(), CODE_NO_RESPONSE).alias("code"), "duration")
+    return by_line.unionByName(whole)
 
 
 def request_errors(batch_jobs: DataFrame, failed_calls: DataFrame) -> DataFrame:
@@ -134,13 +133,16 @@ def run_durations(batch_jobs: DataFrame, calls: DataFrame, outputs: DataFrame) -
 
     A batch call without any response has no duration (NULL).
     """
+    return lookup_join(batch_jobs.select("batch", "id"), _call_durations(calls, outputs), "batch", "id")
+
+
+def _call_durations(calls: DataFrame, outputs: DataFrame, *extra: str) -> DataFrame:
+    """One row a call: (batch, duration) and the extra columns."""
     answered = outputs.select("batch", F.size(responses(F.col("output"))).alias("answers"))
     elapsed = F.unix_millis("stopped") - F.unix_millis("started")
     answers = F.when(F.col("answers") > 0, F.col("answers"))
-    per_call = calls.join(answered, "batch", "left").select(
-        "batch", F.when(F.col("is_batch"), elapsed / answers)
-        .otherwise(elapsed.cast("double")).alias("duration"))
-    return lookup_join(batch_jobs.select("batch", "id"), per_call, "batch", "id")
+    return calls.join(answered, "batch", "left").select(
+        "batch", *extra, F.when(F.col("is_batch"), elapsed / answers).otherwise(elapsed.cast("double")).alias("duration"))
 
 
 def chain_jobs(outputs: DataFrame, sysid: str, base_ms: int) -> DataFrame:

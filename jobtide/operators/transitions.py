@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from jobtide.functions import states
+from jobtide.functions import ids, states
 from jobtide.operators.lookup import lookup_join
+from jobtide.operators.ordered import nth_in_order, number_rows
 from jobtide.operators.outcomes import disposition
 from jobtide.session import cut
 from jobtide.schema import (DONE_KEEP_MS, LOCK_DONE, LOCK_EXPIRE_MS, LOCK_NONE,
@@ -57,17 +58,26 @@ def conditional_update(jobs: DataFrame, where: Column, props: dict[str, Column]
 
 
 def _limited(jobs: DataFrame, hit: Column, order: str, limit: int, update, flag: str) -> DataFrame:
-    """``update(rows, taken)`` for the first ``limit`` hits; all other rows pass by, unflagged."""
-    first = (jobs.where(hit).select(F.col(order).alias("_at")).orderBy("_at").limit(limit)
-             .groupBy("_at").agg(F.count(F.lit(1)).alias("_take")))
-    hits = jobs.where(hit)
-    asked = hits.join(first, F.col(order).eqNullSafe(F.col("_at")), "left_semi")
-    others = hits.join(first, F.col(order).eqNullSafe(F.col("_at")), "left_anti")
-    place = F.row_number().over(W.partitionBy(order).orderBy(*jobs.columns))
-    asked = asked.withColumn("_place", place).join(first, F.col(order).eqNullSafe(F.col("_at")))
-    taken = update(asked, F.col("_place") <= F.col("_take")).drop("_place", "_take", "_at")
-    passed = others.unionByName(jobs.where(~hit)).withColumn(flag, F.lit(False))
-    return taken.unionByName(passed)
+    """``update(rows, taken)`` for the first ``limit`` hits, NULLs first; all other rows pass by, unflagged.
+
+    The ``limit``-th value of the order column is found over slices, so no task sorts ``limit`` rows, and
+    the table is then changed in one projection. Only if several rows share that value and not all are taken are
+    those rows numbered.
+    """
+    if limit < 1:
+        return update(jobs, F.lit(False))
+    found = nth_in_order(jobs.where(hit).select(order), order, limit)
+    if found is None:  # fewer hits
+        return update(jobs, hit)
+    value, before, same = found
+    at = F.col(order)
+    equal = at.eqNullSafe(F.lit(value).cast(jobs.schema[order].dataType))
+    earlier = F.lit(False) if value is None else at.isNull() | F.coalesce(at < F.lit(value), F.lit(False))
+    if before + same == limit:
+        return update(jobs, hit & (earlier | equal))
+    ties = number_rows(jobs.where(hit & equal), [], jobs.columns, "_place")
+    taken = update(ties, F.col("_place") <= limit - before).drop("_place")
+    return taken.unionByName(update(jobs.where(~(hit & equal)), hit & earlier)).select(*jobs.columns, flag)
 
 
 def add_jobs(rows: DataFrame, now) -> DataFrame:
@@ -83,14 +93,37 @@ def first_per_id(rows: DataFrame, order: list[str]) -> DataFrame:
             .select("id", *[F.col(f"_row.{c}").alias(c) for c in values]))
 
 
-def add_jobs_unique(jobs: DataFrame, rows: DataFrame, now, order: list[str]) -> DataFrame:
-    """The table with the new rows added whose id it does not hold yet.
+MOST_DAYS = 10_000  # that a scan is told by name
+
+
+def unknown_rows(jobs: DataFrame, fresh: DataFrame, day: str | None = None) -> DataFrame:
+    """The rows of ``fresh``, a written table with one row an id, whose id the table does not hold yet.
+
+    An id tells when it was made, so the table's side is read only between the least and the greatest
+    new id, which the scan's statistics use, and where ``day`` names the table's column of that day, only
+    in the folders of the days that the new ids have. The two ids and the distinct days, if no more than
+    ``MOST_DAYS``, are read when the plan is built.
+    """
+    least, most = fresh.agg(F.min("id"), F.max("id")).first()
+    if least is None:
+        return fresh
+    known = jobs.where(F.col("id").between(least, most))
+    if day is not None:
+        days = [r[0] for r in fresh.select(ids.created_day(F.col("id"))).distinct().limit(MOST_DAYS + 1).collect()]
+        if len(days) <= MOST_DAYS:
+            here = F.col(day).isin([d for d in days if d is not None])
+            known = known.where(here | F.col(day).isNull() if None in days else here)
+    return fresh.join(known.select("id"), "id", "left_anti")
+
+
+def add_jobs_unique(jobs: DataFrame, rows: DataFrame, now, order: list[str], day: str | None = None) -> DataFrame:
+    """The table with the new rows added whose id it does not hold yet, see :func:`unknown_rows`.
 
     Of rows with the same id the first in ``order`` is taken.
     """
-    fresh = first_per_id(next_table(add_jobs(rows, now)), order)
-    new = fresh.join(jobs.select("id"), "id", "left_anti")
-    return jobs.unionByName(new.select(*jobs.columns))
+    fresh = cut(first_per_id(next_table(add_jobs(rows, now)), order), "fresh")
+    columns = [c for c in jobs.columns if c != day]
+    return jobs.select(*columns).unionByName(unknown_rows(jobs, fresh, day).select(*columns))
 
 
 def claim_jobs(jobs: DataFrame, now, lock: str, limit: int, expire_ms: int = LOCK_EXPIRE_MS,

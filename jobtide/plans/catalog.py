@@ -14,7 +14,7 @@ from jobtide.schema import HANDLER_FIELDS
 from jobtide.session import work_path
 from jobtide.sources import journal as js, logs, tables
 from jobtide.streaming import ingest as si, locks as sl, outcomes as so
-from jobtide.streaming.run import drain_to, drain_to_folder
+from jobtide.streaming.run import StatsHook, StatsTable, drain_to, drain_to_folder
 
 NOW = feeds.AS_OF
 NOW_MS = feeds.AS_OF_MS
@@ -102,12 +102,17 @@ def log_level_filter(spark, sf_dir):
     return kept.select("time", "type", "id", "message")
 
 
+def _stored_jobs(spark, sf_dir) -> str:
+    path = work_path(spark, "jobs")
+    tables.write_snapshot(feeds.jobs(spark, sf_dir), path)
+    return path
+
+
 @query
 def jobs_upsert(spark, sf_dir):
-    base, target = work_path(spark, "jobs"), work_path(spark, "jobs")
-    tables.write_snapshot(feeds.jobs(spark, sf_dir).where("lock <> ''"), base)
-    rows = journal_ops.journal_parse(feeds.journal(spark, sf_dir))
-    return _table(tables.jobs_upsert(spark, base, rows, NOW, target, ["type", "data"]), "data")
+    base = _stored_jobs(spark, sf_dir)
+    tables.jobs_upsert(spark, base, journal_ops.journal_parse(feeds.arrivals(spark, sf_dir)), NOW, ["type", "data"])
+    return _table(tables.read_snapshot(spark, base), "data")
 
 
 # Projections and filters
@@ -231,14 +236,12 @@ def count_by_field(spark, sf_dir):
 
 
 def _stats(spark, sf_dir) -> DataFrame:
-    """Lifecycle events (name, type, ids, value), one per run and step."""
-    names = F.create_map(*[F.lit(x) for x in (
-        "archive", "archiveJobs", "retry", "retryJobs", "abandon", "abandonJobs")])
-    done = outcomes.retry_or_abandon(feeds.runs(spark, sf_dir), NOW)
-    return done.select(F.explode(F.array(
-        F.struct(F.lit("runNewJobs").alias("name"), F.lit(1).cast("bigint").alias("value")),
-        F.struct(names[F.col("action")].alias("name"), F.col("run_ms").alias("value")))).alias("e"),
-        "type", F.array("id").alias("ids")).select("e.name", "type", "ids", "e.value")
+    """Lifecycle events (name, type, ids, value) of all eight names, read from what the operators flag."""
+    jobs, held = feeds.jobs(spark, sf_dir), feeds.unfinished(spark, sf_dir)
+    kept = tr.upkeep(jobs, held, NOW, done_keep_ms=7 * 86_400_000, unrun_keep_ms=9 * 86_400_000)
+    return (counts.run_events(outcomes.retry_or_abandon(feeds.runs(spark, sf_dir), NOW))
+            .unionByName(counts.upkeep_events(kept))
+            .unionByName(counts.ingest_events(journal_ops.journal_parse(feeds.journal(spark, sf_dir)))))
 
 
 @query
@@ -307,9 +310,9 @@ def add_jobs(spark, sf_dir):
 
 @query
 def add_jobs_unique(spark, sf_dir):
-    held = feeds.jobs(spark, sf_dir).where("lock <> ''")
-    rows = journal_ops.journal_parse(feeds.journal(spark, sf_dir))
-    return _table(tr.add_jobs_unique(held, rows, NOW, ["type", "data"]), "data")
+    held = tables.read_days(spark, _stored_jobs(spark, sf_dir))
+    rows = journal_ops.journal_parse(feeds.arrivals(spark, sf_dir))
+    return _table(tr.add_jobs_unique(held, rows, NOW, ["type", "data"], day=tables.DAY), "data")
 
 
 @query
@@ -570,10 +573,21 @@ def stream_ingest(spark, sf_dir):
     return _parsed(drain_to_folder(si.stream_ingest(lines), "ingest"))
 
 
+def _delivered_twice(spark, sf_dir) -> str:
+    """A journal in several files, then about a third of its lines again in others."""
+    path = work_path(spark, "journal")
+    lines = feeds.journal(spark, sf_dir)
+    js.journal_write(lines.repartition(3), path)
+    js.journal_append(lines.where(F.length("line") % 3 == 0).repartition(2), path)
+    return path
+
+
 @query
 def stream_dedup(spark, sf_dir):
-    lines = js.journal_stream(spark, _written_journal(spark, sf_dir), max_files=1)
-    return _parsed(drain_to_folder(si.stream_dedup(si.stream_ingest(lines)), "dedup"))
+    lines = js.journal_stream(spark, _delivered_twice(spark, sf_dir), max_files=1)
+    sink = si.UniqueSink(work_path(spark, "dedup"), ["type", "data"])
+    drain_to(si.stream_ingest(lines), sink, "dedup")
+    return _parsed(sink.read(spark))
 
 
 @query
@@ -584,6 +598,15 @@ def stream_upsert(spark, sf_dir):
     return _parsed(sink.read(spark))
 
 
+@query
+def stream_stats(spark, sf_dir):
+    lines = js.journal_stream(spark, _delivered_twice(spark, sf_dir), max_files=1)
+    emitted = StatsTable(work_path(spark, "stats"))
+    hook = StatsHook(emitted)
+    drain_to(lines, si.ingest_with_stats(si.UniqueSink(work_path(spark, "ingested"), ["type", "data"]), hook), "stats")
+    return counts.stats_totals(emitted.read(spark))
+
+
 @query
 def stream_lock_expiry(spark, sf_dir):
     events = feeds.lock_events_from(_events_stream(spark, sf_dir))
@@ -615,38 +638,38 @@ def stream_running_counts(spark, sf_dir):
 def stream_retry_ready(spark, sf_dir):
     runs = feeds.runs_from(_events_stream(spark, sf_dir))
     releases = runs.where(~states.is_final(F.col("exitcode"))).select(
-        "id", F.col("stopped").alias("released"))
+        "id", "attempt", F.col("stopped").alias("released"))
     return drain_to_folder(so.stream_retry_ready(releases, runs), "ready")
 
 
 # User functions
 
 
-def _payload_k(payload: str) -> int:
+def _k_of(payload: str) -> int:
     import json
     return json.loads(payload)["k"]
 
 
 def _fail_on_tens(payload: str):
-    k = _payload_k(payload)
+    k = _k_of(payload)
     if k % 10 == 0:
         raise ValueError(k)
     return 200, str(k)
 
 
-PAYLOAD_FUNCTIONS = {
-    "click": payloads.PayloadHandler(body=lambda p: (200, str(len(p)))),
-    "view": payloads.PayloadHandler(body=_fail_on_tens),
-    "purchase": payloads.PayloadHandler(body=lambda p: 100 * (1 + _payload_k(p) % 5)),
-    "signup": payloads.PayloadHandler(body=lambda p: "fine"),
+# One maker a language of the stored handlers; "standard" is left unknown.
+LANGUAGES = {
+    "economy": lambda h: payloads.PayloadHandler(body=lambda p: (200, f"{h['id']} {len(p)}")),
+    "large": lambda h: payloads.PayloadHandler(body=_fail_on_tens),
+    "medium": lambda h: payloads.PayloadHandler(body=lambda p: 100 * (1 + _k_of(p) % 5)),
+    "promo": lambda h: payloads.PayloadHandler(body=lambda p: "fine"),
+    "small": lambda h: payloads.PayloadHandler(body=lambda p: (200, h["body"].split()[0])),
 }
 
 
 @query
 def run_payloads(spark, sf_dir):
-    jobs = feeds.jobs(spark, sf_dir)
-    batches = h.assign_batches(jobs, feeds.handlers(spark, sf_dir))
-    work = (jobs.join(batches, ["id", "type"])
-            .withColumn("jobtype", text.jobtype(F.col("type"))))
-    return payloads.run_payloads(work, PAYLOAD_FUNCTIONS).select(
+    jobs, versions = feeds.jobs(spark, sf_dir), feeds.handlers(spark, sf_dir)
+    work = jobs.join(h.assign_batches(jobs, versions), ["id", "type"])
+    return payloads.run_payloads(work, versions, payloads.Registry(LANGUAGES)).select(
         "id", "type", "exitcode", "code", "output")

@@ -73,6 +73,18 @@ def journal(spark, sf_dir):
     return journal_from(table(spark, sf_dir, "events"))
 
 
+def arrivals_from(events: DataFrame) -> DataFrame:
+    """Journal lines as above and, for every seventh event, a line of a job that the table does not hold, some twice."""
+    j = jobs_from(events, "event_id").where(F.col("event_id") % 7 == 3)
+    line = F.concat_ws("|", F.regexp_replace("id", "-q", "-x"), "type", "data")
+    copies = F.when(F.col("event_id") % 2 == 0, F.array(line, line)).otherwise(F.array(line))
+    return journal_from(events).unionByName(j.select(F.explode(copies).alias("line")))
+
+
+def arrivals(spark, sf_dir):
+    return arrivals_from(table(spark, sf_dir, "events"))
+
+
 def runs_from(events: DataFrame) -> DataFrame:
     """Finished runs of claimed jobs, one to three attempts each."""
     e = F.col("event_id")

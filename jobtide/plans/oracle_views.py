@@ -31,6 +31,7 @@ def new_id(n: str, sysid: str, base_ms: int) -> str:
             f"({enc(f'({n}) & 262143', 3)})")
 
 
+# Fixed value: the form of a journal line.
 LINE = r"'^\s*([^|]+)\|([^|]+)\|([^\n\r\x{2028}\x{2029}]*)\z'"
 
 STATE = f"""CASE WHEN lock = '' AND dt > {NOW} THEN 'deferred' WHEN lock = '' THEN 'ready'
@@ -59,6 +60,13 @@ VIEWS = {
     "parsed": f"""SELECT regexp_extract(line, {LINE}, 1) AS id, regexp_extract(line, {LINE}, 2) AS type,
  regexp_extract(line, {LINE}, 3) AS data, {dec(f"regexp_extract(line, {LINE}, 1)")} AS created_ms
  FROM journal WHERE regexp_matches(line, {LINE})""",
+    "arrivals": """SELECT line FROM journal UNION ALL
+ SELECT line FROM (SELECT replace(id, '-q', '-x') || '|' || type || '|' || data AS line, unnest(range(2 - event_id % 2)) FROM jobs WHERE event_id % 7 = 3)""",
+    "arrived": f"""SELECT regexp_extract(line, {LINE}, 1) AS id, regexp_extract(line, {LINE}, 2) AS type,
+ regexp_extract(line, {LINE}, 3) AS data, {dec(f"regexp_extract(line, {LINE}, 1)")} AS created_ms
+ FROM arrivals WHERE regexp_matches(line, {LINE})""",
+    "delivered": "SELECT line FROM journal UNION ALL SELECT line FROM journal WHERE length(line) % 3 = 0 AND line <> ''",
+    "delivered_jobs": f"SELECT regexp_extract(line, {LINE}, 2) AS type FROM delivered WHERE regexp_matches(line, {LINE})",
     "runs": f"""SELECT id, type, event_id, attempt, 'd' || (user_id % 4) AS runner,
  CAST(100 * (1 + (event_id + attempt) % 5) + CAST(floor(value) AS BIGINT) % 20 AS INTEGER) AS exitcode,
  ts + attempt * INTERVAL 1 MINUTE AS started, CAST(floor(value * 10) AS BIGINT) AS run_ms,

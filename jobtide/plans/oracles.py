@@ -42,9 +42,9 @@ _HELD_JOBS = """(SELECT j.*, o.lock AS owner FROM jobs j
 _HANDLER_ROWS = """SELECT id, type, '__handler' AS lock, TIMESTAMP '3000-01-01' AS dt, lang, body,
  coalesce(lang <> '' AND body <> '', false) AS accepted FROM handlers"""
 
-_MERGED = """SELECT id, type, lock, dt, data FROM jobs WHERE lock <> ''
- UNION ALL SELECT DISTINCT id, type, '' AS lock, make_timestamp(created_ms * 1000) AS dt, data FROM parsed
- WHERE id NOT IN (SELECT id FROM jobs WHERE lock <> '')"""
+_MERGED = """SELECT id, type, lock, dt, data FROM jobs
+ UNION ALL SELECT DISTINCT id, type, '' AS lock, make_timestamp(created_ms * 1000) AS dt, data FROM arrived
+ WHERE id NOT IN (SELECT id FROM jobs)"""
 
 _BATCHED = """SELECT j.type, j.id, (j.rn - 1) // coalesce(nullif(l.batch_size, 0), 10) AS batch_no,
  (j.rn - 1) % coalesce(nullif(l.batch_size, 0), 10) AS pos
@@ -53,8 +53,15 @@ _BATCHED = """SELECT j.type, j.id, (j.rn - 1) // coalesce(nullif(l.batch_size, 0
 
 _PARSED = "SELECT id, type, created_ms, data FROM parsed"
 
-_STATS = """SELECT 'runNewJobs' AS name, type, 1::BIGINT AS value FROM decided
- UNION ALL SELECT action || 'Jobs', type, run_ms FROM decided"""
+_KEPT = f"""SELECT *, CASE WHEN lock = owner THEN 'renew' WHEN {_STALE} THEN 'expire'
+  WHEN lock = '__done' AND dt - INTERVAL 1000 YEAR < {NOW} - INTERVAL 7 DAY THEN 'purge_done'
+  WHEN lock = '' AND dt < {NOW} - INTERVAL 9 DAY THEN 'purge_unrun' END AS action FROM {_HELD_JOBS}"""
+
+_STATS = f"""SELECT 'runNewJobs' AS name, type, 1::BIGINT AS value FROM decided
+ UNION ALL SELECT action || 'Jobs', type, run_ms FROM decided
+ UNION ALL SELECT CASE action WHEN 'renew' THEN 'renewLocks' WHEN 'expire' THEN 'expireLocks' ELSE 'expireJobs' END, type, 1
+ FROM ({_KEPT}) WHERE action IS NOT NULL
+ UNION ALL SELECT 'ingestJournal', type, 1 FROM parsed"""
 
 _LEASES_EXPIRED_EARLIER = f"""(SELECT id, type, CASE WHEN dt < {NOW} - INTERVAL 10 MINUTE THEN '' ELSE lock END AS lock,
  greatest(dt, {NOW} - INTERVAL 10 MINUTE) AS dt FROM leases)"""
@@ -145,9 +152,7 @@ _SQL = {
     "upkeep": _table(f"""SELECT id, type, CASE WHEN action = 'expire' THEN '' ELSE lock END AS lock,
  CASE action WHEN 'renew' THEN {NOW} + INTERVAL 5 MINUTE WHEN 'expire' THEN {NOW} ELSE dt END AS dt,
  CASE WHEN action IN ('purge_done', 'purge_unrun') THEN NULL ELSE data END AS data, action
- FROM (SELECT *, CASE WHEN lock = owner THEN 'renew' WHEN {_STALE} THEN 'expire'
-  WHEN lock = '__done' AND dt - INTERVAL 1000 YEAR < {NOW} - INTERVAL 7 DAY THEN 'purge_done'
-  WHEN lock = '' AND dt < {NOW} - INTERVAL 9 DAY THEN 'purge_unrun' END AS action FROM {_HELD_JOBS})""",
+ FROM ({_KEPT})""",
                      "data", "action"),
     "attach_handlers": """SELECT j.id, j.type, l.id AS handler_id, l.lang, l.body
  FROM jobs j LEFT JOIN latest l ON l.type = j.type""",
@@ -234,19 +239,26 @@ _SQL = {
  FROM jobs j LEFT JOIN latest l ON l.type = j.type WHERE starts_with(j.lock, 'd')""",
     "stream_running_counts": """SELECT type, arg_max(x, k)::BIGINT AS x, sum(kind)::BIGINT AS started_total FROM
  (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ev_at, kind, id, attempt) AS k FROM clamped) GROUP BY type""",
-    "stream_retry_ready": f"""SELECT r.id, n.attempt::INTEGER AS attempt, {ms('r.stopped')} AS released_ms,
+    "stream_stats": """SELECT 'read' AS kind, NULL AS type, count(*) AS n FROM delivered
+ UNION ALL SELECT 'kept', type, count(*) FROM delivered_jobs GROUP BY type
+ UNION ALL SELECT 'rejected', NULL, (SELECT count(*) FROM delivered) - (SELECT count(*) FROM delivered_jobs)""",
+    "stream_retry_ready": f"""SELECT r.id, r.attempt::INTEGER AS attempt, n.attempt::INTEGER AS next_attempt, {ms('r.stopped')} AS released_ms,
  {ms('r.stopped + INTERVAL 5 MINUTE')} AS ready_ms, {ms('n.started')} AS started_ms,
  n.started < r.stopped + INTERVAL 5 MINUTE AS early
- FROM runs r JOIN runs n ON n.id = r.id AND n.started >= r.stopped
- AND n.started <= r.stopped + INTERVAL 10 MINUTE WHERE NOT (r.exitcode // 100 IN (2, 4))""",
-    "run_payloads": """SELECT id, type, CASE event_type WHEN 'click' THEN 200
-  WHEN 'view' THEN CASE WHEN k % 10 = 0 THEN 500 ELSE 200 END
-  WHEN 'purchase' THEN 100 * (1 + k % 5) ELSE 500 END::INTEGER AS exitcode,
- CASE event_type WHEN 'view' THEN CASE WHEN k % 10 = 0 THEN 'ValueError' END
-  WHEN 'signup' THEN 'INVALID_RESPONSE' WHEN 'error' THEN 'BAD_HANDLER' END AS code,
- CASE event_type WHEN 'click' THEN CAST(length(data) AS VARCHAR)
-  WHEN 'view' THEN CASE WHEN k % 10 <> 0 THEN CAST(k AS VARCHAR) END END AS output
- FROM (SELECT *, (data->>'$.k')::BIGINT AS k FROM jobs)""",
+ FROM (SELECT * FROM runs WHERE NOT {FINAL}) r LEFT JOIN runs n ON n.id = r.id AND n.attempt > r.attempt AND n.started >= r.stopped
+ AND n.started <= r.stopped + INTERVAL 10 MINUTE
+ WHERE {ms('r.stopped')} <= (SELECT least(max({ms('started')}), max({ms('stopped')}) FILTER (NOT {FINAL})) - 1800000 - 600000 FROM runs)
+ QUALIFY row_number() OVER (PARTITION BY r.id, r.attempt ORDER BY n.started, n.attempt) = 1""",
+    "run_payloads": """SELECT id, type, CASE WHEN lang IS NULL OR lang = '' OR coalesce(body, '') = '' THEN 500 ELSE CASE lang WHEN 'economy' THEN 200
+  WHEN 'large' THEN CASE WHEN k % 10 = 0 THEN 500 ELSE 200 END
+  WHEN 'medium' THEN 100 * (1 + k % 5) WHEN 'small' THEN 200 ELSE 500 END END::INTEGER AS exitcode,
+ CASE WHEN lang IS NULL OR lang = '' OR coalesce(body, '') = '' THEN 'BAD_HANDLER' ELSE CASE lang WHEN 'large' THEN CASE WHEN k % 10 = 0 THEN 'ValueError' END
+  WHEN 'promo' THEN 'INVALID_RESPONSE' WHEN 'standard' THEN 'BAD_HANDLER' END END AS code,
+ CASE WHEN coalesce(body, '') <> '' THEN CASE lang WHEN 'economy' THEN handler_id || ' ' || length(data)
+  WHEN 'large' THEN CASE WHEN k % 10 <> 0 THEN CAST(k AS VARCHAR) END
+  WHEN 'small' THEN string_split(body, ' ')[1] END END AS output
+ FROM (SELECT j.id, j.type, j.data, (j.data->>'$.k')::BIGINT AS k, l.id AS handler_id, l.lang, l.body
+  FROM jobs j LEFT JOIN latest l ON l.type = j.type)""",
 }
 
 ORACLES = {name: with_views(_SQL[name]) for name in QUERIES if name in _SQL}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from jobtide.functions import ids
-from jobtide.operators.journal_ops import journal_parse
-from jobtide.operators.transitions import add_jobs, first_per_id, next_table
+from pyspark.sql import DataFrame, SparkSession
+
+from jobtide.operators.journal_ops import ingest_counts, journal_parse
+from jobtide.operators.transitions import add_jobs, next_table
+from jobtide.sources import tables
+from jobtide.streaming.run import StatsHook
 
 
 def stream_ingest(lines: DataFrame) -> DataFrame:
@@ -15,79 +17,52 @@ def stream_ingest(lines: DataFrame) -> DataFrame:
     return journal_parse(lines)
 
 
-def stream_dedup(jobs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drops re-delivered jobs that arrive within ``delay`` of the first copy.
+class UniqueSink:
+    """``foreachBatch`` writer of each job once, whenever and however often its copies come.
 
-    The watermark follows arrival, not the jobs' own times, so no first copy is ever late and the
-    state holds the ids of the last ``delay`` only. A copy that arrives later passes; the upsert
-    sink drops such ones, too.
+    A micro-batch keeps one row an id, looks for the ids in the stored folders of their own days and adds what is
+    not there, so nothing is held between batches, no copy is too late, and the result is the same at any
+    speed and cut of the stream. What is written is proportional to what comes in. A replayed batch, another
+    checkpoint or another query on the same table finds its jobs stored and adds only what is missing; one
+    writer at a time.
     """
-    return (jobs.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
-            .dropDuplicatesWithinWatermark(["id"]).drop("_arrived"))
-
 
-class UpsertSink:
-    """``foreachBatch`` writer of new ids into a table of one folder per micro-batch.
-
-    A batch overwrites its own folder and looks for known ids in earlier ones only, so a replay
-    after a failure gives the same table. Rows lie in folders by creation day, ids without one in a
-    bucket of their own, and only the days that the batch has are looked at. Every ``fold`` batches
-    the earlier ones are folded into one base folder, so a batch reads that and at most ``fold``
-    others. Each streaming query writes under its own id: a new checkpoint on an old table starts
-    with a base of all that is there and overwrites nothing.
-    """
+    def __init__(self, path: str, order: list[str]):
+        self.path, self.order, self.there = path.rstrip("/"), order, False
 
-    def __init__(self, path: str, now, order: list[str], fold: int = 20):
-        self.path, self.now, self.order, self.fold = path.rstrip("/"), now, order, fold
-        self.query = "direct"  # outside a stream; a replay by hand goes to the last stream's folder
+    def accepted(self, rows: DataFrame) -> DataFrame:
+        return rows
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        self.query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or self.query
-        own = f"{self.path}/query={self.query}"
-        # The day comes from the id, so every copy of a job has the same one.
-        day = F.to_date(ids.created_at(F.col("id")))
-        accepted = next_table(add_jobs(rows, self.now)).withColumn("created_day", day).persist()
-        fresh = first_per_id(accepted, self.order)
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in accepted.schema.fields)
-        base = batch_id // self.fold * self.fold
-        if batch_id == base:
-            self._write(self._before(spark, schema, own, base), f"{own}/base={base}")
-        known = self._read(spark, schema, own, base, batch_id)
-        days = accepted.select(F.col("created_day").alias("asked")).distinct()
-        known = known.join(days, F.col("created_day").eqNullSafe(F.col("asked")), "left_semi")
-        fresh = fresh.join(known.select("id"), "id", "left_anti")
-        self._write(fresh, f"{own}/batch={batch_id}")
-        accepted.unpersist()
-
-    @staticmethod
-    def _write(rows: DataFrame, path: str) -> None:
-        # One day's rows go to few files, a day with most of the rows to several.
-        rows.hint("rebalance", "created_day").write.mode("overwrite").partitionBy("created_day").parquet(path)
-
-    @staticmethod
-    def _read(spark: SparkSession, schema: str, own: str, base: int, upto: int) -> DataFrame:
-        """A base and the batches from it on, before ``upto``."""
-        rows = spark.read.schema(schema).parquet(f"{own}/base={base}")
-        if upto > base:
-            paths = [f"{own}/batch={n}" for n in range(base, upto)]
-            rows = rows.unionByName(spark.read.schema(schema).option("basePath", own).parquet(*paths).drop("batch"))
-        return rows
+        if not self.there:
+            tables.create_snapshot(spark, self.path)
+            self.there = True
+        tables.add_new(spark, self.path, self.accepted(rows), self.order)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return tables.read_snapshot(spark, self.path)
+
+
+class UpsertSink(UniqueSink):
+    """:class:`UniqueSink` for the jobs table: rows without id or type are refused, a missing dt is ``now``."""
+
+    def __init__(self, path: str, now, order: list[str]):
+        super().__init__(path, order)
+        self.now = now
 
-    def _before(self, spark: SparkSession, schema: str, own: str, base: int) -> DataFrame:
-        """All rows that a base must hold: of the base before it, or of other queries on this table."""
-        if base:
-            last = base - self.fold
-            return self._read(spark, schema, own, last, base)
-        columns = [c.split(" ", 1)[0] for c in schema.split(", ")]
+    def accepted(self, rows: DataFrame) -> DataFrame:
+        return next_table(add_jobs(rows, self.now))
+
+
+def ingest_with_stats(sink: Callable[[DataFrame, int], None], hook: StatsHook) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function over lines: jobs go to ``sink``, then the batch's counts to ``hook``."""
+    def ingest(lines: DataFrame, batch_id: int) -> None:
+        lines = lines.persist()
         try:
-            there = spark.read.schema(f"{schema}, query string, batch bigint").option("basePath", self.path).parquet(
-                f"{self.path}/query=*/batch=*")
-        except AnalysisException:  # nothing has been written yet
-            return spark.createDataFrame([], schema)
-        return there.where(F.col("query") != own.rsplit("=", 1)[1]).select(*columns)
+            sink(stream_ingest(lines), batch_id)
+            hook.emit("ingestJournal", batch_id, ingest_counts(lines))
+        finally:
+            lines.unpersist()
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The table: what all batches of all queries wrote."""
-        return (spark.read.option("basePath", self.path).parquet(f"{self.path}/query=*/batch=*")
-                .drop("query", "batch", "created_day"))
+    return ingest

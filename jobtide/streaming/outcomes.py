@@ -32,16 +32,22 @@ def stream_attach_handlers(jobs: DataFrame, handlers: DataFrame, parts: int = 32
 
 def stream_retry_ready(releases: DataFrame, runs: DataFrame, bound: str = "10 minutes",
                        delay: str = "30 minutes") -> DataFrame:
-    """Retried jobs (id, released) with each next run of the job within ``bound`` of the release.
+    """Retried jobs (id, attempt, released) with the job's next run, or NULLs if none comes within ``bound``.
 
-    ``ready_ms`` is when the retry was due, ``early`` whether the run began before that.
+    The next run is the first of a later attempt that starts at or after the release. A release comes out once, when
+    the watermark has passed all the runs that it may meet; rows of more than ``delay`` are late. ``ready_ms`` is
+    when the retry was due, ``early`` whether the run began before that.
     """
-    left = releases.withWatermark("released", delay).select(F.col("id").alias("r_id"), "released")
+    left = releases.withWatermark("released", delay).select(
+        F.col("id").alias("r_id"), F.col("attempt").alias("r_attempt"), "released")
     right = runs.withWatermark("started", delay).select("id", "started", "attempt")
+    met = left.join(right, (F.col("r_id") == F.col("id")) & (F.col("attempt") > F.col("r_attempt"))
+                    & (F.col("started") >= F.col("released"))
+                    & (F.col("started") <= F.col("released") + F.expr(f"INTERVAL {bound}")), "left_outer")
+    run = F.when(F.col("id").isNotNull(), F.struct("started", "attempt"))
+    first = met.groupBy("released", "r_id", "r_attempt").agg(F.min(run).alias("run"))
     due = states.plus_ms(F.col("released"), RETRY_DELAY_MS)
-    return left.join(right, (F.col("r_id") == F.col("id"))
-                     & (F.col("started") >= F.col("released"))
-                     & (F.col("started") <= F.col("released") + F.expr(f"INTERVAL {bound}"))).select(
-        "id", "attempt", F.unix_millis("released").alias("released_ms"),
-        F.unix_millis(due).alias("ready_ms"), F.unix_millis("started").alias("started_ms"),
-        (F.col("started") < due).alias("early"))
+    return first.select(
+        F.col("r_id").alias("id"), F.col("r_attempt").alias("attempt"), F.col("run.attempt").alias("next_attempt"),
+        F.unix_millis("released").alias("released_ms"), F.unix_millis(due).alias("ready_ms"),
+        F.unix_millis("run.started").alias("started_ms"), (F.col("run.started") < due).alias("early"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -26,6 +27,35 @@ def drain_to_folder(stream: DataFrame, label: str, checkpoint: str | None = None
     return spark.read.schema(stream.schema).parquet(path)
 
 
+class StatsHook:
+    """Hands statistics of a stream to an emitter, a function of (name, micro-batch, DataFrame).
+
+    ``configure`` replaces the emitter, also while the stream runs: the next micro-batch goes to the new one.
+    """
+
+    def __init__(self, emitter: Callable[[str, int, DataFrame], None]):
+        self.emitter = emitter
+
+    def configure(self, emitter: Callable[[str, int, DataFrame], None]) -> None:
+        self.emitter = emitter
+
+    def emit(self, name: str, batch_id: int, stats: DataFrame) -> None:
+        self.emitter(name, batch_id, stats)
+
+
+class StatsTable:
+    """An emitter that keeps statistics as a table, one folder per name and micro-batch; a replay overwrites its own."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def __call__(self, name: str, batch_id: int, stats: DataFrame) -> None:
+        stats.write.mode("overwrite").parquet(f"{self.path}/name={name}/batch={batch_id}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.path)
+
+
 class ObservedSums(StreamingQueryListener):
     """Sums of a stream's ``observe`` metrics over all its micro-batches, by the name observed.
 

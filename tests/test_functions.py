@@ -19,8 +19,8 @@ def values(spark, fn, items, kind="string"):
 
 def test_decode_cases(spark):
     cases = {
-        "12-sysid-023": 66, "15-sysid-025": 69, "123-sysid-001": 4227, "012-3a": 66,
-        "id1": 186881, "": 0, "-x": 0, "0NBtO6ne-mque-8x0": 1593304968361, "a.b-c": 37,
+        "1A-q7-000": 74, "2Z-q7-001": 163, "10a-b-1": 4133, "012-3a": 66,
+        "id1": 186881, "": 0, "-x": 0, "0Hymzl_Y-q1-00z": 1234567891234, "a.b-c": 37,
         "~" * 8: 2 ** 48 - 1, "0000012-x": 66, "00.0012-x": 0, "é000012-x": 0, "0000012": 66, "0" * 9: None,
     }
     assert values(spark, ids.decode64, list(cases)) == list(cases.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import transitions as tr
+from jobtide.operators import journal_ops, transitions as tr
 from jobtide.plans import feeds
 from jobtide.plans.catalog import QUERIES
 from jobtide.session import work_path
@@ -24,7 +24,7 @@ def test_no_pairwise_joins(spark, name):
     assert "NestedLoopJoin" not in text and "CartesianProduct" not in text
     if "Exchange SinglePartition" in text:
         # Only over per-slice summaries, which are one row per slice.
-        assert name in ("id_assign", "jobs_to_lines", "running_totals", "chain_jobs")
+        assert name in ("id_assign", "running_totals", "chain_jobs")
 
 
 def test_claim_cuts_to_the_limit_before_the_shuffle(spark):
@@ -48,3 +48,25 @@ def test_stored_table_prunes_and_pushes_down(spark, now):
     assert "lock_class" in text.split("PartitionFilters: [")[1].split("]")[0]
     assert "LessThanOrEqual(dt" in text.split("PushedFilters: [")[1]
     assert "data" not in text.split("ReadSchema: ")[1]
+
+
+def test_new_ids_are_looked_for_in_their_days_only(spark):
+    path = work_path(spark, "snap")
+    jobs = feeds.jobs(spark, SF)
+    tables.write_snapshot(jobs, path)
+    one = jobs.orderBy("id").limit(3)
+    text = plan(tr.unknown_rows(tables.read_days(spark, path), one, tables.DAY))
+    filters = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "created_day" in filters and "id" in text.split("PushedFilters: [")[1].split("]")[0]
+    assert "data" not in text.split("ReadSchema: ")[1].split("\n")[0]
+
+
+def test_lines_are_numbered_where_they_are(spark):
+    bodies = feeds.bodies(spark, SF)
+    assert "Exchange" not in plan(journal_ops.jobs_to_lines(bodies, "doc_id", "q0", 0))
+
+
+def test_limits_change_the_table_in_one_projection(spark):
+    jobs = feeds.jobs(spark, SF)
+    text = plan(tr.conditional_update(jobs, F.col("lock") == "", {"lock": F.lit("x")}, limit=100))
+    assert "Exchange" not in text and text.count("FileScan") == 1

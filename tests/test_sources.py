@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from jobtide.operators.payloads import PayloadHandler, run_payloads
+from jobtide.operators.payloads import PayloadHandler, Registry, run_payloads
+from jobtide.plans import feeds
+from jobtide.schema import JOB
 from jobtide.session import work_path
 from jobtide.sources import journal as js, logs, tables
 
@@ -60,6 +62,34 @@ def test_snapshot_reads_only_its_class(spark, make_jobs, now):
     assert "PartitionFilters: [" in plan and "lock_class" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_upsert_leaves_other_files_alone(spark):
+    path = work_path(spark, "snap")
+    jobs = feeds.jobs(spark, "/root/testdata/sf0.001")
+    tables.write_snapshot(jobs, path)
+    files = lambda: set(spark.read.parquet(path).inputFiles())
+    before = files()
+    some = jobs.where("lock = ''").orderBy("id").limit(2).collect()
+    rows = spark.createDataFrame([(r.id, r.type, None, "", "again") for r in some]
+                                 + [(r.id.replace("-q", "-y"), "t", None, "", "new") for r in some] + [("no time", "t", None, "", "odd")], JOB)
+    tables.jobs_upsert(spark, path, rows, "2024-01-16 00:00:00", ["type", "data"])
+    assert before < files() and len(files() - before) <= 3
+    got = tables.read_snapshot(spark, path)
+    assert got.count() == jobs.count() + 3 and got.where("data = 'again'").count() == 0
+    seen = files()
+    tables.jobs_upsert(spark, path, rows, "2024-01-16 00:00:00", ["type", "data"])
+    assert files() == seen
+
+
+HANDLER_ROWS = "type string, id string, lang string, body string"
+
+
+def _payload_rows(got):
+    by_type = {}
+    for r in got:
+        by_type.setdefault(r["type"], set()).add((r["exitcode"], r["code"], r["output"]))
+    return by_type
+
+
 def test_payload_functions(spark):
     def _boom(_):
         raise KeyError("x")
@@ -67,21 +97,33 @@ def test_payload_functions(spark):
     def _refuse():
         raise OSError("no")
 
-    jobs = spark.createDataFrame(
-        [(f"{k}{i:02}", f"c-{k}", str(i), i // 4, k) for k in ("ok", "boom", "bad", "none", "neg", "setup")
-         for i in range(10)], "id string, type string, data string, batch_no int, jobtype string")
-    got = run_payloads(jobs, {
-        "ok": PayloadHandler(lambda p: (200 + int(p), p * 2)), "boom": PayloadHandler(_boom),
-        "bad": PayloadHandler(lambda p: None), "neg": PayloadHandler(lambda p: -1),
-        "setup": PayloadHandler(lambda p: 200, before_each=_refuse)}).collect()
-    assert len(got) == 60
-    by_type = {}
-    for r in got:
-        by_type.setdefault(r["type"], set()).add((r["exitcode"], r["code"], r["output"]))
-    assert by_type == {
+    names = ("ok", "boom", "bad", "none", "neg", "setup", "bodyless", "strange")
+    jobs = spark.createDataFrame([(f"{k}{i:02}", f"c-{k}", str(i), i // 4) for k in names for i in range(10)],
+                                 "id string, type string, data string, batch_no int")
+    stored = spark.createDataFrame([(f"c-{k}", "v1", k, "b") for k in names if k not in ("none", "bodyless")] + [("c-bodyless", "v1", "ok", "")],
+                                   HANDLER_ROWS)
+    got = run_payloads(jobs, stored, Registry({
+        "ok": lambda h: PayloadHandler(lambda p: (200 + int(p), p * 2)), "boom": lambda h: PayloadHandler(_boom),
+        "bad": lambda h: PayloadHandler(lambda p: None), "neg": lambda h: PayloadHandler(lambda p: -1),
+        "setup": lambda h: PayloadHandler(lambda p: 200, before_each=_refuse)})).collect()
+    assert len(got) == 80
+    assert _payload_rows(got) == {
         "c-ok": {(200 + i, None, str(i) * 2) for i in range(10)}, "c-boom": {(500, "KeyError", None)},
         "c-bad": {(500, "INVALID_RESPONSE", None)}, "c-neg": {(500, "INVALID_RESPONSE", None)},
-        "c-none": {(500, "BAD_HANDLER", None)}, "c-setup": {(500, "OSError", None)}}
+        "c-setup": {(500, "OSError", None)},
+        **{f"c-{k}": {(500, "BAD_HANDLER", None)} for k in ("none", "bodyless", "strange")}}
+
+
+def test_tenants_have_their_own_versions(spark):
+    jobs = spark.createDataFrame([(f"{t}{i}", t, "p", i // 2) for t in ("c1-mail", "c2-mail", "c3-mail") for i in range(300)],
+                                 "id string, type string, data string, batch_no int")
+    stored = spark.createDataFrame([("c1-mail", "v1", "echo", "old"), ("c1-mail", "v2", "echo", "new"), ("c2-mail", "v1", "echo", "other"),
+                                    ("c3-mail", "v8", "echo", "fixed"), ("c3-mail", "v9", "echo", None)], HANDLER_ROWS)
+    registry = Registry({"echo": lambda h: PayloadHandler(lambda p: (200, f"{h['id']} {h['body']}"))},
+                        {("c2-mail", "v1"): PayloadHandler(lambda p: (201, "own")), ("c3-mail", "v9"): PayloadHandler(lambda p: 202)})
+    got = run_payloads(jobs, stored, registry).collect()
+    assert len(got) == 900 and _payload_rows(got) == {
+        "c1-mail": {(200, None, "v2 new")}, "c2-mail": {(201, None, "own")}, "c3-mail": {(500, "BAD_HANDLER", None)}}
 
 
 def test_batches_run_whole_across_arrow_frames(spark, tmp_path):
@@ -92,14 +134,14 @@ def test_batches_run_whole_across_arrow_frames(spark, tmp_path):
         import uuid
         open(os.path.join(marks, uuid.uuid4().hex), "w").close()
 
-    jobs = spark.range(1000).select(
-        F.format_string("%04d", "id").alias("id"), F.lit("c-t").alias("type"), F.lit("p").alias("data"),
-        F.floor(F.col("id") / 30).alias("batch_no"), F.lit("t").alias("jobtype"))
+    jobs = spark.range(2000).select(
+        F.format_string("%04d", "id").alias("id"), F.lit("c-t").alias("type"), F.lit("p").alias("data"), F.floor(F.col("id") / 15).alias("batch_no"))
+    stored = spark.createDataFrame([("c-t", "v1", "t", "b")], HANDLER_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        handler = PayloadHandler(lambda p: 200, before_each=begin)
-        got = run_payloads(jobs, {"t": handler}).where("exitcode = 200").collect()
+        registry = Registry({"t": lambda h: PayloadHandler(lambda p: 200, before_each=begin)})
+        got = run_payloads(jobs, stored, registry).where("exitcode = 200").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len({r["id"] for r in got}) == len(got) == 1000
-    assert len(list(tmp_path.iterdir())) == 34
+    assert len({r["id"] for r in got}) == len(got) == 2000
+    assert len(list(tmp_path.iterdir())) == 134

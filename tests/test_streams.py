@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from jobtide.functions import ids
 from jobtide.plans import feeds
-from jobtide.operators import concurrency, journal_ops
+from jobtide.operators import concurrency, counts, journal_ops
 from jobtide.session import work_path
 from jobtide.sources import journal as js
 from jobtide.streaming import ingest as si, locks as sl, outcomes as so
-from jobtide.streaming.run import ObservedSums, drain_to, drain_to_folder
+from jobtide.streaming.run import ObservedSums, StatsHook, StatsTable, drain_to, drain_to_folder
 
 SF = "/root/testdata/sf0.001"
 NOW = feeds.AS_OF
@@ -118,22 +118,53 @@ def test_lock_expiry_boundary(spark):
     assert got == {("lost", 0, 300, 1), ("gone", 0, 400, 2)}
 
 
+def _job(id_, t):
+    return (id_, "t", t, "", "x")
+
+
+JOBS = "id string, type string, dt timestamp, lock string, data string"
+
+
+def _unique(spark, stream):
+    sink = si.UniqueSink(work_path(spark, "dedup"), ["type", "data"])
+    drain_to(stream, sink, "dedup")
+    return sorted(r["id"] for r in sink.read(spark).collect())
+
+
 def test_dedup_across_batches(spark):
     t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    stream = _files(spark, "id string, dt timestamp",
-                    [("a", t(0)), ("b", t(1)), ("a", t(0))], [("a", t(0)), ("c", t(60))], [("b", t(1))])
-    got = sorted(r["id"] for r in drain_to_folder(si.stream_dedup(stream), "dedup").collect())
-    assert got == ["a", "b", "c"]
+    stream = _files(spark, JOBS, [_job("a", t(0)), _job("b", t(1)), _job("a", t(0))], [_job("a", t(0)), _job("c", t(60))], [_job("b", t(1))])
+    assert _unique(spark, stream) == ["a", "b", "c"]
 
 
 def test_retry_ready_bounds(spark):
-    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
-    releases = _files(spark, "id string, released timestamp", [("a", t(0)), ("b", t(0))], [("c", t(1))])
+    t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    releases = _files(spark, "id string, attempt int, released timestamp",
+                      [("a", 1, t(0)), ("b", 1, t(0)), ("z", 1, t(2))], [("c", 1, t(1)), ("late", 1, t(500))])
     runs = _files(spark, "id string, attempt int, started timestamp",
-                  [("a", 2, t(3)), ("b", 2, t(11))], [("a", 3, t(10)), ("c", 2, t(6))])
-    got = sorted((r["id"], r["attempt"], r["early"])
+                  [("a", 2, t(3)), ("b", 2, t(11)), ("z", 1, t(2))], [("a", 3, t(10)), ("c", 2, t(6)), ("end", 1, t(500))])
+    got = sorted((r["id"], r["next_attempt"], r["early"])
                  for r in drain_to_folder(so.stream_retry_ready(releases, runs), "ready").collect())
-    assert got == [("a", 2, True), ("a", 3, False), ("c", 2, False)]
+    # the first run only; none within the bound; a run of no length is not its own retry
+    assert got == [("a", 2, True), ("b", None, None), ("c", 2, False), ("z", None, None)]
+
+
+def test_stats_go_to_the_emitter_of_the_day(spark, lines):
+    first, second = StatsTable(work_path(spark, "stats")), StatsTable(work_path(spark, "stats"))
+    hook = StatsHook(first)
+    ingest = si.ingest_with_stats(si.UniqueSink(work_path(spark, "jobs"), ["type", "data"]), hook)
+
+    def then_other(rows, batch_id):
+        ingest(rows, batch_id)
+        ingest(rows, batch_id)  # a replay counts once
+        hook.configure(second)
+
+    drain_to(js.journal_stream(spark, lines, max_files=3), then_other, "stats")
+    emitted = [counts.stats_totals(t.read(spark)) for t in (first, second)]
+    assert all(e.where("kind = 'read'").first().n > 0 for e in emitted)
+    want = sorted((tuple(r) for r in journal_ops.ingest_counts(js.journal_scan(spark, lines)).collect()), key=repr)
+    both = counts.stats_totals(emitted[0].unionByName(emitted[1]))
+    assert sorted((tuple(r) for r in both.collect()), key=repr) == want
 
 
 def test_observed_counts(spark, lines):
@@ -147,9 +178,8 @@ def test_observed_counts(spark, lines):
 
 def test_dedup_keeps_first_copies_out_of_order(spark):
     day = lambda n: dt.datetime(2024, 1, n)
-    stream = _files(spark, "id string, dt timestamp", *[[(f"id{n}", day(n))] for n in (10, 11, 1, 12)])
-    got = sorted(r["id"] for r in drain_to_folder(si.stream_dedup(stream), "dedup").collect())
-    assert got == ["id1", "id10", "id11", "id12"]
+    stream = _files(spark, JOBS, *[[_job(f"id{n}", day(n))] for n in (10, 11, 1, 12, 10, 1)])
+    assert _unique(spark, stream) == ["id1", "id10", "id11", "id12"]
 
 
 def test_claim_after_a_stop_expires(spark):
@@ -172,10 +202,14 @@ def test_upsert_of_ids_without_a_day(spark):
     assert sink.read(spark).count() == 2
 
 
-def test_upsert_folds_and_replays(spark):
-    sink = si.UpsertSink(work_path(spark, "upsert"), NOW, ["type", "data"], fold=2)
+def test_upsert_writes_what_is_new_only(spark):
+    sink = si.UpsertSink(work_path(spark, "upsert"), NOW, ["type", "data"])
+    files = lambda: set(spark.read.parquet(sink.path).inputFiles())
+    seen = set()
     for batch in (0, 1, 2, 3, 4, 4, 5):
         _upsert(spark, sink, batch, f"zzzzzzzzzzzz-q0-{batch}", "zzzzzzzzzzzz-q0-x")
+        assert seen <= files() and len(files() - seen) <= 2  # no file is written again
+        seen = files()
     assert sink.read(spark).count() == 7
 
 

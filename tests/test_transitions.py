@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from jobtide.operators import counts, handlers as h, leases as ls, transitions as tr
+from jobtide.operators import counts, handlers as h, leases as ls, outcomes, transitions as tr
 from jobtide.schema import JOB
 
 
@@ -226,3 +226,28 @@ def test_leases(make_jobs, spark, now):
     jobs = make_jobs(("a", "t", 1, "s1"), ("b", "t", 1, "s3"), ("c", "t", 1, "gone"), ("d", "t", 1, ""),
                      ("e", "t", 1, "__done"))
     assert rows(ls.jobs_of_dead_owners(jobs, leases, now), "id") == [("b",), ("c",)]
+
+
+def test_limit_of_a_million(spark):
+    jobs = spark.range(2_000_000).select(F.format_string("%08d", F.pmod(F.col("id") * 7919, F.lit(2_000_000))).alias("id"), F.lit("t").alias("type"),
+                                         F.current_timestamp().alias("dt"), F.lit("").alias("lock"), F.lit("x").alias("data"))
+    got = tr.conditional_update(jobs, F.lit(True), {"lock": F.lit("y")}, limit=1_000_000).where("changed")
+    assert got.agg(F.count(F.lit(1)), F.max("id")).first()[:] == (1_000_000, "00999999")
+
+
+def test_limit_within_equal_and_missing_values(make_jobs, now):
+    jobs = make_jobs(*[(f"i{n}", "t", None if n < 3 else 5, "") for n in range(10)])
+    for limit in (1, 3, 5, 10, 20):
+        got = tr.conditional_update(jobs, F.col("lock") == "", {"lock": F.lit("x")}, limit=limit, order="dt")
+        assert got.columns == [*jobs.columns, "changed"] and got.count() == 10
+        assert sorted(r["id"] for r in got.where("changed").collect()) == [f"i{n}" for n in range(min(limit, 10))]
+
+
+def test_a_call_with_one_id_twice(spark):
+    jobs = spark.createDataFrame([(1, 0, "a", "t"), (1, 1, "a", "t")], "batch bigint, pos int, id string, type string")
+    calls = spark.createDataFrame([(1, "2024-01-01 00:00:00", "2024-01-01 00:00:01", True, False, None, None)],
+                                  "batch bigint, started string, stopped string, is_batch boolean, failed boolean, error_code string, status int")
+    calls = calls.withColumns({c: F.col(c).cast("timestamp") for c in ("started", "stopped")})
+    outputs = spark.createDataFrame([(1, "200 x\n404 y")], "batch bigint, output string")
+    got = sorted((r["pos"], r["exitcode"], r["duration"]) for r in outcomes.call_outcomes(jobs, calls, outputs).collect())
+    assert got == [(0, 200, 500.0), (1, 404, 500.0)]
