@@ -27,9 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from jobtide.llm.common import per_chunk, per_value, struct_of, worker_state
 
-CACHED = 100_000  # words, and the same again of older ones, that a worker remembers (some 40 MB)
+CACHED = 150_000  # words, and the same again of older ones, that a worker remembers (some 60 MB)
 PAIRS = 100_000  # pairs of tokens that it remembers (some 15 MB)
 NEVER = 1 << 30
+SPLITS = 2000  # sets of characters beyond ASCII whose patterns are kept
+NO_CHARACTERS: frozenset[str] = frozenset()
+LETTERS_OR_DIGITS = (r"[\p{L}]+", r"[\p{N}]")
 ID = np.dtype("<i4")
 
 
@@ -51,6 +54,15 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
+def letters_first(pattern: str) -> str:
+    """The alternatives of a pattern, those of letters and digits before those that start with an apostrophe; the same matches."""
+    parts = pattern.split("|")
+    first = [p for p in parts if p in LETTERS_OR_DIGITS]
+    if not all(p in first or p[0] == "'" or p.startswith("[^") for p in parts):
+        return pattern
+    return "|".join(first + [p for p in parts if p not in first])
+
+
 class PrefixEncoder:
     """Encodes words (strings of byte symbols) into token ids."""
 
@@ -165,9 +177,8 @@ class TextEncoder:
 
     def __init__(self, vocabulary: dict):
         self.words = PrefixEncoder(vocabulary)
-        self.split = regex.compile(vocabulary["pattern"])
-        plain = vocabulary["pattern"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
-        self.split_ascii = self.split if r"\p" in plain else re.compile(plain, re.ASCII)  # the same on ASCII texts
+        self.pattern = letters_first(vocabulary["pattern"])
+        self.splits: dict[frozenset[str], re.Pattern | regex.Pattern] = {}
         self.special = vocabulary["special"]
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.table = byte_symbols()
@@ -177,10 +188,23 @@ class TextEncoder:
     def pieces(self, text: str) -> list[str]:
         """Words of one stretch without special tokens, normalised as the tokenizer file says."""
         if text.isascii():
-            return self.split_ascii.findall(text.lower())
+            return self.split(NO_CHARACTERS).findall(text.lower())
         # letters are lowered one by one, so a final sigma is no special case
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.split.findall(text)
+        return self.split(frozenset([c for c in set(text) if c > "\x7f"])).findall(text)
+
+    def split(self, others: frozenset[str]) -> re.Pattern | regex.Pattern:
+        """The pattern for texts of ASCII and the given characters, with its classes spelled out, which is quicker."""
+        found = self.splits.get(others)
+        if found is None:
+            if len(self.splits) >= SPLITS:
+                self.splits.clear()
+            own = {kind: "".join([re.escape(c) for c in sorted(others) if regex.match(kind, c)]) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+            plain = self.pattern
+            for kind, ascii_part in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9"), (r"\s", r"\s")):
+                plain = plain.replace(kind, ascii_part + own[kind])
+            found = self.splits[others] = regex.compile(self.pattern) if r"\p" in plain else re.compile(plain, re.ASCII)
+        return found
 
     def plan(self, text: str) -> list[list[str] | int]:
         """Stretches of words, with the ids of special tokens between them."""
@@ -190,10 +214,14 @@ class TextEncoder:
             upto = m.end()
         return [*parts, self.pieces(text[upto:])]
 
+    def symbols_of(self, words: list[str]) -> list[str]:
+        """The words with each byte's stand-in; visible ASCII stands for itself."""
+        table = self.table
+        return [w if w.isascii() and w.isprintable() else "".join([table[b] for b in w.encode("utf-8")]) for w in words]
+
     def ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, by their trie."""
-        table = self.table
-        symbols = ["".join([table[b] for b in w.encode("utf-8")]) for w in words]
+        symbols = self.symbols_of(words)
         found = self.words.encode_all(symbols)
         return [np.array(found[s], ID).tobytes() for s in symbols]
 
@@ -209,14 +237,22 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the words that are new in the texts are worked out together."""
-        known = self.known
-        plans = [self.plan(text) for text in texts]
-        missing = set().union(*[set(part) for parts in plans for part in parts if isinstance(part, list)]) - known.keys()
+        get = self.known.get
+        drafts, missing = [], set()
+        for text in texts:
+            parts = []
+            for part in self.plan(text):
+                found = [np.array([part], ID).tobytes()] if isinstance(part, int) else list(map(get, part))
+                if None in found:
+                    missing.update([w for w, ids in zip(part, found) if ids is None])
+                    parts.append((part, found))
+                else:
+                    parts.append((None, b"".join(found)))
+            drafts.append(parts)
         fresh = self.learn(missing)
-        ids_of = (known if known is self.known else known | fresh).__getitem__
         return [np.frombuffer(b"".join([
-            b"".join(map(ids_of, part)) if isinstance(part, list) else np.array([part], ID).tobytes()
-            for part in parts]), ID) for parts in plans]
+            found if words is None else b"".join([fresh[w] if ids is None else ids for w, ids in zip(words, found)])
+            for words, found in parts]), ID) for parts in drafts]
 
 
 class Decoder:

@@ -43,16 +43,14 @@ PLACE = "struct<sequence_id: bigint, offset: bigint>"
 
 
 class LibraryEncoder(TextEncoder):
-    """Splits texts into words as :class:`TextEncoder`; the tokenizer library encodes the words that are new."""
+    """Splits texts into words as :class:`TextEncoder`; the tokenizer library's model encodes the words that are new."""
 
     def __init__(self, vocabulary: dict, spec: str):
         super().__init__(vocabulary)
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = Tokenizer(Tokenizer.from_str(spec).model)  # words come normalised and split, as byte symbols
 
     def ids_of(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        found = self.library.encode(self.symbols_of(words), is_pretokenized=True, add_special_tokens=False)
         ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * ID.itemsize
         flat, ends = np.array(found.ids, ID).tobytes(), ends.tolist()
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
