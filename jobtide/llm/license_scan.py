@@ -1,30 +1,37 @@
-"""License scan by an index of template shingles, in DataFrame operations only.
-
-Texts are cut into lower-case words; a shingle is ``SHINGLE`` words in a row. Only shingles that
-occur in some template are looked at (any other can only lower a similarity). Each is joined with
-the places it has in templates, and every such pair suggests one place of that template in the
-text, so no other template nearby shifts it and none is missed.
-
-A template is then verified exactly at each suggested place: the share of its distinct shingles that
-the text has there, ``SLACK`` words more on either side, must reach ``CONTAINED``. A shingle that
-lies a whole copy away from its place in the template belongs to a neighbour copy and does not
-count. Of overlapping finds of a template the one contained most, then the best aligned, counts; of
-several templates found from the same word on, the one contained most, then the longest.
-
-Rows: null and empty texts have no matches. Matches are found per distinct text (by a 64-bit
-fingerprint plus length) and given to each of its rows, so repeated rows and null ids are kept, each
-with its matches. Extra columns are not read. Templates are a bounded, given table of a few hundred
-rows at most.
+"""License scan by MinHash bands over overlapping text windows, in DataFrame operations only.
+
+Texts are cut into lower-case words; a shingle is ``SHINGLE`` words in a row. A window's set are its shingles that
+occur in some template: all others are in no template and could only lower a similarity, so windows
+without such a shingle, nearly all, are never built.
+
+Retrieval. Templates of like size (within a factor ``STEP``) share a window length. Windows overlap by half, and half a
+window holds a whole copy, slack included, so each copy lies in some window whole. A window's sketch are ``BANDS``
+minima, each a band of one row; a band that a window shares with a template of its length retrieves the template. A
+window with a copy that counts has a similarity of at least :func:`least_similarity`, however many other
+templates' shingles fill its rest, so it is retrieved with probability :func:`collision` of that, over 0.9999.
+
+Verification. Each shingle of a retrieved template in the window suggests the place of a copy. The share of the
+template's distinct shingles that the text has there, a few words more on either side (:func:`slack`), must reach
+``CONTAINED``. A shingle that lies a whole copy away from its place in the template belongs to a neighbour copy and
+does not count. Places of a template nearer than most of a copy are one copy: the one contained most, then the best
+aligned, counts, then the best of those that are left. Of several templates found from the same word on, the one
+contained most, then the longest, counts.
+
+Rows: null and empty texts have no matches. Matches are found per distinct text (by a 128-bit digest) and given to each
+of its rows, so repeated rows and null ids are kept, each with its matches. Extra columns are not read. Templates are a
+bounded, given table of a few hundred rows at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from jobtide.session import cut
 
 SHINGLE, CONTAINED, SLACK = 3, 0.8, 4
-BANDS, ROWS = 8, 2
+BANDS, STEP = 48, 1.25
 WORDS = r"[^a-z0-9.+-]+"
 
 # Notices and passages of public licenses.
@@ -62,9 +69,26 @@ TEMPLATES = {
 }
 
 
+def slack(size: int) -> int:
+    """Words on either side of a template of ``size`` shingles in which its shingles still count."""
+    return min(SLACK, size // 4)
+
+
+def half_window(size: int) -> int:
+    """Half the window length, in shingles, for templates of ``size`` shingles."""
+    largest = max(size, math.floor(STEP ** math.ceil(round(math.log(size, STEP), 9))))
+    return largest + 2 * slack(largest)
+
+
+def least_similarity(size: int) -> float:
+    """Of a window that holds a copy and has template shingles in every other place."""
+    held = math.ceil(CONTAINED * size - 1e-9)
+    return held / (size + 2 * half_window(size) - held)
+
+
 def collision(similarity: float) -> float:
-    """Probability that sketches of ``BANDS`` x ``ROWS`` minima share a band; the scan itself loses none."""
-    return 1 - (1 - similarity ** ROWS) ** BANDS
+    """Probability that sketches of ``BANDS`` minima share one."""
+    return 1 - (1 - similarity) ** BANDS
 
 
 def words_of(text: Column) -> Column:
@@ -94,53 +118,95 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
 
 
 def template_places(templates: DataFrame) -> DataFrame:
-    """(license, size, distinct, h, pos): each shingle of each template at each of its positions."""
-    known = templates.select("license", shingles_of(F.col("template")).alias("ordered")).where(F.size("ordered") > 0)
-    return known.select("license", F.size("ordered").alias("size"), F.size(F.array_distinct("ordered")).alias("distinct"),
-                        F.posexplode("ordered").alias("pos", "h"))
+    """(license, size, distinct, slack, half, h, pos): each shingle of each template at each of its positions."""
+    known = cut(templates.select("license", shingles_of(F.col("template")).alias("ordered")).where(F.size("ordered") > 0)
+                .withColumn("size", F.size("ordered")), "license-templates")
+    sizes = [r[0] for r in known.select("size").distinct().collect()]  # of the given templates
+    def by_size(rule) -> Column:
+        return F.create_map(*[F.lit(x) for n in sizes for x in (n, rule(n))])[F.col("size")] if sizes else F.lit(0)
+
+    return known.select("license", "size", F.size(F.array_distinct("ordered")).alias("distinct"), by_size(slack).alias("slack"),
+                        by_size(half_window).alias("half"), F.posexplode("ordered").alias("pos", "h"))
+
+
+def in_windows(marks: DataFrame) -> DataFrame:
+    """``marks`` (at, half, ...) once for each of the two windows that a position is in."""
+    here = F.floor(F.col("at") / F.col("half"))
+    return marks.withColumn("window", F.explode(F.array(here, here - 1))).where(F.col("window") >= 0)
+
+
+def sketches(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, band, least): the minima of each group's shingles ``h``."""
+    found = rows.groupBy(*keys).agg(*[F.min(F.xxhash64(F.lit(n), "h")).alias(f"band_{n}") for n in range(BANDS)])
+    return found.select(*keys, F.posexplode(F.array(*[F.col(f"band_{n}") for n in range(BANDS)])).alias("band", "least"))
+
+
+def retrieved(marks: DataFrame, known: DataFrame, halves: list[int]) -> DataFrame:
+    """(text_id, half, window, license): templates that share a band with a window. ``marks`` are (text_id, at, h)."""
+    windows = in_windows(marks.withColumn("half", F.explode(F.array(*[F.lit(n) for n in halves]))))
+    return (sketches(windows, "text_id", "half", "window").join(sketches(known, "license", "half"), ["half", "band", "least"])
+            .select("text_id", "half", "window", "license").distinct())
 
 
 def match_texts(docs: DataFrame, templates: DataFrame, text_col: str = "text") -> DataFrame:
     """(text_id, license, first_word, last_word, contained): verified matches of distinct texts."""
-    spark = docs.sparkSession
-    known = template_places(templates)
-    # the templates are given and few, so their shingles fit into the plan as literals
+    known = cut(template_places(templates), "license-places")
+    # the templates are given and few, so their shingles and window lengths fit into the plan as literals
     every = [r[0] for r in known.select("h").distinct().orderBy("h").collect()]
-    empty = "array<struct<at: int, h: bigint>>"
-    placed = F.filter(F.transform(F.col("hashes"), lambda h, i: F.struct(i.alias("at"), h.alias("h"))),
-                      lambda s: s["h"].isin(every)) if every else F.array().cast(empty)
+    halves = [r[0] for r in known.select("half").distinct().orderBy("half").collect()]
+    if not every:
+        return docs.sparkSession.createDataFrame([], "text_id string, license string, first_word int, last_word int, contained double")
+    placed = F.filter(F.transform(F.col("hashes"), lambda h, i: F.struct(i.alias("at"), h.alias("h"))), lambda s: s["h"].isin(every))
     texts = docs.where(F.length(text_col) > 0).select(text_id(F.col(text_col)).alias("text_id"),
                                                       shingles_of(F.col(text_col)).alias("hashes"))
-    texts = cut(texts.select("text_id", placed.alias("placed")).dropDuplicates(["text_id"]), "license-places")
-    texts = texts.where(F.size("placed") > 0)  # of the written rows, so that no text is cut twice
-    width = F.col("size") + 2 * SLACK  # of the stretch that a place covers: it meets two buckets at most
-    own = (texts.select("text_id", F.explode("placed").alias("s")).select("text_id", "s.at", "s.h").join(known, "h")
-           .withColumn("bucket", F.floor(F.col("at") / width)))
-    ends = F.array(F.floor((F.col("origin") - SLACK) / width), F.floor((F.col("origin") + F.col("size") + SLACK - 1) / width))
-    places = (own.select("text_id", "license", "size", (F.col("at") - F.col("pos")).alias("origin")).distinct()
+    texts = cut(texts.select("text_id", placed.alias("placed")).dropDuplicates(["text_id"]), "license-marks")
+    marks = texts.select("text_id", F.explode("placed").alias("s")).select("text_id", "s.at", "s.h")
+    asked = cut(retrieved(marks, known, halves), "license-retrieved")
+    own = (in_windows(marks.join(known, "h")).join(asked, ["text_id", "license", "half", "window"], "left_semi")
+           .drop("window", "half").distinct())
+    own = cut(own, "license-own")
+    width = F.col("size") + 2 * F.col("slack")  # of the stretch that a place covers: it meets two buckets at most
+    held = own.withColumn("bucket", F.floor(F.col("at") / width))
+    ends = F.array(F.floor((F.col("origin") - F.col("slack")) / width), F.floor((F.col("origin") + F.col("size") + F.col("slack") - 1) / width))
+    places = (own.select("text_id", "license", "size", "slack", (F.col("at") - F.col("pos")).alias("origin")).distinct()
               .select("text_id", "license", "origin", F.explode(F.array_distinct(ends)).alias("bucket")))
     moved = F.abs(F.col("at") - F.col("pos") - F.col("origin"))
-    spans = (places.join(own, ["text_id", "license", "bucket"])
-             .where((F.col("at") >= F.col("origin") - SLACK) & (F.col("at") < F.col("origin") + F.col("size") + SLACK)
+    spans = (places.join(held, ["text_id", "license", "bucket"])
+             .where((F.col("at") >= F.col("origin") - F.col("slack")) & (F.col("at") < F.col("origin") + F.col("size") + F.col("slack"))
                     & (moved < F.col("size") + SHINGLE - 1))
              .groupBy("text_id", "license", "origin", "size", "distinct")
              .agg(F.size(F.collect_set("h")).alias("held"), F.size(F.collect_set(F.when(moved == 0, F.col("h")))).alias("aligned"),
                   F.min("at").alias("first_word"), (F.max("at") + SHINGLE - 1).alias("last_word"))
              .withColumn("contained", F.col("held") / F.col("distinct")).where(F.col("contained") >= CONTAINED))
-    # shingles of one copy suggest places a few words apart: of overlapping finds of a license one counts
-    ranked = F.reverse(F.array_sort(F.collect_set(F.struct("contained", "aligned", "size", "first_word", "last_word"))))
-    free = lambda kept, s: ~F.exists(kept, lambda k: (s["first_word"] <= k["last_word"]) & (k["first_word"] <= s["last_word"]))
-    copies = (spans.groupBy("text_id", "license").agg(ranked.alias("ranked"))
-              .select("text_id", "license", F.explode(F.aggregate(
-                  "ranked", F.slice("ranked", 1, 0), lambda kept, s: F.when(free(kept, s), F.concat(kept, F.array(s))).otherwise(kept))).alias("m"))
-              .select("text_id", "license", "m.*"))
     best = F.max(F.struct("contained", "size", "license", "last_word")).alias("best")
-    return copies.groupBy("text_id", "first_word").agg(best).select(
+    return one_of_each_copy(spans).groupBy("text_id", "first_word").agg(best).select(
         "text_id", "best.license", "first_word", "best.last_word", "best.contained")
 
 
+def one_of_each_copy(spans: DataFrame) -> DataFrame:
+    """Of places of a license nearer than ``CONTAINED`` of a copy the best, then the best of what is left, and so on.
+
+    In each round the places that are best among those near them stay and those near them go; equal ones are in a
+    random order of their own, so rounds are few. A round sorts the places by text and license, and copies are never put
+    into one list.
+    """
+    left = cut(spans.withColumn("rank", F.struct("contained", "aligned", F.xxhash64("text_id", "origin").alias("tie"), "origin"))
+               .withColumn("scaled", F.floor(F.col("origin").cast("bigint") * 10_000 / (F.col("size") + SHINGLE - 1))), "license-spans")
+    reach = round(CONTAINED * 10_000)
+    near = W.partitionBy("text_id", "license").orderBy("scaled").rangeBetween(-reach, reach)
+    kept = None
+    while True:
+        judged = cut(left.withColumn("stays", F.col("rank") == F.max("rank").over(near))
+                     .withColumn("done", F.max("stays").over(near)), "license-judged")
+        stay = judged.where("stays").drop("stays", "done", "scaled", "rank")
+        kept = stay if kept is None else kept.unionByName(stay)
+        left = judged.where(~F.col("done")).drop("stays", "done")
+        if left.isEmpty():
+            return kept
+
+
 def text_id(text: Column) -> Column:
-    return F.concat_ws("-", F.hex(F.xxhash64(text)), F.length(text))
+    return F.md5(text.cast("binary"))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
