@@ -8,8 +8,9 @@ by its own best container.
 
 Left out are navigation, headers, footers, sidebars, forms, scripts, styles and elements whose class
 or id names a notice, advert, menu, comment section or the like. A name is only a guess: such an
-element stays if the page's largest <article> or <main> lies in it, or, unless it names comments,
-adverts, consent and the like (``FOREIGN``), most of the page's unlinked text; so does a form. Names that speak of the layout
+element stays if the page's largest <article> or <main> lies in it, or most of the page's unlinked text; so does a
+form. Names of comments, adverts, consent and the like (``FOREIGN``) mark more: as a whole name they always go, as a
+part of one (sponsored-content, notice-board) unless no other unlinked text is left. Names that speak of the layout
 (no-sidebar, has-sidebar, with-sidebar) mark nothing. Blocks are joined by one line feed.
 
 Rows: null and empty html has no text; broken or cut-off markup is read as far as it goes. Null and
@@ -33,7 +34,8 @@ TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# a whole name with its value, so that nothing inside other names and values counts
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Element kinds.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -63,7 +65,7 @@ NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 NAME_WORD = re.compile(r"[a-z]+")
 # names of a layout: what the page has or lacks, to the end of the name
 LAYOUT = re.compile(r"(?<![a-z])(?:no|not|non|has|have|with|without)[-_]+\S+")
-KEPT, GUESSED, GUESSED_FOREIGN, SURE = range(4)
+KEPT, GUESSED, GUESSED_FOREIGN, FOREIGN_NAME, SURE = range(5)
 SPACES = re.compile(r"\s+")
 FOUND = "struct<path: string, score: double>"
 
@@ -83,7 +85,11 @@ class Element:
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {m.group(1).lower(): m.group(2) or m.group(3) or m.group(4) or "" for m in ATTRIBUTE.finditer(text)} if text.strip() else {}
+    """Names in lower case with their values; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text) if text.strip() else ():
+        found.setdefault(m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or "")
+    return found
 
 
 def noise_words(attrs: dict[str, str]) -> set[str]:
@@ -91,7 +97,7 @@ def noise_words(attrs: dict[str, str]) -> set[str]:
 
 
 def noise_of(tag: str, attrs: dict[str, str], inside: bool) -> int:
-    """How surely an element is no part of the article: KEPT, GUESSED, GUESSED_FOREIGN or SURE."""
+    """How surely an element is no part of the article: KEPT, GUESSED, GUESSED_FOREIGN, FOREIGN_NAME or SURE."""
     if tag in DROPPED or tag == "header" and not inside:
         return SURE
     if tag in WHOLE and not (tag == "article" and inside):
@@ -102,7 +108,8 @@ def noise_of(tag: str, attrs: dict[str, str], inside: bool) -> int:
         return SURE
     words = noise_words(attrs)
     if words & FOREIGN:
-        return GUESSED_FOREIGN
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+        return FOREIGN_NAME if FOREIGN.intersection(names) else GUESSED_FOREIGN
     return GUESSED if "form" in (tag, role) or words & NOISE or not inside and words & NOISE_OUTSIDE else KEPT
 
 
@@ -114,7 +121,7 @@ class Page:
         self.elements = [self.root]
         self.every = [self.root]  # inline ones, too
         self.articles: list[Element] = []
-        self.guessed = False
+        self.guesses: set[int] = set()
         self.blocks: list[tuple[Element, str, int]] = []  # holder, text, characters in links
         self.pieces: list[tuple[Element, list[tuple[Element, str]]]] = []  # blocks, guessed noise included
         self.text: list[tuple[Element, str]] = []
@@ -137,7 +144,7 @@ class Page:
             self.open(tag, attrs)
         self.add(html[pos:])
         self.flush()
-        if self.guessed:
+        if self.guesses:
             self.judge()
         for holder, pieces in self.pieces:
             kept = [piece for piece in pieces if not piece[0].dropped]
@@ -156,7 +163,7 @@ class Page:
             self.text = []
 
     def judge(self) -> None:
-        """Drops guessed noise, but for elements around the article or most of the text."""
+        """Drops guessed noise, but for elements around the article, and names in part foreign or common that hold (most of) what is left."""
         self.measure()
         around: set[Element] = set()
         for tag in ("article", "main"):  # the largest of each
@@ -164,11 +171,18 @@ class Page:
             while node is not None:
                 around.add(node)
                 node = node.parent
-        for least in (GUESSED_FOREIGN, GUESSED):
+        for kind in (FOREIGN_NAME, GUESSED_FOREIGN, GUESSED):
+            if kind not in self.guesses:
+                continue
+            before = [node.dropped for node in self.every]
             for node in self.every[1:]:  # parents come first
-                over = node.noise == least and node not in around and (least == GUESSED_FOREIGN or 2 * node.size <= self.root.size)
+                over = node.noise == kind and node not in around and (kind != GUESSED or 2 * node.size <= self.root.size)
                 node.dropped = node.dropped or over or node.parent.dropped
             self.measure()
+            if kind == GUESSED_FOREIGN and not self.root.size:  # nothing else is there, so the guess was wrong
+                for node, dropped in zip(self.every, before):
+                    node.dropped = dropped
+                self.measure()
 
     def measure(self) -> None:
         """Sets the characters that each element holds outside links and dropped elements."""
@@ -204,7 +218,8 @@ class Page:
         self.at = node
         self.opened[tag] += 1
         self.every.append(node)
-        self.guessed = self.guessed or noise in (GUESSED, GUESSED_FOREIGN)
+        if noise in (GUESSED, GUESSED_FOREIGN, FOREIGN_NAME):
+            self.guesses.add(noise)
         if tag in ("article", "main") and noise == KEPT and not noise_words(attrs) & NOISE:
             self.articles.append(node)
         if tag not in INLINE:
