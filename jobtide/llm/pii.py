@@ -60,12 +60,12 @@ SPELLED = {
 DIGIT_WORD = r"(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9])"
 SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\x20-]?)?{DIGIT_WORD}(?:[\x20,.\n-]{{1,2}}{DIGIT_WORD}){{{MIN_SPELLED - 1},}}(?![^\W_])", re.I)
 WORD_OF_RUN = re.compile(rf"plus|\+|{DIGIT_WORD}", re.I)
-BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|ät|punkt|arroba|punto|arobase|point)[\x20]?[\])}>][\x20]?", re.I)
+BRACKETED = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|ät|punkt|arroba|punto|arobase|point|@|\.)[\x20]?[\])}>][\x20]?", re.I)
 MIXED_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[\x20(-]{{0,2}})?(?:{DIGIT_WORD}|[0-9]++)(?:[\x20,.\n()-]{{1,3}}(?:[0-9]++|{DIGIT_WORD})(?![^\W_]))+", re.I)
 PART_OF_MIXED = re.compile(rf"plus|\+|[0-9]+|{DIGIT_WORD}", re.I)
 SPOKEN_DOT = re.compile(r"(?<=[A-Za-z0-9-])\x20dot\x20(?=[A-Za-z0-9-])", re.I | re.A)
 SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20at\x20(?=[A-Za-z0-9-]++(?:\.|\x20dot\x20)[A-Za-z0-9-])", re.I | re.A)
-AT_WORDS = {"at", "ät", "arroba", "arobase"}
+AT_WORDS = {"at", "ät", "arroba", "arobase", "@"}
 # Last labels that make a host after a bare "at", and words before one that are no name.
 LAST_LABELS = set("com org net edu gov mil int info biz name io ai app dev co me tv eu uk us ca au nz ie de at ch fr be nl lu it es pt "
                   "pl cz sk hu ro bg gr se no dk fi is ee lv lt ru ua by tr il in pk cn jp kr tw hk sg my th vn id ph br mx ar cl pe za ng "
@@ -165,22 +165,21 @@ def disguise_edits(text: str) -> list[tuple[int, int, str]]:
     return kept
 
 
-def spoken_emails(text: str, tape: Tape) -> list[tuple[int, int]]:
-    """Source spans of sound addresses with spelled dots, and with spelled dots and ats."""
-    found = []
-    for pattern, sign in ((SPOKEN_DOT, "."), (SPOKEN_AT, "@")):
-        edits = [(*m.span(), sign) for m in pattern.finditer(tape.text)]
-        if sign == "." and edits and SPOKEN_AT.search(tape.text):  # read while the dots are words
-            edits += [(*m.span(), "@") for m in SPOKEN_AT.finditer(tape.text)]
-            only_dots = copy_of(tape)
-            only_dots.rewrite([edit for edit in edits if edit[2] == "."])
-            found += sound_emails(text, only_dots)
-            edits.sort()
-        if edits:
-            spoken = copy_of(tape)
-            spoken.rewrite(edits)
-            found += sound_emails(text, spoken)
-    return found
+def spoken(text: str, tape: Tape) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Source spans of sound addresses with spelled dots, and with spelled dots and ats; and of IP addresses with spelled dots."""
+    found, ips = [], []
+    dots = [(*m.span(), ".") for m in SPOKEN_DOT.finditer(tape.text)]
+    if dots:
+        only_dots = copy_of(tape)
+        only_dots.rewrite(dots)
+        found += sound_emails(text, only_dots)
+        ips += [only_dots.source(*place) for place in plain_spans(only_dots.text)["ip"]]
+    ats = [(*m.span(), "@") for m in SPOKEN_AT.finditer(tape.text)]  # read while the dots are words
+    if ats:
+        both = copy_of(tape)
+        both.rewrite(sorted(dots + ats))
+        found += sound_emails(text, both)
+    return found, ips
 
 
 def copy_of(tape: Tape) -> Tape:
@@ -207,23 +206,32 @@ def sound_emails(text: str, tape: Tape) -> list[tuple[int, int]]:
 
 
 def mixed_runs(text: str) -> list[tuple[int, int]]:
-    """Runs of digit words and groups of digits that are a phone number after a plus, or a card number."""
+    """Digit words and groups of digits in a run that are a phone number after a plus, or a card number, or, from a digit word
+    to the end of the run, enough digit words for a phone number. A number may start at any part of its run; of those from one
+    part on the longest counts. No number has over 19 digits, so a start looks at that many parts at most."""
     found = []
     for m in MIXED_RUN.finditer(text):
-        parts = [(w.end(), w.group().lower()) for w in PART_OF_MIXED.finditer(text, *m.span())]
-        plus = parts[0][1] in ("plus", "+")
-        for upto in range(min(len(parts), 20), 1, -1):  # what follows a number may look like more of it
-            digits = "".join([SPELLED.get(w, w) for _, w in parts[plus:upto]])
-            words = sum(w in SPELLED for _, w in parts[plus:upto])
-            if not words or len(digits) < 8:
-                break
-            if plus and len(digits) <= 15 or not plus and 16 <= len(digits) <= 19 and luhn(digits):
-                found.append((m.start(), parts[upto - 1][0]))
-                break
-            if not plus and upto == len(parts) and words >= MIN_SPELLED and len(digits) <= 15 and not any(
-                    len(WORD_OF_RUN.findall(s.group())) >= 8 for s in SPELLED_RUN.finditer(text, *m.span())):
-                found.append((m.start(), m.end()))
-                break
+        parts = [(w.start(), w.end(), w.group().lower()) for w in PART_OF_MIXED.finditer(text, *m.span())]
+        spelled_run = any(len(WORD_OF_RUN.findall(s.group())) >= 8 for s in SPELLED_RUN.finditer(text, *m.span()))
+        at = 0
+        while at < len(parts):
+            plus = parts[at][2] in ("plus", "+")
+            digits, words, last = "", 0, None
+            for n in range(at + plus, len(parts)):
+                if parts[n][2] in ("plus", "+"):
+                    break
+                digits += SPELLED.get(parts[n][2], parts[n][2])
+                words += parts[n][2] in SPELLED
+                if len(digits) > 19:
+                    break
+                if words and (8 <= len(digits) <= 15 if plus else len(digits) >= 16 and luhn(digits)):
+                    last = n
+                elif (not plus and n == len(parts) - 1 and parts[at][2] in SPELLED and words >= MIN_SPELLED
+                      and 8 <= len(digits) <= 15 and not spelled_run):
+                    last = n
+            if last is not None:
+                found.append((parts[at][0], parts[last][1]))
+            at = at + 1 if last is None else last + 1
     return found
 
 
@@ -235,8 +243,12 @@ def spelled_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int
     places += [(*m.span(), False) for m in SPELLED_RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b in near(mixed, *m.span()))]
     for start, end, sound in sorted(places):
         words = [(w.span(), w.group().lower()) for w in WORD_OF_RUN.finditer(text, start, end)]
-        if not sound and sum(len(w) > 1 for _, w in words) < MIN_SPELLED:
-            continue
+        if not sound:
+            while words and words[0][1].isdigit():  # a figure before the first digit word counts something else
+                words.pop(0)
+            if sum(len(w) > 1 for _, w in words) < MIN_SPELLED:
+                continue
+            start = words[0][0][0]
         new = "".join(["+" if w in ("plus", "+") else SPELLED.get(w, w) for _, w in words])
         first = start + shift
         for n, ((a, b), _) in enumerate(words):  # each word with the gap before it
@@ -256,7 +268,8 @@ def spans(text: str | None) -> list[dict]:
     if not text.isascii():
         tape.rewrite(ascii_edits(tape.text))
     tape.rewrite(disguise_edits(tape.text))
-    more["email"] += spoken_emails(text, tape)
+    for kind, places in zip(("email", "ip"), spoken(text, tape)):
+        more[kind] += places
     edits, runs = spelled_edits(tape.text)
     tape.rewrite(edits)
     if tape.text != text:
