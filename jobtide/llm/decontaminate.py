@@ -28,6 +28,7 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WIDTH = 10
 BLOCK_WORDS = 100_000
 FIRST_LETTER = 0x100  # letters are code points from here on, without the surrogates
+MOST_LETTERS = 0x10F000 - FIRST_LETTER - 0x800  # of a string; a block of more distinct words is read as numbers
 RESULT = "struct<n_words: bigint, runs: array<struct<first: bigint, last: bigint, start: bigint, end: bigint>>, items: array<string>>"
 KIND = struct_of(n_words=pa.int64(), items=pa.list_(pa.string()),
                  runs=pa.list_(struct_of(first=pa.int64(), last=pa.int64(), start=pa.int64(), end=pa.int64())))
@@ -43,33 +44,41 @@ def windows_of(words: list[str], width: int) -> list[tuple[str, ...]]:
     return [tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
+def sign(n: int) -> str:
+    """The ``n``-th letter."""
+    n += FIRST_LETTER
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
 class Scanner:
     """The automaton of a block of items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int):
-        self.letter: dict[str, str] = {}
-        ids: dict[str, tuple[int, set[str]]] = {}
+        letter: dict[str, int] = {}
+        ids: dict[tuple[int, ...], tuple[int, set[str]]] = {}
         for item, text in items:
             for window in windows_of(words_of(text), width):
-                key = "".join([self.letter.setdefault(w, self.next_letter()) for w in window])
+                key = tuple([letter.setdefault(w, len(letter) + 1) for w in window])
                 ids.setdefault(key, (len(window), set()))[1].update([item] if item is not None else ())
-        self.automaton = ahocorasick.Automaton()
+        self.as_text = len(letter) < MOST_LETTERS
+        self.letter = {w: sign(n) for w, n in letter.items()} if self.as_text else letter
+        self.automaton = ahocorasick.Automaton() if self.as_text else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, value in ids.items():
-            self.automaton.add_word(key, value)
+            self.automaton.add_word("".join(map(sign, key)) if self.as_text else key, value)
         self.automaton.make_automaton()
         self.empty = not ids
 
-    def next_letter(self) -> str:
-        n = FIRST_LETTER + len(self.letter)
-        return chr(n if n < 0xD800 else n + 0x800)
+    def spelled(self, words: list[str]) -> str | tuple[int, ...]:
+        """The words' letters; a word of no item has a letter that no window has."""
+        get = self.letter.get
+        return "".join([get(w, " ") for w in words]) if self.as_text else tuple([get(w, 0) for w in words])
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
         runs: list[list[int]] = []
         items: set[str] = set()
         if not self.empty:
-            get = self.letter.get
-            for last, (size, ids) in self.automaton.iter("".join([get(w, " ") for w in words])):
+            for last, (size, ids) in self.automaton.iter(self.spelled(words)):
                 items |= ids
                 first = last - size + 1
                 while runs and runs[-1][1] >= first - 1:  # ends rise, starts need not

@@ -10,7 +10,7 @@ it could lie in, and the 128-bit hashes of those windows decide. No pairs are ma
 
 Documents of the same word sequence are folded first: of these only the smallest id looks for
 anchors, the others lose all their words if they have a window at all. Groups are aggregated before
-the shuffle, and the joins on hot hashes can be split by adaptive execution.
+the shuffle, and a hash that very many documents share is dealt over several tasks (:func:`with_first`).
 
 Rows: null and empty texts have no words and lose none. Texts of fewer than ``WIDTH`` words stay.
 Rows of equal ids never remove each other's words, nor do repeats inside one document. Rows with a
@@ -124,6 +124,7 @@ def without(text: str, starts: list[int]) -> dict:
             "runs": [{"first": int(a), "last": int(b) - 1} for a, b in edges.reshape(-1, 2)]}
 
 
+HOT_ROWS, HOT_SHARE = 100_000, 10_000  # a hash is dealt beyond that many windows and that share of all
 RUNS = pa.list_(struct_of(first=pa.int64(), last=pa.int64()))
 
 
@@ -153,9 +154,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = cut(texts.join(marked, F.col("id") == F.col("marked")).select("id", "text", "shared").dropDuplicates(["id", "text"]), "repeats-marked")
     windows = cut(found.select("id", extend(F.struct("text", "shared")).alias("w"))
                   .select("id", "w.sequence", F.explode("w.windows").alias("w")).select("id", "sequence", "w.*"), "repeats-windows")
-    firsts = (windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most"))
-              .select(F.col("one").alias("its_one"), F.col("two").alias("its_two"), "least"))
-    later = (windows.join(firsts, (F.col("one") == F.col("its_one")) & (F.col("two") == F.col("its_two")) & (F.col("id") > F.col("least")))
+    firsts = cut(windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+                 .where(F.col("least") < F.col("most")), "repeats-firsts")
+    later = (with_first(windows, firsts, max(HOT_ROWS, windows.count() // HOT_SHARE)).where(F.col("id") > F.col("least"))
              .groupBy("id", "sequence").agg(F.collect_set("start").alias("starts")).withColumnRenamed("id", "later").withColumnRenamed("sequence", "its"))
 
     cut_out = per_value(spark, lambda: _cut_out, "struct<n_removed: bigint, kept: binary, runs: array<struct<first: bigint, last: bigint>>>",
@@ -178,6 +179,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(twin, F.unhex(F.sha2(F.lit("").cast("binary"), 256))).otherwise(F.coalesce("kept", "whole")).alias("kept"))
 
 
+def with_first(windows: DataFrame, firsts: DataFrame, rows_a_part: int) -> DataFrame:
+    """``windows`` (id, sequence, one, two, start) whose hash is in ``firsts`` (one, two, least, n), with ``least``.
+
+    The windows of a passage that a large part of all documents share have one hash. A hash with more than
+    ``rows_a_part`` windows is dealt over as many parts as it needs and its first is copied to each. There are at most
+    as many such hashes as parts of that size, that is :data:`HOT_SHARE`, so they are broadcast.
+    """
+    parts = F.ceil(F.col("n") / rows_a_part)
+    hot = cut(firsts.where(F.col("n") > rows_a_part).select("one", "two", parts.alias("parts")), "repeats-hot")
+    if hot.isEmpty():
+        return windows.join(firsts.select("one", "two", "least"), ["one", "two"])
+    dealt = windows.join(F.broadcast(hot), ["one", "two"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("id", "start"), F.coalesce("parts", F.lit(1).cast("bigint")))).drop("parts")
+    copied = firsts.withColumn("parts", F.when(F.col("n") > rows_a_part, parts).otherwise(F.lit(1).cast("bigint"))).select(
+        "one", "two", "least", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(copied, ["one", "two", "part"]).drop("part")
+
+
 def _sequence_of(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(WORD.findall(text or "")).encode("utf-8", "surrogatepass"))
 
