@@ -9,8 +9,11 @@ that several documents have is then extended, in each of them, to all the window
 it could lie in, and the 128-bit hashes of those windows decide. No pairs are made at any point.
 
 Documents of the same word sequence are folded first: of these only the smallest id looks for
-anchors, the others lose all their words if they have a window at all. Groups are aggregated before
-the shuffle, and the joins on hot hashes can be split by adaptive execution.
+anchors, the others lose all their words if they have a window at all. Anchors and windows are each
+shuffled once, to the task that has all rows of their hash. Texts are shuffled only if their document
+may have a shared anchor, anchors by word sequence only if several documents may have that sequence
+(:func:`sieve`). A hash that very many documents share has its rows in one task, which sorts them and
+spills what it can't hold.
 
 Rows: null and empty texts have no words and lose none. Texts of fewer than ``WIDTH`` words stay.
 Rows of equal ids never remove each other's words, nor do repeats inside one document. Rows with a
@@ -24,7 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from jobtide.llm.common import WORD, per_value, struct_of
 from jobtide.session import cut
@@ -33,6 +36,7 @@ WIDTH, PERIOD = 50, 31
 COVER = (1, 5, 11, 24, 25, 27)  # fixed values: every difference modulo 31 occurs
 ANCHOR = WIDTH - PERIOD + 1
 KNOWN_WORDS = 200_000
+SIEVE_SHARE, SIEVE_MOST = 16, 1 << 25
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -111,7 +115,7 @@ def anchor_places(words: int) -> np.ndarray:
 
 
 def without(text: str, starts: list[int]) -> dict:
-    """The words of a text that no window from these starts covers."""
+    """The words of a text that no window from these starts covers; ``changed`` names its word sequence."""
     words = WORD.findall(text)
     steps = np.zeros(len(words) + 1, np.int64)
     places = np.unique(np.array(starts, np.int64))
@@ -120,7 +124,8 @@ def without(text: str, starts: list[int]) -> dict:
     gone = np.cumsum(steps[:-1]) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     kept = " ".join([w for w, g in zip(words, gone.tolist()) if not g]).encode("utf-8", "surrogatepass")
-    return {"n_removed": int(gone.sum()), "kept": hashlib.sha256(kept).digest(),
+    whole = " ".join(words).encode("utf-8", "surrogatepass")
+    return {"changed": xxhash.xxh3_128_digest(whole), "n_removed": int(gone.sum()), "kept": hashlib.sha256(kept).digest(),
             "runs": [{"first": int(a), "last": int(b) - 1} for a, b in edges.reshape(-1, 2)]}
 
 
@@ -140,31 +145,33 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     described = cut(texts.select("id", look("text").alias("d")).select("id", "d.*"), "repeats-described")
 
     sound = described.where(F.col("id").isNotNull() & (F.col("n_words") >= WIDTH))
-    leaders = cut(sound.groupBy("sequence").agg(F.min("id").alias("leader")).withColumnRenamed("sequence", "its"), "repeats-leaders")
-    own = sound.join(leaders, (F.col("sequence") == F.col("its")) & (F.col("id") == F.col("leader"))).select("id", "sequence", "anchors")
-    own = own.dropDuplicates(["id", "sequence"])
-    common = (own.select("id", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-              .where(F.col("a") < F.col("b")).select(F.col("anchor").alias("common")))
-    marked = (own.select("id", F.posexplode("anchors").alias("n", "anchor")).join(common, F.col("anchor") == F.col("common"))
-              .groupBy("id").agg(F.collect_set("n").alias("shared")).withColumnRenamed("id", "marked"))
-
-    extend = per_value(spark, lambda: _extended(Roller()), "struct<sequence: binary, windows: array<struct<one: bigint, two: bigint, start: bigint>>>",
-                       struct_of(sequence=pa.binary(), windows=pa.list_(struct_of(one=pa.int64(), two=pa.int64(), start=pa.int64()))))
-    found = cut(texts.join(marked, F.col("id") == F.col("marked")).select("id", "text", "shared").dropDuplicates(["id", "text"]), "repeats-marked")
-    windows = cut(found.select("id", extend(F.struct("text", "shared")).alias("w"))
-                  .select("id", "w.sequence", F.explode("w.windows").alias("w")).select("id", "sequence", "w.*"), "repeats-windows")
-    firsts = (windows.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where(F.col("least") < F.col("most"))
-              .select(F.col("one").alias("its_one"), F.col("two").alias("its_two"), "least"))
-    later = (windows.join(firsts, (F.col("one") == F.col("its_one")) & (F.col("two") == F.col("its_two")) & (F.col("id") > F.col("least")))
-             .groupBy("id", "sequence").agg(F.collect_set("start").alias("starts")).withColumnRenamed("id", "later").withColumnRenamed("sequence", "its"))
-
-    cut_out = per_value(spark, lambda: _cut_out, "struct<n_removed: bigint, kept: binary, runs: array<struct<first: bigint, last: bigint>>>",
-                        struct_of(n_removed=pa.int64(), kept=pa.binary(), runs=RUNS))
-    name = per_value(spark, lambda: _sequence_of, "binary", pa.binary())
-    parts = found.select("id", "text", name("text").alias("sequence"))
-    changed = cut(parts.join(later, (F.col("id") == F.col("later")) & (F.col("sequence") == F.col("its")))
-                  .select("later", "its", cut_out(F.struct("text", "starts")).alias("c")), "repeats-changed")
-    changed = changed.select(F.col("later"), F.col("its").alias("changed"), "c.*")
+    leaders = cut(sound.groupBy("sequence").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("rows"))
+                  .withColumnRenamed("sequence", "its"), "repeats-leaders")
+    several = leaders.where(F.col("rows") > 1).select("its")
+    first = (sieve(sound, "sequence", several, "left_semi").join(leaders, (F.col("sequence") == F.col("its")) & (F.col("id") == F.col("leader")))
+             .select("id", "sequence", "anchors").dropDuplicates(["id", "sequence"]))
+    own = sieve(sound, "sequence", several, "left_anti").select("id", "anchors").unionByName(first.select("id", "anchors"))
+    holders = Window.partitionBy("anchor")
+    marked = cut(own.select("id", F.posexplode("anchors").alias("n", "anchor"))
+                 .select("id", "n", F.min("id").over(holders).alias("least"), F.max("id").over(holders).alias("most"))
+                 .where(F.col("least") < F.col("most"))
+                 .groupBy("id").agg(F.collect_set("n").alias("shared")).withColumnRenamed("id", "marked"), "repeats-marked")
+
+    found = cut(sieve(texts.where(F.col("text").isNotNull()), "id", marked.select("marked"), "left_semi").repartition("id")
+                .join(marked, F.col("id") == F.col("marked"))
+                .select("id", "text", "shared").dropDuplicates(["id", "text"])
+                .withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("text"))), "repeats-found")
+    extend = per_value(spark, lambda: _extended(Roller()), "array<struct<one: bigint, two: bigint, start: int>>",
+                       pa.list_(struct_of(one=pa.int64(), two=pa.int64(), start=pa.int32())))
+    later = (found.select("id", "k", F.explode(extend(F.struct("text", "shared"))).alias("w")).select("id", "k", "w.*")
+             .withColumn("least", F.min("id").over(Window.partitionBy("one", "two"))).where(F.col("id") > F.col("least"))
+             .groupBy("id", "k").agg(F.collect_set("start").alias("starts")).withColumnRenamed("id", "later").withColumnRenamed("k", "its"))
+
+    cut_out = per_value(spark, lambda: _cut_out, "struct<changed: binary, n_removed: bigint, kept: binary, runs: array<struct<first: bigint, last: bigint>>>",
+                        struct_of(changed=pa.binary(), n_removed=pa.int64(), kept=pa.binary(), runs=RUNS))
+    changed = cut(found.drop("shared").join(later, (F.col("id") == F.col("later")) & (F.col("k") == F.col("its")))
+                  .select("later", cut_out(F.struct("text", "starts")).alias("c")).select("later", "c.*"), "repeats-changed")
+    changed = changed.dropDuplicates(["later", "changed"])
 
     led = described.drop("anchors").join(leaders, F.col("sequence") == F.col("its"), "left").drop("its")
     out = led.join(changed, (F.col("id") == F.col("later")) & (F.col("sequence") == F.col("changed")), "left")
@@ -178,12 +185,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(twin, F.unhex(F.sha2(F.lit("").cast("binary"), 256))).otherwise(F.coalesce("kept", "whole")).alias("kept"))
 
 
-def _sequence_of(text: str | None) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(WORD.findall(text or "")).encode("utf-8", "surrogatepass"))
+def sieve(rows: DataFrame, column: str, values: DataFrame, how: str) -> DataFrame:
+    """``rows`` whose ``column`` may be among ``values`` (one column): how "left_semi"; or surely is not: "left_anti".
+
+    Every value sets one bit by its hash, of about ``SIEVE_SHARE`` bits a value; 64 bits are a row, and those rows are
+    broadcast, so there are ``SIEVE_MOST`` bits at most. The more values beyond that, the more rows pass that
+    are not among them; none that is gets lost.
+    """
+    size = min(max(64, 1 << (values.count() * SIEVE_SHARE).bit_length()), SIEVE_MOST)
+
+    def place(name: str) -> tuple[Column, Column]:
+        bit = F.xxhash64(name).bitwiseAND(F.lit(size - 1))
+        return F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+
+    (word, bit), (its_word, its_bit) = place(column), place(values.columns[0])
+    words = values.select(its_word.alias("_word"), its_bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return rows.join(F.broadcast(words), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), how)
 
 
 def _extended(roller: Roller):
-    return lambda row: {"sequence": _sequence_of(row["text"]), "windows": roller.windows(row["text"], row["shared"])}
+    return lambda row: roller.windows(row["text"], row["shared"])
 
 
 def _cut_out(row: dict) -> dict:

@@ -417,6 +417,60 @@ def test_repeats_on_odd_rows(odd_docs):
     assert substring_dedup.repeats(odd_docs.limit(0)).count() == 0
 
 
+def shared_docs(n=40):
+    draw = random.Random(66)
+    fresh = lambda n: [f"t{draw.randrange(10 ** 6)}" for _ in range(n)]
+    passages = [fresh(70) for _ in range(4)]
+    docs = [(i, " ".join(fresh(30) + (passages[i % 4] if i % 3 else []) + fresh(60))) for i in range(n)]
+    return docs + [(n, docs[1][1]), (n + 1, docs[0][1]), (0, docs[0][1])]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_repeats_shuffles_hashes_once_and_only_marked_texts(spark, make_docs, monkeypatch, threshold):
+    plans, write = [], substring_dedup.cut
+
+    def cut(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(substring_dedup, "cut", cut)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        substring_dedup.repeats(make_docs(*shared_docs()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = lambda key: sum(len(re.findall(rf"Exchange hashpartitioning\({key}#", p)) for p in plans)
+    assert (shuffles("anchor"), shuffles("one")) == (1, 1)
+    taking = next(p for p in plans if "shared#" in p and "text#" in p)
+    assert taking.count("Exchange hashpartitioning(id#") == 1
+    assert "LeftSemi" in taking[taking.index("hashpartitioning(id#"):]  # below the shuffle of the texts
+
+
+@pytest.mark.parametrize("most", [64, 1 << 25])
+def test_repeats_whatever_the_sieve_lets_through(spark, make_docs, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "SIEVE_MOST", most)
+    docs = shared_docs()
+    rows = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept).hex()) for r in substring_dedup.repeats(make_docs(*docs)).collect()]
+    assert sorted(rows, key=repr) == removed(docs)
+
+
+@pytest.mark.parametrize("others", [["own  words "], [None, "few words"]])
+def test_repeats_of_one_id_with_several_texts(spark, make_docs, others):
+    docs = shared_docs(3)
+    docs += [(9, "own words " + docs[1][1])] + [(9, t + docs[1][1] if t and t.endswith(" ") else t) for t in others]
+    rows = [(r.doc_id, r.n_words, r.n_removed, bytes(r.kept).hex()) for r in substring_dedup.repeats(make_docs(*docs)).collect()]
+    assert sorted(rows, key=repr) == removed(docs)
+
+
+def test_sieve(spark):
+    rows, values = spark.range(20_000), spark.range(0, 20_000, 40).toDF("value")
+    near, far = (substring_dedup.sieve(rows, "id", values, how) for how in ("left_semi", "left_anti"))
+    passed = {r.id for r in near.collect()}
+    assert passed >= set(range(0, 20_000, 40)) and len(passed) < 3000
+    assert {r.id for r in far.collect()} == set(range(20_000)) - passed
+    assert substring_dedup.sieve(rows, "id", values.limit(0), "left_anti").count() == 20_000
+
+
 # BPE
 
 
