@@ -4,7 +4,8 @@ A block is a stretch of one partition's rows, sorted by document id. Its grid ha
 per document; a cell holds the term's impact in the document. The grid is a quadtree without its empty parts: a
 node of each level has four bits that say which quarters hold anything, and the largest impact inside.
 The nodes of a level lie in Z-order, so the children of a node are found by counting bits before its own. Rows go
-by falling document frequency, which keeps frequent terms, and so the filled cells, together.
+by falling document frequency, which keeps frequent terms, and so the filled cells, together. The written index has
+the bits and the impacts of the filled cells; the largest impacts above them are taken again when a block is read.
 
 An item's terms are rows. Their paths go down side by side over halves of the document range: the weighted sum of
 the maxima on the paths bounds the score of every document in the range. Ranges are opened best first (some at a
@@ -34,19 +35,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from jobtide.llm.common import lower_ascii
-from jobtide.session import cut, ship_package
+from jobtide.session import cut, ship_package, small_batches
 
 TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM = re.compile(TERM_PATTERN)
 UNIT = 1_000_000_000
 BLOCK_DOCS, BLOCK_CHARS = 8192, 8_000_000  # of an index block, unless one text has more
 ITEM_BLOCK_CHARS = 4_000_000               # of the items asked in one pass
+BATCH_BYTES = 2 << 20                      # of rows handed to Python at once, unless one has more
+ROW_ALONE = {"parquet.block.row.count.limit": "1"}  # readers hold a row group, so a block is one
 AT_ONCE = 64                               # ranges opened in one step
 LAST_ID = np.iinfo(np.int64).max           # sorts null ids last
-INDEX = "doc_ids array<bigint>, terms array<string>, term_docs array<int>, bits array<binary>, maxima array<binary>"
+INDEX = "doc_ids array<bigint>, terms array<string>, term_docs array<int>, bits array<binary>, impacts binary"
 INDEX_KIND = pa.schema([("doc_ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("term_docs", pa.list_(pa.int32())),
-                        ("bits", pa.list_(pa.binary())), ("maxima", pa.list_(pa.binary()))])
-BITS_SET = np.array([n.bit_count() for n in range(16)], np.int64)
+                        ("bits", pa.list_(pa.binary())), ("impacts", pa.binary())])
+BITS_SET = np.array([n.bit_count() for n in range(16)], np.int32)
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -77,28 +80,35 @@ def z_order(rows: np.ndarray, columns: np.ndarray, height: int) -> np.ndarray:
     return code
 
 
+def quarters(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each level's nodes, root first, the bits of their quarters; the values in Z-order."""
+    height = max(1, int(max(rows.max(), columns.max())).bit_length())
+    codes = z_order(rows, columns, height)
+    order = np.argsort(codes, kind="stable")
+    codes, values = codes[order], values[order]
+    bits = []
+    for _ in range(height):
+        first = np.flatnonzero(np.r_[True, codes[1:] >> 2 != codes[:-1] >> 2])
+        bits.append(np.bitwise_or.reduceat(1 << (codes & 3), first).astype(np.uint8))
+        codes = codes[first] >> 2
+    return bits[::-1], values
+
+
 class Treap:
     """Levels of a quadtree, root first: of each node the bits of its quarters, and its largest impact."""
 
-    def __init__(self, bits: list[np.ndarray], maxima: list[np.ndarray]):
-        self.bits, self.maxima, self.height = bits, maxima, len(bits)
+    def __init__(self, bits: list[np.ndarray], values: np.ndarray):
+        self.bits, self.height = bits, len(bits)
         counts = [BITS_SET[b] for b in bits]
-        self.before = [np.cumsum(c) - c for c in counts]  # children of the nodes before each
+        self.before = [np.cumsum(c, dtype=np.int32) - c for c in counts]  # children of the nodes before each
+        maxima = [values]
+        for before in reversed(self.before):
+            maxima.append(np.maximum.reduceat(maxima[-1], before))
+        self.maxima = maxima[::-1]
 
     @staticmethod
     def of(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> Treap:
-        height = max(1, int(max(rows.max(), columns.max())).bit_length())
-        codes = z_order(rows, columns, height)
-        order = np.argsort(codes, kind="stable")
-        codes, values = codes[order], values[order]
-        bits, maxima = [], [values]
-        for _ in range(height):
-            first = np.flatnonzero(np.r_[True, codes[1:] >> 2 != codes[:-1] >> 2])
-            bits.append(np.bitwise_or.reduceat(1 << (codes & 3), first).astype(np.uint8))
-            values = np.maximum.reduceat(values, first)
-            codes = codes[first] >> 2
-            maxima.append(values)
-        return Treap(bits[::-1], maxima[::-1])
+        return Treap(*quarters(rows, columns, values))
 
     def open(self, level: int, nodes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nodes of the two column halves under ``nodes`` (ranges x rows; -1: empty) on the paths of ``rows``."""
@@ -131,10 +141,10 @@ def index_block(ids: list, texts: list[pa.Array], docs: int, terms: int) -> dict
     by_frequency = np.argsort(-frequency, kind="stable")
     row = np.empty(len(by_frequency), np.int64)
     row[by_frequency] = np.arange(len(by_frequency))
-    treap = Treap.of(row[term], column, impacts(tf.astype(np.int64), sizes[column], docs, terms))
+    bits, values = quarters(row[term], column, impacts(tf.astype(np.int64), sizes[column], docs, terms))
     return {"doc_ids": [ids[n] for n in order], "terms": words.dictionary.take(pa.array(by_frequency)),
-            "term_docs": frequency[by_frequency].astype(np.int32), "bits": [b.tobytes() for b in treap.bits],
-            "maxima": [m.astype("<u4").tobytes() for m in treap.maxima]}
+            "term_docs": frequency[by_frequency].astype(np.int32), "bits": [b.tobytes() for b in bits],
+            "impacts": values.astype("<u4").tobytes()}
 
 
 def build_index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", text_col: str = "text",
@@ -163,7 +173,8 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_i
         if ids:
             yield from row()
 
-    return cut(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(blocks, INDEX), "lexical-index")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return cut(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(blocks, INDEX), "lexical-index", ROW_ALONE)
 
 
 # Questions
@@ -230,7 +241,7 @@ def weighted_items(items: DataFrame, index: DataFrame, n_docs: int, item_col: st
     own = F.array_distinct(F.regexp_extract_all(lowered, F.lit(TERM_PATTERN), F.lit(0)))
     numbered = items.select(F.col(item_col).alias("item_id"), F.monotonically_increasing_id().alias("ask"), own.alias("own"))
     asked = cut(numbered.select("item_id", "ask", F.explode("own").alias("term")), "lexical-items")
-    held = index.select(F.explode(F.arrays_zip("terms", "term_docs")).alias("row")).select(F.col("row.terms").alias("term"), "row.term_docs")
+    held = index.select(F.posexplode("terms").alias("place", "term"), "term_docs").select("term", F.col("term_docs")[F.col("place")].alias("term_docs"))
     frequency = (held.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("term_docs").alias("df")))
     weight = F.floor(1000 * F.log((2 * F.lit(n_docs) + 2) / (2 * F.col("df") + 1))).cast("bigint")
     return cut(asked.join(frequency, "term").groupBy("ask", "item_id").agg(
@@ -249,22 +260,25 @@ def best_of_tasks(index: DataFrame, items: list[tuple[int, list[tuple[str, int]]
         vocabulary = pa.array(sorted({term for _, a in asked for term, _ in a.terms}), pa.string())
         number = {term: n for n, term in enumerate(vocabulary.to_pylist())}
         questions = [(a, np.array([number[t] for t, _ in a.terms], np.int64), np.array([w for _, w in a.terms], np.int64)) for _, a in asked]
+
+        def ask(doc_ids: pa.Scalar, terms: pa.Scalar, bits: pa.Scalar, values: pa.Scalar) -> None:
+            doc_ids = doc_ids.as_py()
+            sort_ids = np.array([LAST_ID if i is None else i for i in doc_ids], np.int64)
+            treap = Treap([np.frombuffer(b, np.uint8) for b in bits.as_py()], np.frombuffer(values.as_py(), "<u4"))
+            place = pc.index_in(vocabulary, value_set=terms.values).fill_null(-1).to_numpy()
+            for a, own, weights in questions:
+                rows = place[own] if len(own) else own
+                here = rows >= 0
+                if here.any():
+                    a.search(treap, rows[here].astype(np.int64), weights[here], doc_ids, sort_ids)
+
         for batch in batches:
             for n in range(batch.num_rows):
-                doc_ids = batch.column(0)[n].as_py()
-                sort_ids = np.array([LAST_ID if i is None else i for i in doc_ids], np.int64)
-                treap = Treap([np.frombuffer(b, np.uint8) for b in batch.column(2)[n].as_py()],
-                              [np.frombuffer(m, "<u4").astype(np.int64) for m in batch.column(3)[n].as_py()])
-                place = pc.index_in(vocabulary, value_set=batch.column(1)[n].values).fill_null(-1).to_numpy()
-                for a, own, weights in questions:
-                    rows = place[own] if len(own) else own
-                    here = rows >= 0
-                    if here.any():
-                        a.search(treap, rows[here].astype(np.int64), weights[here], doc_ids, sort_ids)
+                ask(*(column[n] for column in batch.columns))
         rows = [(n, score, own) for n, a in asked for score, _, own in a.best]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["ask", "score", "doc_id"])
 
-    return index.select("doc_ids", "terms", "bits", "maxima").mapInArrow(run, "ask bigint, score bigint, doc_id bigint")
+    return index.select("doc_ids", "terms", "bits", "impacts").mapInArrow(run, "ask bigint, score bigint, doc_id bigint")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -279,8 +293,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     for n in range(blocks):
         part = weighted.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == n)
         own = [(r["ask"], [tuple(t) for t in r["terms"]]) for r in part.select("ask", "terms").collect()]
-        best = best_of_tasks(index, own, k)
-        best = cut(best, "lexical-best") if blocks > 1 else best
+        with small_batches(docs.sparkSession, BATCH_BYTES):
+            best = cut(best_of_tasks(index, own, k), "lexical-best")
         found = best if found is None else found.unionByName(best)
     place = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     ranked = found.withColumn("rank", place).where(F.col("rank") <= k)

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,17 +32,37 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/jobtide/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     A lost executor re-reads files instead of recomputing, values that depend on the physical
-    partition stay what they were, and later joins see the true size.
+    partition stay what they were, and later joins see the true size. ``options`` are the writer's.
     """
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """What is run inside hands rows to Python in Arrow batches that end at ``size`` bytes; a larger row is a batch.
+
+    Spark holds a batch three times (vectors, which double as they grow, and the stream's buffer), all outside its heap.
+    """
+    held = spark.conf.getAll.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, size)
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(ARROW_BYTES)
+        else:
+            spark.conf.set(ARROW_BYTES, held)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether the optimizer's size estimate lets it broadcast ``df`` by itself."""
     spark = df.sparkSession

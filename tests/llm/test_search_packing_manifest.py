@@ -10,11 +10,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from jobtide import session
 from jobtide.llm import lexical_search as ls, merkle, packing
 
 TOKENIZER = public_tokenizers.path(corpus_pipeline.VOCABULARY)
@@ -85,6 +88,45 @@ def test_small_blocks_hold_the_same_index(spark):
         assert best == want
 
 
+def test_readers_hold_one_index_block(spark):
+    draw = random.Random(8)
+    docs = [(n, " ".join(draw.choices("abcdefghij", k=draw.randrange(1, 30)))) for n in range(300)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    index = ls.build_index(table, *ls.totals(table), block_docs=16)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    rows = [g.row_group(n).num_rows for g in groups for n in range(g.num_row_groups)]
+    assert len(rows) == -(-300 // 16) and set(rows) == {1}
+
+
+def test_index_and_search_get_small_batches(spark, monkeypatch):
+    seen, write = {}, ls.cut
+
+    def cut(df, label, *options):
+        seen[label] = spark.conf.get(session.ARROW_BYTES)
+        return write(df, label, *options)
+
+    before = spark.conf.get(session.ARROW_BYTES)
+    monkeypatch.setattr(ls, "cut", cut)
+    assert found(spark, [(1, "a b"), (2, "b c")], [(5, "c")]) == plain_search([(1, "a b"), (2, "b c")], [(5, "c")], 10)
+    assert seen["lexical-index"] == seen["lexical-best"] == str(ls.BATCH_BYTES)
+    assert seen["lexical-items"] == spark.conf.get(session.ARROW_BYTES) == before
+
+
+def test_small_batches_end_at_their_size(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    table = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    with session.small_batches(spark, 100_000):
+        rows = session.cut(table.mapInArrow(sizes, "rows bigint, size bigint")).collect()
+    assert sum(r.rows for r in rows) == 2000 and max(r.size for r in rows) < 200_000
+    held = spark.conf.get(session.ARROW_BYTES)
+    with pytest.raises(ValueError), session.small_batches(spark, 1):
+        raise ValueError
+    assert spark.conf.get(session.ARROW_BYTES) == held
+
+
 def test_grid_paths_hold_every_cell():
     draw = np.random.default_rng(5)
     cells = np.unique(draw.integers(0, 50 * 40, 300))
