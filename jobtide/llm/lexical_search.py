@@ -134,17 +134,22 @@ def index_block(ids: list, texts: list[pa.Array], docs: int, terms: int) -> dict
         return None
     sizes = np.array([len(texts[n]) for n in order], np.int64)
     words = pa.concat_arrays([texts[n] for n in order]).dictionary_encode()
-    column = np.repeat(np.arange(len(order)), sizes)
-    cell, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(order) + column, return_counts=True)
+    cell = words.indices.to_numpy().astype(np.int64) * len(order)
+    words = words.dictionary  # here and below, what is not needed any more is let go of
+    cell += np.repeat(np.arange(len(order)), sizes)
+    cell, tf = np.unique(cell, return_counts=True)
     term, column = cell // len(order), cell % len(order)
-    frequency = np.bincount(term, minlength=len(words.dictionary))
+    del cell
+    frequency = np.bincount(term, minlength=len(words))
     by_frequency = np.argsort(-frequency, kind="stable")
     row = np.empty(len(by_frequency), np.int64)
     row[by_frequency] = np.arange(len(by_frequency))
-    bits, values = quarters(row[term], column, impacts(tf.astype(np.int64), sizes[column], docs, terms))
-    return {"doc_ids": [ids[n] for n in order], "terms": words.dictionary.take(pa.array(by_frequency)),
+    values = impacts(tf.astype(np.int64), sizes[column], docs, terms).astype("<u4")
+    del tf
+    bits, values = quarters(row[term], column, values)
+    return {"doc_ids": [ids[n] for n in order], "terms": words.take(pa.array(by_frequency)),
             "term_docs": frequency[by_frequency].astype(np.int32), "bits": [b.tobytes() for b in bits],
-            "impacts": values.astype("<u4").tobytes()}
+            "impacts": values.tobytes()}
 
 
 def build_index(docs: DataFrame, n_docs: int, n_terms: int, id_col: str = "doc_id", text_col: str = "text",
